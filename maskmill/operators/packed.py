@@ -215,23 +215,30 @@ def tokenize(text: str | None, delimiters: str = DELIMITERS) -> list[str]:
     return out
 
 
-def packed_values(column, delimiters: str = DELIMITERS):
+def _class(characters: str) -> str:
+    return "[" + re.sub(r"([\\\[\]^\-])", r"\\\1", characters) + "]"
+
+
+def packed_values(column, delimiters: Mapping[str, str] | str = DELIMITERS, field_name=None):
     """Array of the values of a packed text column.
 
-    Texts without any special character never leave the JVM.
+    ``delimiters`` may differ by the value of ``field_name``. Texts without any special
+    character never leave the JVM.
     """
+    by_field = {"": delimiters} if isinstance(delimiters, str) else dict(delimiters)
+    field_name = F.lit("") if field_name is None else field_name
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
-    def split(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda x: tokenize(x, delimiters) if x is not None else None)
+    def split(texts: pd.Series, names: pd.Series) -> pd.Series:
+        return pd.Series([tokenize(x, by_field[f]) if x is not None else None for x, f in zip(texts, names, strict=True)], dtype=object)
 
-    special = "[" + re.sub(r"([\\\[\]^\-])", r"\\\1", delimiters + "\"'[]{}\\") + "]"
-    plain = F.trim(F.regexp_replace(column, r"^\s+|\s+$", ""))
-    is_plain = ~column.rlike(special)
-    inside = split(F.when(is_plain, F.lit(None).cast("string")).otherwise(column))
-    return F.when(column.isNull(), F.array().cast("array<string>")).when(
-        is_plain, F.when(plain == "", F.array().cast("array<string>")).otherwise(F.array(plain))
-    ).otherwise(inside)
+    none = F.array().cast("array<string>")
+    plain = F.regexp_replace(column, r"^\s+|\s+$", "")
+    is_plain = ~column.rlike(_class("".join(dict.fromkeys("".join(by_field.values()).replace(" ", "") + "\"'[]{}\\"))))
+    if any(" " in d for d in by_field.values()):
+        is_plain &= ~plain.contains(" ")
+    inside = split(F.when(is_plain, F.lit(None).cast("string")).otherwise(column), field_name)
+    return F.when(column.isNull(), none).when(is_plain, F.when(plain == "", none).otherwise(F.array(plain))).otherwise(inside)
 
 
 def split_packed(
@@ -256,24 +263,19 @@ def split_packed(
     clash = set(names) & set(keys)
     if clash:
         raise ValueError(f"output names {sorted(clash)} are also keys; pass other names")
-    by_delims: dict[str, list[str]] = {}
-    for f in fields:
-        by_delims.setdefault(DELIMITERS + extra.get(f, ""), []).append(f)
-    parts = []
-    for delims, group in by_delims.items():
-        pairs = F.array(*[F.struct(F.lit(f).alias("f"), F.col(f"`{f}`").cast("string").alias("t")) for f in group])
-        long = df.select(*[F.col(f"`{k}`") for k in keys], F.explode(pairs).alias("__p")).select(
-            *[F.col(f"`{k}`") for k in keys], F.col("__p.f").alias("__f"), F.col("__p.t").alias("__t")
-        )
-        pattern = "[" + re.sub(r"([\\\[\]^\-])", r"\\\1", delims) + "]"
-        long = long.filter(F.col("__t").rlike(pattern) if min_values > 1 else F.col("__t").isNotNull())
-        values = long.withColumn("__v", packed_values(F.col("__t"), delims)).filter(F.size("__v") >= min_values)
-        parts.append(
-            values.select(*[F.col(f"`{k}`") for k in keys], F.col("__f").alias(names[0]), F.posexplode("__v").alias("__i", names[2])).select(
-                *[F.col(f"`{k}`") for k in keys], names[0], (F.col("__i") + 1).cast("int").alias(names[1]), names[2]
-            )
-        )
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.distinct()
+    if not fields:
+        raise ValueError("no fields")
+    delims = {f: DELIMITERS + extra.get(f, "") for f in fields}
+    pairs = F.array(*[F.struct(F.lit(f).alias("f"), F.col(f"`{f}`").cast("string").alias("t")) for f in fields])
+    kept = [F.col(f"`{k}`") for k in keys]
+    long = df.select(*kept, F.explode(pairs).alias("__p")).select(*kept, F.col("__p.f").alias("__f"), F.col("__p.t").alias("__t"))
+    if min_values > 1:
+        several = F.lit(False)
+        for d in set(delims.values()):
+            several |= F.col("__f").isin([f for f in fields if delims[f] == d]) & F.col("__t").rlike(_class(d))
+        long = long.filter(several)
+    else:
+        long = long.filter(F.col("__t").isNotNull())
+    values = long.withColumn("__v", packed_values(F.col("__t"), delims, F.col("__f"))).filter(F.size("__v") >= min_values)
+    out = values.select(*kept, F.col("__f").alias(names[0]), F.posexplode("__v").alias("__i", names[2]))
+    return out.select(*kept, names[0], (F.col("__i") + 1).cast("int").alias(names[1]), names[2]).distinct()

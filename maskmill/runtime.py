@@ -42,3 +42,55 @@ def cut(df: DataFrame) -> DataFrame:
 
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: A table is broadcast only if it was counted and has at most so many rows.
+BROADCAST_ROWS = 200_000
+SALTS = 16
+
+
+def lookup(big: DataFrame, small: DataFrame, key: str, small_key: str, how: str = "left", small_rows: int | None = None) -> DataFrame:
+    """Join each row of ``big`` with its one row of ``small``, whatever the skew of ``key``.
+
+    ``small`` is unique in ``small_key`` and shares no other column name with ``big``.
+    It is broadcast only behind a count; beyond the bound it is repeated under
+    ``SALTS`` salts, so that a key that holds a third of ``big`` is spread over as many
+    tasks.
+    """
+    from pyspark.sql import functions as F
+
+    rows = small.count() if small_rows is None else small_rows
+    if rows <= BROADCAST_ROWS:
+        return big.join(F.broadcast(small), F.col(key) == F.col(small_key), how)
+    salted = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    mixed = big.withColumn("__mix", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in big.columns]), F.lit(SALTS)).cast("int"))
+    return mixed.join(salted, (F.col(key) == F.col(small_key)) & (F.col("__mix") == F.col("__salt")), how).drop("__salt", "__mix")
+
+
+#: Rows that one task ranks at once.
+RANK_ROWS = 100_000
+
+
+def ranked(df: DataFrame, groups: list[str], order: list, identity: list[str], name: str = "rank", rows: int | None = None) -> DataFrame:
+    """Exact row number within each group, without one task per group.
+
+    Rows are spread over hash buckets of ``identity``; a group's order is bucket first,
+    then ``order``. Bucket sizes, summed up within a group, give each bucket its
+    offset. A group that holds a third of all rows is ranked by as many tasks as its
+    size asks for.
+    """
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    rows = df.count() if rows is None else rows
+    buckets = max(1, -(-rows // RANK_ROWS))
+    if buckets == 1:
+        return df.withColumn(name, F.row_number().over(Window.partitionBy(*groups).orderBy(*order)).cast("long"))
+    placed = df.withColumn("__bucket", F.pmod(F.xxhash64(F.lit(17), *identity), F.lit(buckets)))
+    sizes = placed.groupBy(*groups, "__bucket").agg(F.count("*").alias("__n"))
+    before = Window.partitionBy(*groups).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.withColumn("__offset", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    inside = placed.withColumn("__r", F.row_number().over(Window.partitionBy(*groups, "__bucket").orderBy(*order)))
+    on = [F.col(f"a.{g}").eqNullSafe(F.col(f"b.{g}")) for g in [*groups, "__bucket"]]
+    joined = inside.alias("a").join(offsets.alias("b"), on)
+    return joined.select("a.*", (F.col("b.__offset") + F.col("a.__r")).alias(name)).drop("__bucket", "__r")

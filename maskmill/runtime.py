@@ -86,11 +86,11 @@ def ranked(df: DataFrame, groups: list[str], order: list, identity: list[str], n
     buckets = max(1, -(-rows // RANK_ROWS))
     if buckets == 1:
         return df.withColumn(name, F.row_number().over(Window.partitionBy(*groups).orderBy(*order)).cast("long"))
-    placed = df.withColumn("__bucket", F.pmod(F.xxhash64(F.lit(17), *identity), F.lit(buckets)))
-    sizes = placed.groupBy(*groups, "__bucket").agg(F.count("*").alias("__n"))
-    before = Window.partitionBy(*groups).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.withColumn("__offset", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
-    inside = placed.withColumn("__r", F.row_number().over(Window.partitionBy(*groups, "__bucket").orderBy(*order)))
-    on = [F.col(f"a.{g}").eqNullSafe(F.col(f"b.{g}")) for g in [*groups, "__bucket"]]
+    placed = df.withColumn("__ranked_bucket", F.pmod(F.xxhash64(F.lit(17), *identity), F.lit(buckets)))
+    sizes = placed.groupBy(*groups, "__ranked_bucket").agg(F.count("*").alias("__ranked_n"))
+    before = Window.partitionBy(*groups).orderBy("__ranked_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.withColumn("__ranked_offset", F.coalesce(F.sum("__ranked_n").over(before), F.lit(0))).drop("__ranked_n")
+    inside = placed.withColumn("__ranked_r", F.row_number().over(Window.partitionBy(*groups, "__ranked_bucket").orderBy(*order)))
+    on = [F.col(f"a.{g}").eqNullSafe(F.col(f"b.{g}")) for g in [*groups, "__ranked_bucket"]]
     joined = inside.alias("a").join(offsets.alias("b"), on)
-    return joined.select("a.*", (F.col("b.__offset") + F.col("a.__r")).alias(name)).drop("__bucket", "__r")
+    return joined.select("a.*", (F.col("b.__ranked_offset") + F.col("a.__ranked_r")).alias(name)).drop("__ranked_bucket", "__ranked_r")

@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 from maskmill.llm.components import connected_components
 from maskmill.llm.group_split import spanning_forest, split_records, torn_groups
 from maskmill.llm.links import NAME, SAMPLE, clean, eligible, link_edges
+from maskmill.llm.mixing import mix, mix_report
+from maskmill.llm.packing import pack
 from maskmill.llm.quota_sample import quota_sample, sample_report
+from maskmill.llm.tokens import token_count
 from maskmill.operators.packed import DELIMITERS, packed_values
-from maskmill.runtime import table
+from maskmill.runtime import cut, table
 
 
 def _linked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,6 +122,68 @@ def p4_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quota_sample(records, "sample_id", _CATEGORY, report)
 
 
+#: Tokens a container holds.
+CAPACITY = 2048
+
+
+def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the tokens of its whole text; the texts are read once."""
+    return cut(table(spark, sf_dir, "documents").select("doc_id", "source", token_count(F.col("text")).alias("tokens")))
+
+
+def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sized = table(spark, sf_dir, "documents").select("doc_id", token_count(F.col("text")).alias("tokens"))
+    return pack(sized, "doc_id", "tokens", CAPACITY)
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that no container holds whole."""
+    return _packed(spark, sf_dir).filter("chunk = 2").select("doc_id")
+
+
+def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The container of every document, or of every chunk of one that was cut."""
+    return _packed(spark, sf_dir)
+
+
+def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers, what they hold, and the least number any packing needs."""
+    filled = _packed(spark, sf_dir).filter("container is not null").groupBy("container").agg(F.sum("chunk_size").alias("used"), F.count("*").alias("items"))
+    sums = filled.agg(F.count("*").alias("containers"), F.sum("used").alias("tokens"), F.sum("items").alias("items"), F.max("used").alias("fullest"))
+    return sums.select(
+        "containers", "items", "tokens", "fullest", F.ceil(F.col("tokens") / CAPACITY).alias("least_containers"),
+        F.round(F.try_divide(F.col("tokens").cast("double"), F.col("containers") * CAPACITY), 6).alias("fill"),
+    )
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources that cannot give their share even at their largest number of repeats."""
+    rows = mix_report(_sized(spark, sf_dir), table(spark, sf_dir, "mix_targets"), "source", "tokens")
+    return spark.createDataFrame([(r["source"],) for r in rows if r["short"]], "source string")
+
+
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each document is used in the mix."""
+    sized = _sized(spark, sf_dir)
+    return mix(sized, "doc_id", "source", "tokens", mix_report(sized, table(spark, sf_dir, "mix_targets"), "source", "tokens"))
+
+
+def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and actual share of every source, and how often it was repeated."""
+    sized = _sized(spark, sf_dir)
+    rows = mix_report(sized, table(spark, sf_dir, "mix_targets"), "source", "tokens")
+    used = mix(sized, "doc_id", "source", "tokens", rows)
+    got = used.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("mixed_tokens"), F.sum("copies").alias("mixed_documents"), F.max("copies").alias("most_copies"))
+    targets = spark.createDataFrame(
+        [(r["source"], r["target_permille"], r["max_repeats"], r["tokens"], r["target_tokens"], r["short"]) for r in rows],
+        "source string, target_permille int, max_repeats int, tokens long, target_tokens double, short boolean",
+    )
+    whole = got.agg(F.sum("mixed_tokens").alias("all_mixed"))
+    joined = targets.join(got, "source", "left").na.fill(0, ["mixed_tokens", "mixed_documents", "most_copies"]).crossJoin(F.broadcast(whole))
+    share = F.round(F.try_divide(F.col("mixed_tokens") * 1000.0, F.col("all_mixed")), 3)
+    return joined.select(*targets.columns, "mixed_tokens", "mixed_documents", "most_copies", share.alias("actual_permille"))
+
+
 _ELIGIBLE = "(SELECT * FROM manifest WHERE eligible = 1 AND sample_id IS NOT NULL)"
 _EDGES = f"""
 named AS (
@@ -151,7 +216,7 @@ wanted AS (SELECT *, greatest(min_rows, ((SELECT count(*) FROM samples) // 5) *
 had AS (SELECT diagnosis, lesion_size_quartile, aspect_ratio_bin, count(*) AS available FROM samples GROUP BY ALL)
 """
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_groups, p3_found, p3_forest, p3_splits, p3_report, p3_recorded_leaks, p4_found, p4_report, p4_sample)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_groups, p3_found, p3_forest, p3_splits, p3_report, p3_recorded_leaks, p4_found, p4_report, p4_sample, p6_found, p6_containers, p6_report, p7_found, p7_mix, p7_report)}
 SQL = {
     "p3_found": f"""SELECT content_group FROM (
   SELECT lower(trim(content_group)) AS content_group, lower(trim(partition)) AS part, fold, {_FOLDS} AS folds FROM {_ELIGIBLE}

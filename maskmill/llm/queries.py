@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskmill.llm.components import connected_components
+from maskmill.llm.garbled import garbled_records, posteriors, repaired_records
 from maskmill.llm.group_split import spanning_forest, split_records, torn_groups
 from maskmill.llm.links import NAME, SAMPLE, clean, eligible, link_edges
 from maskmill.llm.mixing import mix, mix_report
@@ -184,6 +185,22 @@ def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select(*targets.columns, "mixed_tokens", "mixed_documents", "most_copies", share.alias("actual_permille"))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose text holds garbled characters."""
+    return garbled_records(table(spark, sf_dir, "documents"), "doc_id", "text", "source")[0].select("doc_id")
+
+
+def p8_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The garbled documents, their likeliest encoding chain and the restored text."""
+    return repaired_records(table(spark, sf_dir, "documents"), "doc_id", "text", "source")
+
+
+def p8_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected documents per source and encoding chain."""
+    post, _ = posteriors(table(spark, sf_dir, "documents"), "doc_id", "text", "source")
+    return post.groupBy("source", "chain").agg(F.round(F.sum("p"), 3).alias("documents")).filter("documents > 0")
+
+
 _ELIGIBLE = "(SELECT * FROM manifest WHERE eligible = 1 AND sample_id IS NOT NULL)"
 _EDGES = f"""
 named AS (
@@ -216,7 +233,7 @@ wanted AS (SELECT *, greatest(min_rows, ((SELECT count(*) FROM samples) // 5) *
 had AS (SELECT diagnosis, lesion_size_quartile, aspect_ratio_bin, count(*) AS available FROM samples GROUP BY ALL)
 """
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_groups, p3_found, p3_forest, p3_splits, p3_report, p3_recorded_leaks, p4_found, p4_report, p4_sample, p6_found, p6_containers, p6_report, p7_found, p7_mix, p7_report)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_groups, p3_found, p3_forest, p3_splits, p3_report, p3_recorded_leaks, p4_found, p4_report, p4_sample, p6_found, p6_containers, p6_report, p7_found, p7_mix, p7_report, p8_found, p8_repaired, p8_chains)}
 SQL = {
     "p3_found": f"""SELECT content_group FROM (
   SELECT lower(trim(content_group)) AS content_group, lower(trim(partition)) AS part, fold, {_FOLDS} AS folds FROM {_ELIGIBLE}

@@ -112,9 +112,8 @@ def _script(c: str) -> str:
 
 
 def plausible(text: str) -> bool:
-    """Could it stand in sound writing? One script per token, no controls, no capital
-    after a small letter, and no symbol other than an apostrophe or hyphen between
-    letters."""
+    """Could it stand in sound writing? One script per token, no controls, and no symbol
+    between letters other than those that writing has there."""
     script, before, gap = "", "", False
     for c in text:
         if "\x7f" <= c < "\xa0" or c == "�" or c < " ":
@@ -123,7 +122,7 @@ def plausible(text: str) -> bool:
         if s:
             if script and s != script:
                 return False
-            if gap or (before.islower() and c.isupper()):
+            if gap:
                 return False
             script = s
         elif before and _script(before) and c > "\x7f" and c not in "’‘ʼ–—…×·³²°”“»«‐‑⁻⁴ªº":

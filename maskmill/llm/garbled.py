@@ -3,8 +3,8 @@
 Expectation-maximization with a latent encoding chain per record:
 
 * *Units.* A text is seen through its tokens with non-ASCII characters (digits become
-  ``#``, outer ASCII punctuation is dropped). A token without ASCII letters is seen once
-  more between its neighbours, because a lone sign such as ``×`` is sound or not only in
+  ``#``, outer ASCII punctuation is dropped). A token without ASCII letters is seen
+  again after the token before it and before the one after it, because a lone sign such as ``×`` is sound or not only in
   its place. Units are counted over all records, one per record.
 * *Candidates.* For every chain of ``charsets`` that a unit can have come out of, the
   unit it came from; it must be plausible and attested in the corpus, or, for words that
@@ -13,7 +13,7 @@ Expectation-maximization with a latent encoding chain per record:
   skeleton; that is the chain ``lost``.
 * *E-step.* A record under chain ``c`` has each of its units garbled with probability
   ``RHO``; the likelihood ratio of a unit is (count of what it came from) / (its own
-  count as sound writing). The posterior of each chain follows, with priors per source.
+  count as sound writing in other records). The posterior of each chain follows, with priors per source.
 * *M-step.* Priors per source and chain are re-estimated, drawn to those of the whole
   corpus where a source is small; the count of a unit as sound writing loses what the
   posteriors explain as garbled. So records with strong evidence teach what weak
@@ -62,6 +62,7 @@ _OTHER = re.compile(r"[^\x00-\x7f]+")
 _LETTER = re.compile(r"[A-Za-z]")
 _OUTER = string.punctuation.replace("#", "")
 _DAMAGED = re.compile(r"[�\x80-\x9f]|[ÃÂ][^\x00-\x7f]")
+_LOSS = re.compile("[\ufffd\x80-\x9f]")
 _LONE = re.compile(r"[�\x80-\x9fÃÂâ]+")
 _CHAINS = chains()
 
@@ -89,7 +90,8 @@ def units_of(text: str | None) -> set[str]:
         if len(token) <= 12 and not _LETTER.search(token):
             before = skeleton(normal(tokens[i - 1])) if i else ""
             after = skeleton(normal(tokens[i + 1])) if i < last else ""
-            out.add(f"{before}{SEP}{token}{SEP}{after}")
+            out.add(f"{before}{SEP}{token}{SEP}")
+            out.add(f"{SEP}{token}{SEP}{after}")
     return out
 
 
@@ -112,7 +114,7 @@ def candidates_of(unit: str) -> list[tuple[str, str, str, float]]:
     if mark:
         if _LONE.fullmatch(token):
             out.append((LOST, "skeleton", skeleton(unit), 0.0))
-    elif _DAMAGED.search(token) and len(_LETTER.findall(token)) >= 2:
+    elif _LOSS.search(token) and re.search("[A-Za-z#]", token) or _DAMAGED.search(token) and len(_LETTER.findall(token)) >= 2:
         out.append((LOST, "skeleton", skeleton(unit), 0.0))
     return out
 
@@ -191,9 +193,9 @@ def posteriors(records: DataFrame, key: str, text: str, source: str, rounds: int
     prior, explained, post, scored = None, None, None, None
     for _ in range(rounds):
         if explained is None:
-            now = held.withColumn("clean", F.col("n").cast("double"))
+            now = held.withColumn("clean", F.col("n") - 1.0)
         else:
-            now = lookup(held, explained, "unit", "__u").withColumn("clean", F.greatest(F.lit(0.0), F.col("n") - F.coalesce("__e", F.lit(0.0)))).drop("__u", "__e")
+            now = lookup(held, explained, "unit", "__u").withColumn("clean", (F.col("n") - 1) * F.greatest(F.lit(0.0), 1 - F.coalesce("__e", F.lit(0.0)) / F.col("n"))).drop("__u", "__e")
         ratio = (F.col("m") + ALPHA * F.exp("bonus")) / (F.col("clean") + ALPHA)
         scored = now.withColumn("s", F.log(1 - RHO + RHO * ratio)).withColumn("g", RHO * ratio / (1 - RHO + RHO * ratio)).drop("clean")
         sums = scored.groupBy("id", "source", "chain").agg(F.sum("s").alias("s"))
@@ -249,7 +251,7 @@ def restore(text: str, ways: dict[str, tuple[str, str]], main: str) -> tuple[str
         if way is None and len(names[i]) <= 12:
             before = skeleton(names[i - 1]) if i else ""
             after = skeleton(names[i + 1]) if i + 1 < len(names) else ""
-            way = ways.get(f"{before}{SEP}{names[i]}{SEP}{after}")
+            way = ways.get(f"{before}{SEP}{names[i]}{SEP}") or ways.get(f"{SEP}{names[i]}{SEP}{after}")
         fixed = None
         if way and way[0] == LOST:
             was = way[1].split(SEP)[1] if SEP in way[1] else way[1]

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from maskmill.plans import curation
+from maskmill.plans import curation, evaluation
 
-QUERIES = {**curation.QUERIES}
-SQL = {**curation.SQL}
-FLAGSHIP = "p1_found"
+QUERIES = {**curation.QUERIES, **evaluation.QUERIES}
+SQL = {**curation.SQL, **evaluation.SQL}
+FLAGSHIP = "headline_scores"

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from maskmill.plans import curation, evaluation
+from maskmill.plans import curation, dataset, evaluation, runlogs
 
-QUERIES = {**curation.QUERIES, **evaluation.QUERIES}
-SQL = {**curation.SQL, **evaluation.SQL}
+QUERIES = {**curation.QUERIES, **dataset.QUERIES, **evaluation.QUERIES, **runlogs.QUERIES}
+SQL = {**curation.SQL, **dataset.SQL, **evaluation.SQL, **runlogs.SQL}
 FLAGSHIP = "headline_scores"

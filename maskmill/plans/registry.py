@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from maskmill.plans import curation, dataset, evaluation, runlogs
+from maskmill.plans import curation, dataset, evaluation, images, runlogs
 
-QUERIES = {**curation.QUERIES, **dataset.QUERIES, **evaluation.QUERIES, **runlogs.QUERIES}
-SQL = {**curation.SQL, **dataset.SQL, **evaluation.SQL, **runlogs.SQL}
+QUERIES = {**curation.QUERIES, **dataset.QUERIES, **evaluation.QUERIES, **runlogs.QUERIES, **images.QUERIES}
+SQL = {**curation.SQL, **dataset.SQL, **evaluation.SQL, **runlogs.SQL, **images.SQL}
 FLAGSHIP = "headline_scores"

@@ -12,7 +12,7 @@ def stable_id(diagnosis: Column, stem: Column) -> Column:
     Numbers of more than four digits keep them all.
     """
     number = F.regexp_extract(stem, r"(\d+)", 1)
-    slug = F.trim(F.lit("_"), F.regexp_replace(F.lower(stem), "[^a-z0-9]+", "_"))
+    slug = F.trim(F.regexp_replace(F.lower(stem), "[^a-z0-9]+", "_"), F.lit("_"))
     padded = F.when(F.length(number) >= 4, F.coalesce(F.nullif(F.ltrim(number, F.lit("0")), F.lit("")), F.lit("0"))).otherwise(number)
     return F.concat(diagnosis, F.lit("_"), F.when(number == "", slug).otherwise(F.when(F.length(padded) >= 4, padded).otherwise(F.lpad(padded, 4, "0"))))
 

@@ -59,7 +59,7 @@ def hamming_pairs(df: DataFrame, key: str, value: str, most: int) -> DataFrame:
     bands = most + 1
     edges = [round(i * 64 / bands) for i in range(bands + 1)]
     unique = df.groupBy(value).agg(F.min(key).alias(key))
-    cut_out = [F.shiftrightunsigned(F.col(value), a).bitwiseAND(F.lit((1 << (b - a)) - 1).cast("long")) for a, b in zip(edges, edges[1:])]
+    cut_out = [F.shiftrightunsigned(F.col(value), a).bitwiseAND(F.lit(-1 if b - a == 64 else (1 << (b - a)) - 1).cast("long")) for a, b in zip(edges, edges[1:])]
     listed = unique.withColumn("__bands", F.array(*cut_out))
     long = listed.select(key, value, "__bands", F.posexplode("__bands").alias("__band", "__bits"))
     a, b = long.alias("a"), long.alias("b")

@@ -16,7 +16,7 @@ from maskmill.operators.packed import DELIMITERS, split_packed, tokenize
         ("reader's pick;O'5", ["reader's pick", "O'5"]), ("['a', \"O'1\"]", ["a", "O'1"]), ('["a\\"b", "\\u00e9\\n"]', ['a"b', "é"]),
         ("[4170] scan.png", ["[4170] scan.png"]), ('["[1] a", "b"]', ["[1] a", "b"]), ("{1, 3}", ["1", "3"]),
         ("[[1,2],[3]]", ["1", "2", "3"]), ("[a, c [1,2]]", ["a", "c [1,2]"]), ('"open;b', ['"open', "b"]), ('"a"x;b', ['"a"x', "b"]),
-        ("a\;b;c", ["a;b", "c"]), ('"C:\\d\\";b', ["C:\\d\\", "b"]), ("a;a;a", ["a", "a", "a"]),
+        ("a\\;b;c", ["a;b", "c"]), ('"C:\\d\\";b', ["C:\\d\\", "b"]), ("a;a;a", ["a", "a", "a"]),
     ],
 )
 def test_tokenizer(text, values):

@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from maskmill.functions.scalars import four_digits, join_sorted
 
 
+#: Bits that a band must have for the band join.
+NARROW = 8
+
+
 def exact_groups(df: DataFrame, digest: str, key: str, label: str) -> DataFrame:
     """Groups of equal digests: id in digest order, members, labels, contradictory flag."""
     held = df.filter(F.col(digest).isNotNull() & (F.col(digest) != ""))
@@ -41,8 +45,9 @@ def bits_above_median(vector: Column, size: int = 64) -> Column:
     values = F.slice(vector, 1, size)
     rest = F.array_sort(F.slice(values, 2, size - 1))
     middle = F.element_at(rest, (size - 1) // 2 + 1)
-    bits = F.transform(values, lambda x, i: F.when(x > middle, F.call_function("shiftleft", F.lit(1).cast("long"), (size - 1 - i).cast("int"))).otherwise(F.lit(0).cast("long")))
-    return F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
+    held = F.struct(values.alias("v"), middle.alias("m"))  # bound once, not once per element
+    bit = lambda h: F.transform(h["v"], lambda x, i: F.when(x > h["m"], F.call_function("shiftleft", F.lit(1).cast("long"), (size - 1 - i).cast("int"))).otherwise(F.lit(0).cast("long")))
+    return F.get(F.transform(F.array(held), lambda h: F.aggregate(bit(h), F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))), 0)
 
 
 def hamming(a: Column, b: Column) -> Column:
@@ -50,13 +55,19 @@ def hamming(a: Column, b: Column) -> Column:
 
 
 def hamming_pairs(df: DataFrame, key: str, value: str, most: int) -> DataFrame:
-    """Pairs of different hashes within ``most`` bits, exactly, by banding.
+    """Pairs of different hashes within ``most`` bits, exactly.
 
     64 bits in ``most + 1`` bands: a pair that differs in at most ``most`` bits agrees in
-    one band, so an equi-join on (band, bits) finds it. Equal hashes count once, as
-    representatives of their ids. A pair is taken in the first band it agrees in.
+    one band, so an equi-join on (band, bits) finds it; a pair is taken in the first band
+    it agrees in. Where bands would be narrower than ``NARROW`` bits, which hardly
+    separate anything, hashes are compared in blocks instead. Equal hashes count once,
+    as representatives of their ids (see ``representatives``).
     """
     bands = most + 1
+    if 64 // bands < NARROW:
+        unique = df.groupBy(value).agg(F.min(key).alias(key))
+        pairs = block_pairs(unique, key, value, most, how="hamming")
+        return pairs.select(f"{key}_a", f"{key}_b", F.col("score").cast("int").alias("distance"))
     edges = [round(i * 64 / bands) for i in range(bands + 1)]
     unique = df.groupBy(value).agg(F.min(key).alias(key))
     cut_out = [F.shiftrightunsigned(F.col(value), a).bitwiseAND(F.lit(-1 if b - a == 64 else (1 << (b - a)) - 1).cast("long")) for a, b in zip(edges, edges[1:])]
@@ -67,7 +78,7 @@ def hamming_pairs(df: DataFrame, key: str, value: str, most: int) -> DataFrame:
     agree = F.arrays_zip(F.col("a.__bands").alias("x"), F.col("b.__bands").alias("y"))
     first = F.array_position(F.transform(agree, lambda z: z["x"] == z["y"]), F.lit(True)) - 1
     distance = hamming(F.col(f"a.{value}"), F.col(f"b.{value}"))
-    return pairs.filter((first == F.col("a.__band")) & (distance <= most)).select(F.col(f"a.{key}").alias(f"{key}_a"), F.col(f"b.{key}").alias(f"{key}_b"), distance.alias("distance"))
+    return pairs.filter(distance <= most).filter(first == F.col("a.__band")).select(F.col(f"a.{key}").alias(f"{key}_a"), F.col(f"b.{key}").alias(f"{key}_b"), distance.alias("distance"))
 
 
 def representatives(df: DataFrame, key: str, value: str) -> DataFrame:
@@ -94,14 +105,15 @@ def aligned(a: np.ndarray, b: np.ndarray, side: int = 8, reach: int = 2) -> tupl
 
 
 def block_pairs(df: DataFrame, key: str, vector: str, least: float, rows_per_block: int = 2048, how: str = "cosine") -> DataFrame:
-    """Pairs whose cosine (or best shifted correlation) is at least ``least``, exactly.
+    """Pairs whose cosine (or best shifted correlation) is at least ``least``, or whose
+    64-bit hashes differ in at most ``least`` bits, exactly.
 
     Rows go to hash blocks; a task holds one pair of blocks and multiplies them as
     matrices, so memory is two blocks whatever the table. This is the exhaustive way, for
     scores that have no key to join on; the number of block pairs is quadratic in the
     table. Vectors must have equal lengths; null vectors match nothing.
     """
-    held = df.filter(F.col(vector).isNotNull() & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("k"), F.col(vector).cast("array<double>").alias("v"))
+    held = df.filter(F.col(vector).isNotNull() & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("k"), F.col(vector).cast("long" if how == "hamming" else "array<double>").alias("v"))
     n = max(1, -(-held.count() // rows_per_block))
     block = F.pmod(F.xxhash64(F.lit(3), "k"), F.lit(n)).cast("int")
     spread = held.withColumn("b", block).withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).select("k", "v", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b")
@@ -109,13 +121,17 @@ def block_pairs(df: DataFrame, key: str, vector: str, least: float, rows_per_blo
 
     def compare(pair: tuple, t: pa.Table) -> pa.Table:
         ids, blocks = t["k"].to_numpy(), t["b"].to_numpy()
-        vectors = np.array(t["v"].to_pylist(), float)
+        vectors = t["v"].to_numpy().view(np.uint64) if how == "hamming" else np.array(t["v"].to_pylist(), float)
         left, right = (blocks == pair[0].as_py()), (blocks == pair[1].as_py())
         a, b = vectors[left], vectors[right]
         rows: list[np.ndarray] = []
         for start in range(0, len(a), 256):
             part, part_ids = a[start : start + 256], ids[left][start : start + 256]
-            if how == "cosine":
+            if how == "hamming":
+                score = np.bitwise_count(part[:, None] ^ b[None, :])
+                at, bt = np.nonzero(score <= least)
+                found = (score[at, bt], np.zeros(len(at), int), np.zeros(len(at), int))
+            elif how == "cosine":
                 norm = np.linalg.norm(part, axis=1)[:, None] * np.linalg.norm(b, axis=1)[None, :]
                 score = np.clip(np.divide(part @ b.T, norm, out=np.zeros((len(part), len(b))), where=norm > 0), -1, 1)
                 at, bt = np.nonzero(score >= least)
@@ -131,7 +147,7 @@ def block_pairs(df: DataFrame, key: str, vector: str, least: float, rows_per_blo
             x, y = part_ids[at], ids[right][bt]
             keep = (x < y) if pair[0].as_py() == pair[1].as_py() else np.ones(len(x), bool)
             rows.append(np.stack([np.minimum(x, y), np.maximum(x, y), *found], axis=1)[keep])
-        out = np.concatenate(rows) if rows else np.zeros((0, 5))
+        out = np.concatenate(rows).astype(float) if rows else np.zeros((0, 5))
         return pa.table({f"{key}_a": out[:, 0].astype(np.int64), f"{key}_b": out[:, 1].astype(np.int64), "score": out[:, 2], "dy": out[:, 3].astype(np.int32), "dx": out[:, 4].astype(np.int32)})
 
     return spread.groupBy("i", "j").applyInArrow(compare, schema)

@@ -9,6 +9,9 @@ is looked up, one row each, and the lookup is broadcast behind a count or salted
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,14 +20,14 @@ from maskmill.operators.dedup import number_in_order
 from maskmill.runtime import cut, lookup
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """Edges (u, v) with u > v, after one star step."""
+def _star(edges: DataFrame, large: bool, most: int) -> DataFrame:
+    """Edges (u, v) with u > v, after one star step; there are at most ``most`` vertices."""
     if large:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         both = edges
     least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("__u"), F.least("u", "m").alias("__m"))
-    joined = lookup(both, least, "u", "__u")
+    joined = lookup(both, least, "u", "__u", small_rows=most)
     if large:
         moved = joined.filter("v > u").select(F.col("v").alias("u"), F.col("__m").alias("v"))
     else:
@@ -33,13 +36,44 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return moved.filter("u > v").distinct()
 
 
-def components(edges: DataFrame, src: str, dst: str) -> DataFrame:
-    """(vertex, component) of all vertices with an edge; named by the smallest vertex."""
+#: So many edges are joined up by one task.
+ONE_TASK = 20_000
+
+
+def _join_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Union-find over a bounded table: each vertex with the smallest of its component."""
+    parent: dict[str, str] = {}
+
+    def find(x: str) -> str:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for b in batches:
+        for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            parent.setdefault(u, u)
+            parent.setdefault(v, v)
+            a, c = sorted((find(u), find(v)))
+            parent[c] = a
+    pairs = [(x, find(x)) for x in parent]
+    pairs = [p for p in pairs if p[0] != p[1]]
+    yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.string()) for i in (0, 1)], names=["u", "v"])
+
+
+def components(edges: DataFrame, src: str, dst: str, one_task: int = ONE_TASK) -> DataFrame:
+    """(vertex, component) of all vertices (texts) with an edge; named by the smallest.
+
+    Up to ``one_task`` edges are joined up by one task, more by stars."""
     a, b = F.col(src), F.col(dst)
     current = cut(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u is not null and v is not null and u > v").distinct())
     before = None
-    while True:
-        current = cut(_star(cut(_star(current, True)), False))
+    n = current.count()
+    most = 2 * n
+    if n <= one_task:
+        current = cut(current.coalesce(1).select(F.col("u").cast("string"), F.col("v").cast("string")).mapInArrow(_join_up, "u string, v string"))
+    while n > one_task:
+        current = cut(_star(_star(current, True, most), False, most))
         sign = current.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if (sign["n"], sign["h"]) == before:
             break

@@ -25,8 +25,9 @@ def test_components_against_brute_force(spark):
         if a and b and a != b and find(a) != find(b):
             ra, rb = sorted((find(a), find(b)))
             parent[rb] = ra
-    got = {r.vertex: r.component for r in graph.components(spark.createDataFrame(pairs, "a string, b string"), "a", "b").collect()}
-    assert got == {v: find(v) for v in parent}
+    for one_task in (0, 1000):
+        got = {r.vertex: r.component for r in graph.components(spark.createDataFrame(pairs, "a string, b string"), "a", "b", one_task).collect()}
+        assert got == {v: find(v) for v in parent}
     assert graph.components(spark.createDataFrame([], "a string, b string"), "a", "b").collect() == []
 
 

@@ -10,7 +10,7 @@ Expectation-maximization with a latent encoding chain per record:
   unit it came from; it must be plausible and attested in the corpus, or, for words that
   decode as UTF-8 (which sound writing hardly does by chance), earn a fixed bonus.
   Characters that were lost (U+FFFD, dropped controls) are matched by the unit's ASCII
-  skeleton; that is the chain ``lost``.
+  skeleton, or by what a sound unit would have become; that is the chain ``lost``.
 * *E-step.* A record under chain ``c`` has each of its units garbled with probability
   ``RHO``; the likelihood ratio of a unit is (count of what it came from) / (its own
   count as sound writing in other records). The posterior of each chain follows, with priors per source.
@@ -63,6 +63,7 @@ _LETTER = re.compile(r"[A-Za-z]")
 _OUTER = string.punctuation.replace("#", "")
 _DAMAGED = re.compile(r"[�\x80-\x9f]|[ÃÂ][^\x00-\x7f]")
 _LOSS = re.compile("[\ufffd\x80-\x9f]")
+_CONTROLS = re.compile("[\x80-\x9f]")
 _LONE = re.compile(r"[�\x80-\x9fÃÂâ]+")
 _CHAINS = chains()
 
@@ -101,7 +102,8 @@ def _lone(token: str) -> bool:
 
 
 def candidates_of(unit: str) -> list[tuple[str, str, str, float]]:
-    """(chain, key kind, key, bonus) of a unit; kinds are ``exact`` and ``skeleton``."""
+    """(chain, key kind, key, bonus) of a unit; kinds are ``exact`` and ``skeleton`` (see
+    ``stripped`` for the third, ``forward``)."""
     before, mark, rest = unit.partition(SEP)
     token, _, after = rest.partition(SEP) if mark else (unit, "", "")
     out = []
@@ -119,6 +121,16 @@ def candidates_of(unit: str) -> list[tuple[str, str, str, float]]:
     return out
 
 
+def stripped(unit: str) -> str | None:
+    """The unit as UTF-8 read as Latin-1 whose control characters were dropped; there is no
+    way back from it but through the unit itself. None if nothing was lost."""
+    parts = unit.split(SEP)
+    at = 1 if len(parts) == 3 else 0
+    read = parts[at].encode("utf-8", "replace").decode("latin-1")
+    parts[at] = _CONTROLS.sub("", read)
+    return SEP.join(parts) if parts[at] != read else None
+
+
 def _count_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for at in range(0, b.num_rows, 2000):
@@ -132,7 +144,8 @@ def _candidate_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     for b in batches:
         cols: tuple[list, ...] = ([], [], [], [], [], [])
         for unit, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            for row in candidates_of(unit):
+            lost = stripped(unit) if plausible(unit.replace(SEP, "")) else None
+            for row in [*candidates_of(unit), *([(LOST, "forward", lost, 0.0)] if lost else [])]:
                 for col, v in zip(cols, (unit, n, *row), strict=True):
                     col.append(v)
         types = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64())
@@ -155,6 +168,10 @@ def candidates(texts: DataFrame) -> DataFrame:
     best = sound.join(wanted, "sk", "left_semi").groupBy("sk").agg(F.max(F.struct("n", F.col("unit").alias("was"))).alias("b"))
     lost = possible.filter("kind = 'skeleton'").join(best, F.col("key") == F.col("sk")).filter("b.was <> unit")
     lost = lost.select("unit", "n", "chain", F.col("b.was").alias("key"), F.col("b.n").alias("m"), "bonus")
+    # what a sound unit would have become, where that stands in the corpus
+    became = possible.filter("kind = 'forward'").select(F.col("key").alias("__as"), F.col("unit").alias("__was"), F.col("n").alias("__m"), "chain", "bonus")
+    forward = known.join(became, F.col("unit") == F.col("__as")).select("unit", "n", "chain", F.col("__was").alias("key"), F.col("__m").alias("m"), "bonus")
+    lost = lost.unionByName(forward).groupBy("unit", "n", "chain").agg(F.max_by("key", "m").alias("key"), F.max("m").alias("m"), F.max("bonus").alias("bonus"))
     both = exact.unionByName(lost).withColumnRenamed("key", "was")
     # what is far more common than what it would have come from is no suspect
     return both.filter((F.col("m") > 0) | (F.col("bonus") > 0)).filter(F.col("m") + F.when(F.col("bonus") > 0, 5.0).otherwise(0.0) >= 0.2 * F.col("n"))

@@ -3,7 +3,7 @@ import random
 import pytest
 
 from maskmill.llm.charsets import chains, garble, page, plausible, undo
-from maskmill.llm.garbled import candidates_of, garbled_records, repaired_records, restore, skeleton, units_of
+from maskmill.llm.garbled import candidates_of, garbled_records, repaired_records, restore, skeleton, stripped, units_of
 
 SENTENCES = {
     "fr": ["Le réglage du gain a été noté par l’opératrice.", "La lésion très échogène mesure {} × {} mm.", "Vérifiez l’échelle avant de mesurer."],
@@ -55,6 +55,14 @@ def test_units():
     assert ("utf-8>cp1252", "après") in ways and not any(k == "ÃŸ" for _, _, k, _ in candidates_of("ß"))
 
 
+def test_dropped_controls(spark):
+    """UTF-8 read as Latin-1 with the controls dropped is found through the sound unit."""
+    assert stripped("reader’s") == "readerâs" and stripped("été") is None and stripped("a\x1f–\x1fb") == "a\x1fâ\x1fb"
+    rows = [(i, f"The reader’s note {i} – fine.", "s") for i in range(80)] + [(100, "The readerâs note 7 â fine.", "s"), (101, "A câmara note 4.", "s")]
+    out = repaired_records(spark.createDataFrame(rows, "doc_id long, text string, source string"), "doc_id", "text", "source").collect()
+    assert [(r.doc_id, r.repaired) for r in out] == [(100, "The reader’s note 7 – fine.")]
+
+
 def test_restore():
     text, n = restore("aprÃ¨s 12 Ã— 3,\n(pr�s)  fin", {"aprÃ¨s": ("utf-8>cp1252", "après"), "#\x1fÃ—\x1f": ("utf-8>cp1252", "#\x1f×\x1f"), "pr�s": ("lost", "près")}, "utf-8>cp1252")
     assert text == "après 12 × 3,\n(près)  fin" and n == 3

@@ -8,7 +8,7 @@ one over samples; nothing is collected.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from maskmill.functions.ratios import balanced_mean, dice, iou, precision, recall, safe
@@ -153,8 +153,8 @@ def class_pixel_counts(df: DataFrame) -> DataFrame:
 
 def class_weights(counts: DataFrame, power: float = 0.5, reference: int = 0) -> DataFrame:
     """(n_reference / n_class) ** power; the table has one row a class."""
-    ref = counts.filter(F.col("target") == reference).select(F.col("pixels").alias("n_ref"))
-    return counts.crossJoin(F.broadcast(ref)).select("target", "pixels", F.pow(safe("n_ref", "pixels"), F.lit(power)).alias("weight"))
+    ref = F.max(F.when(F.col("target") == reference, F.col("pixels"))).over(Window.partitionBy(F.lit(0)))
+    return counts.withColumn("n_ref", ref).select("target", "pixels", F.pow(safe("n_ref", "pixels"), F.lit(power)).alias("weight"))
 
 
 def class_table(df: DataFrame, *keys: str) -> DataFrame:

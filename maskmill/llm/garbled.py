@@ -207,6 +207,7 @@ def posteriors(records: DataFrame, key: str, text: str, source: str, rounds: int
     held = lookup(spread, suspects, "unit", "__unit", "inner")
     held = cut(held.select("id", "source", "unit", F.inline("__ways")))
     sizes = cut(base.groupBy("source").agg(F.count("*").cast("double").alias("__size")).withColumnRenamed("source", "__source"))
+    all_records = float(sizes.agg(F.sum("__size")).first()[0] or 1)
     prior, explained, post, scored = None, None, None, None
     for _ in range(rounds):
         if explained is None:
@@ -231,9 +232,8 @@ def posteriors(records: DataFrame, key: str, text: str, source: str, rounds: int
         explained = cut(weighed.groupBy("unit").agg(F.sum(F.col("p") * F.col("g")).alias("__e")).withColumnRenamed("unit", "__u"))
         mass = post.groupBy("source", "chain").agg(F.sum("p").alias("k"))
         everywhere = post.groupBy("chain").agg(F.sum("p").alias("all_k")).withColumnRenamed("chain", "__c")
-        total_size = F.broadcast(sizes.agg(F.sum("__size").alias("__all")))
-        pooled = lookup(mass.join(F.broadcast(everywhere), F.col("chain") == F.col("__c")), sizes, "source", "__source").crossJoin(total_size)
-        value = (F.col("k") + POOL * F.col("all_k") / F.col("__all")) / (F.col("__size") + POOL)
+        pooled = lookup(mass.join(F.broadcast(everywhere), F.col("chain") == F.col("__c")), sizes, "source", "__source")
+        value = (F.col("k") + POOL * F.col("all_k") / all_records) / (F.col("__size") + POOL)
         per = pooled.select("source", "chain", F.greatest(value, F.lit(1e-9)).alias("prior"))
         sound = F.greatest(1 - F.sum("prior").over(Window.partitionBy("source")), F.lit(0.05))
         prior = cut(per.select(F.concat_ws(SEP, "source", "chain").alias("__pk"), "prior", sound.alias("sound")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from maskmill.llm.components import connected_components
@@ -79,10 +79,8 @@ def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Samples and groups per split against the target."""
     got = p3_splits(spark, sf_dir).groupBy("split").agg(F.count("*").alias("samples"), F.count_if(F.col("sample_id") == F.col("group_first")).alias("groups"))
     joined = table(spark, sf_dir, "split_targets").join(got, "split", "left").na.fill(0, ["samples", "groups"])
-    everything = got.agg(F.sum("samples").alias("total"))
-    return joined.crossJoin(F.broadcast(everything)).select(
-        "split", "target_permille", "samples", "groups", F.round(F.try_divide(F.col("samples") * 1000.0, F.col("total")), 3).alias("actual_permille")
-    )
+    total = F.sum("samples").over(Window.partitionBy(F.lit(0)))  # one row a split
+    return joined.select("split", "target_permille", "samples", "groups", F.round(F.try_divide(F.col("samples") * 1000.0, total), 3).alias("actual_permille"))
 
 
 def p3_recorded_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -179,9 +177,9 @@ def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
         [(r["source"], r["target_permille"], r["max_repeats"], r["tokens"], r["target_tokens"], r["short"]) for r in rows],
         "source string, target_permille int, max_repeats int, tokens long, target_tokens double, short boolean",
     )
-    whole = got.agg(F.sum("mixed_tokens").alias("all_mixed"))
-    joined = targets.join(got, "source", "left").na.fill(0, ["mixed_tokens", "mixed_documents", "most_copies"]).crossJoin(F.broadcast(whole))
-    share = F.round(F.try_divide(F.col("mixed_tokens") * 1000.0, F.col("all_mixed")), 3)
+    joined = targets.join(got, "source", "left").na.fill(0, ["mixed_tokens", "mixed_documents", "most_copies"])
+    whole = F.sum("mixed_tokens").over(Window.partitionBy(F.lit(0)))  # one row a source
+    share = F.round(F.try_divide(F.col("mixed_tokens") * 1000.0, whole), 3)
     return joined.select(*targets.columns, "mixed_tokens", "mixed_documents", "most_copies", share.alias("actual_permille"))
 
 

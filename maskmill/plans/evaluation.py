@@ -124,7 +124,7 @@ def checkpoint_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(sw.best_threshold(best, "s_bal", 1e-4))
 
 
-def cbis_metrics_macro(spark: SparkSession, sf_dir: str) -> DataFrame:
+def macro_rule_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Means over samples of the two macro rules (classes in truth; lesion classes in either)."""
     classes = m.class_table(pixels(spark, sf_dir), "sample_id")
     names = ("dice", "iou", "recall", "precision")
@@ -133,7 +133,7 @@ def cbis_metrics_macro(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(present.unionByName(fore))
 
 
-def cbis_per_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+def smoothed_per_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(m.per_class_smoothed(m.class_table(pixels(spark, sf_dir))))
 
 
@@ -281,10 +281,10 @@ longer AS (SELECT 'hard' AS kind, 's_bal' AS metric, s_bal AS score, * FROM s UN
 near AS (SELECT *, max(score) OVER (PARTITION BY metric) AS best FROM longer)
 SELECT metric, threshold, round(d_n, 6) AS d_n, round(s_bal, 6) AS s_bal, round(s_bal_soft, 6) AS s_bal_soft FROM near WHERE best - score <= 1e-7
 QUALIFY row_number() OVER (PARTITION BY metric ORDER BY d_n DESC, threshold DESC) = 1""",
-    "cbis_metrics_macro": f"""WITH {PIXELS_SQL}, classes AS ({_classes("sample_id")})
+    "macro_rule_metrics": f"""WITH {PIXELS_SQL}, classes AS ({_classes("sample_id")})
 SELECT 'present' AS rule, count(*) AS samples, {_MEANS} FROM ({_macro("classes", "sample_id", "1e-15", "tp + fn > 0")})
 UNION ALL SELECT 'foreground', count(*), {_MEANS} FROM ({_macro("classes", "sample_id", "1e-7", "class > 0 AND tp + fn + fp > 0")})""",
-    "cbis_per_class": f"WITH {PIXELS_SQL}, classes AS ({_classes()}) SELECT class, round((2.0*tp+1e-7)/(2*tp+fp+fn+1e-7), 6) AS dice, round((tp+1e-7)/(tp+fp+fn+1e-7), 6) AS iou FROM classes",
+    "smoothed_per_class": f"WITH {PIXELS_SQL}, classes AS ({_classes()}) SELECT class, round((2.0*tp+1e-7)/(2*tp+fp+fn+1e-7), 6) AS dice, round((tp+1e-7)/(tp+fp+fn+1e-7), 6) AS iou FROM classes",
     "batch_mean_metrics": f"""WITH {PIXELS_SQL.replace("pixels AS (SELECT sample_id", "pixels AS (SELECT sample_id, CAST(floor(sample_id / 16) AS BIGINT) AS batch")}, classes AS ({_classes("batch")})
 SELECT count(*) AS batches, {_MEANS} FROM ({_macro("classes", "batch", "1e-7", "class > 0 AND tp + fn + fp > 0")})""",
     "losses": f"""WITH {PIXELS_SQL}, n AS (SELECT target, count(*) AS pixels FROM pixels GROUP BY 1), wt AS (SELECT target, pow((SELECT pixels FROM n WHERE target = 0) / pixels::DOUBLE, 0.5) AS weight FROM n),
@@ -308,7 +308,7 @@ SELECT l_orderkey, round(sum(a/(a+b+c)), 6) AS q0, round(sum(b/(a+b+c)), 6) AS q
 
 _NAMES = (
     label_violations, prob_validation, target_diagnosis_check, pixel_confusion, sample_confusion, per_sample_overlap, predicted_diagnosis, diagnosis_accuracy, headline_scores, micro_macro_metrics, fg_fraction_p95,
-    brier_scores, calibration_bins, ece_binary, ece_multiclass, quartile_metrics, class_pixel_counts, class_weights, threshold_sweep, best_threshold, checkpoint_selection, cbis_metrics_macro, cbis_per_class,
+    brier_scores, calibration_bins, ece_binary, ece_multiclass, quartile_metrics, class_pixel_counts, class_weights, threshold_sweep, best_threshold, checkpoint_selection, macro_rule_metrics, smoothed_per_class,
     batch_mean_metrics, losses, tta_average, argmax_counts, dual_head, recorded_headline,
 )
 QUERIES = {f.__name__: f for f in _NAMES}

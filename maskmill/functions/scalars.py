@@ -37,8 +37,13 @@ def join_sorted(values: Column) -> Column:
 
 
 def fold_list(text: Column) -> Column:
-    """Fold numbers of ``0;2`` or ``0, 2``."""
-    return F.array_compact(F.transform(split_list(text, ";,"), lambda x: x.try_cast("int")))
+    """Fold numbers of ``0;2``, ``1|4``, ``["0","2"]``, ``1 + 2``, ``{0, 3}`` and the like.
+
+    Every whole number counts, whatever stands around it; parts of words, of decimals and
+    of negative numbers do not.
+    """
+    numbers = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(?<![\w.\-])\d+(?![\w.\-])"), F.lit(0))
+    return F.array_compact(F.transform(numbers, lambda x: x.try_cast("int")))
 
 
 def four_digits(prefix: str, number: Column) -> Column:

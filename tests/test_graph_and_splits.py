@@ -147,3 +147,10 @@ def test_digests(spark):
     import struct
 
     assert d == hashlib.sha256(b"|u1" + struct.pack("<qq", 1, 2) + b"ab").hexdigest()
+
+
+def test_selections_read_every_way_of_writing_folds(spark):
+    folds = ["0|4", '["0","2"]', "['3','0']", '"0";"4"', "0；1", "0 + 1", "1;2"]
+    df = spark.createDataFrame([(i, 1, "development", 3 if i == 0 else 4, f) for i, f in enumerate(folds)], "id int, eligible int, partition string, fold int, calibration_for_folds string")
+    assert {r.id for r in df.filter(splits.in_split("calibration", 0)).collect()} == {0, 1, 2, 3, 4, 5}
+    assert {r.id for r in df.filter(splits.in_split("fit", 0)).collect()} == {6}

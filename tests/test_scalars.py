@@ -91,3 +91,10 @@ def test_config(tmp_path):
             check_split_arguments(*args)
     with pytest.raises(FileExistsError):
         check_split_arguments(0.1, 0.1, 5, None, str(tmp_path))
+
+
+def test_fold_list_of_every_exporter(spark):
+    """Whatever delimiters, quotes or brackets an exporter writes around folds."""
+    two = ["0;2", "0|2", "0 | 2", '["0","2"]', "['0', '2']", "{0,2}", '"0";"2"', "0；2", "0+2", "0 / 2", "0 2", "0\n2", "0\r\n2", "0\t2", "0;;2", " 0,;2| ", "0;2.5;-1;x3;2;99999999999"]
+    assert values(spark, s.fold_list(F.col("x")), [(t,) for t in two]) == [[0, 2]] * len(two)
+    assert values(spark, s.fold_list(F.col("x")), [("[]",), (";",), ("",), (None,)]) == [[]] * 4

@@ -81,6 +81,39 @@ def hamming_pairs(df: DataFrame, key: str, value: str, most: int) -> DataFrame:
     return pairs.filter(distance <= most).filter(first == F.col("a.__band")).select(F.col(f"a.{key}").alias(f"{key}_a"), F.col(f"b.{key}").alias(f"{key}_b"), distance.alias("distance"))
 
 
+#: Ids of equal hashes that are joined as one part.
+PART = 2048
+
+
+def all_hamming_pairs(df: DataFrame, key: str, value: str, most: int, part: int = PART) -> DataFrame:
+    """Pairs of ids whose hashes differ in at most ``most`` bits, exactly; equal hashes are
+    pairs at distance 0.
+
+    In blocks, ids are compared as they are. By bands, the pairs of ``hamming_pairs`` are
+    carried over to all ids of their hashes, which come in parts, so a hash that a third
+    of the ids share is spread over many keys. The result is as large as there are pairs:
+    quadratic in the ids of one hash. Where that is too much, ``hamming_pairs`` with
+    ``representatives`` says the same.
+    """
+    ids = df.select(key, value).filter(F.col(key).isNotNull() & F.col(value).isNotNull()).distinct()
+    if 64 // (most + 1) < NARROW:
+        pairs = block_pairs(ids, key, value, most, how="hamming")
+        return pairs.select(f"{key}_a", f"{key}_b", F.col("score").cast("int").alias("distance"))
+    sizes = ids.groupBy(value).agg(F.min(key).alias("__r"), F.count("*").alias("__n")).withColumn("__parts", F.ceil(F.col("__n") / part).cast("int"))
+    members = ids.join(sizes.withColumnRenamed(value, "__v"), F.col(value) == F.col("__v")).select(F.col(key).alias("__id"), F.col("__r"), F.pmod(F.xxhash64(F.lit(5), key), F.col("__parts")).cast("int").alias("__p"))
+    across = hamming_pairs(ids, key, value, most).select(F.col(f"{key}_a").alias("__ra"), F.col(f"{key}_b").alias("__rb"), "distance")
+    within = sizes.filter("__n > 1").select(F.col("__r").alias("__ra"), F.col("__r").alias("__rb"), F.lit(0).alias("distance"))
+    links = across.unionByName(within)
+    for side in "ab":
+        parts = sizes.select(F.col("__r").alias(f"__r{side}"), F.explode(F.sequence(F.lit(0), F.col("__parts") - 1)).alias(f"__p{side}"))
+        links = links.join(parts, f"__r{side}")
+    for side in "ab":
+        own = members.select(F.col("__r").alias(f"__r{side}"), F.col("__p").alias(f"__p{side}"), F.col("__id").alias(f"__id{side}"))
+        links = links.join(own, [f"__r{side}", f"__p{side}"])
+    kept = links.filter((F.col("__ra") != F.col("__rb")) | (F.col("__ida") < F.col("__idb")))
+    return kept.select(F.least("__ida", "__idb").alias(f"{key}_a"), F.greatest("__ida", "__idb").alias(f"{key}_b"), "distance")
+
+
 def representatives(df: DataFrame, key: str, value: str) -> DataFrame:
     """Membership of ids in the representative of their equal values."""
     return df.withColumn("representative", F.min(key).over(Window.partitionBy(value))).select(key, "representative")

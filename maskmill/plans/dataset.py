@@ -250,7 +250,7 @@ def phash_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def hamming_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = table(spark, sf_dir, "embeddings").select("vec_id", dedup.bits_above_median(F.col("embedding").cast("array<double>")).alias("bits"))
-    return dedup.hamming_pairs(v, "vec_id", "bits", 16)
+    return dedup.all_hamming_pairs(v, "vec_id", "bits", 16)
 
 
 def cosine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

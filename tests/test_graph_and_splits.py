@@ -154,3 +154,25 @@ def test_selections_read_every_way_of_writing_folds(spark):
     df = spark.createDataFrame([(i, 1, "development", 3 if i == 0 else 4, f) for i, f in enumerate(folds)], "id int, eligible int, partition string, fold int, calibration_for_folds string")
     assert {r.id for r in df.filter(splits.in_split("calibration", 0)).collect()} == {0, 1, 2, 3, 4, 5}
     assert {r.id for r in df.filter(splits.in_split("fit", 0)).collect()} == {6}
+
+
+@pytest.mark.parametrize("most", [0, 6, 16])
+def test_hamming_pairs_of_equal_hashes(spark, most):
+    """A third of all ids share one hash: every pair of ids is given, by bands and in blocks."""
+    rng = random.Random(most)
+    base = [rng.getrandbits(63) for _ in range(24)]
+    values = base + [b ^ sum(1 << x for x in rng.sample(range(63), rng.randint(1, 8))) for b in base] + [base[3]] * 24 + base[5:8]
+    want = {(i, j, (a ^ b).bit_count()) for i, a in enumerate(values) for j, b in enumerate(values) if i < j and (a ^ b).bit_count() <= most}
+    df = spark.createDataFrame([*enumerate(values), (999, None), (None, base[3])], "id long, h long")
+    for part in (2048, 7):
+        got = [tuple(r) for r in dedup.all_hamming_pairs(df, "id", "h", most, part).collect()]
+        assert len(got) == len(want) and set(got) == want
+
+
+def test_hamming_query_keeps_copies(spark, tmp_path):
+    from maskmill.plans.dataset import hamming_pairs
+
+    rng = random.Random(2)
+    vectors = [[rng.gauss(0, 1) for _ in range(64)] for _ in range(4)]
+    spark.createDataFrame([(i, vectors[max(0, i - 2)]) for i in range(6)], "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert {(0, 1, 0), (0, 2, 0), (1, 2, 0)} <= {tuple(r) for r in hamming_pairs(spark, str(tmp_path)).collect()}

@@ -5,15 +5,18 @@ Expectation-maximization with a latent encoding chain per record:
 * *Units.* A text is seen through its tokens with non-ASCII characters (digits become
   ``#``, outer ASCII punctuation is dropped). A token without ASCII letters is seen
   again after the token before it and before the one after it, because a lone sign such as ``×`` is sound or not only in
-  its place. Units are counted over all records, one per record.
+  its place. Units are counted over the distinct texts of each source, one per text, so
+  copies of a text, however many, change nothing but how often its result is given.
 * *Candidates.* For every chain of ``charsets`` that a unit can have come out of, the
   unit it came from; it must be plausible and attested in the corpus, or, for words that
   decode as UTF-8 (which sound writing hardly does by chance), earn a fixed bonus.
   Characters that were lost (U+FFFD, dropped controls) are matched by the unit's ASCII
   skeleton, or by what a sound unit would have become; that is the chain ``lost``.
-* *E-step.* A record under chain ``c`` has each of its units garbled with probability
+* *E-step.* A text under chain ``c`` has each of its units garbled with probability
   ``RHO``; the likelihood ratio of a unit is (count of what it came from) / (its own
-  count as sound writing in other records). The posterior of each chain follows, with priors per source.
+  count as sound writing in other texts). A word that decodes as UTF-8 has a ratio of at
+  least ``UTF8_LEAST``, however common it is: where a whole source is garbled, its words
+  are. The posterior of each chain follows, with priors per source.
 * *M-step.* Priors per source and chain are re-estimated, drawn to those of the whole
   corpus where a source is small; the count of a unit as sound writing loses what the
   posteriors explain as garbled. So records with strong evidence teach what weak
@@ -26,9 +29,14 @@ test: what they would have come from is not attested between the same neighbours
 Defined results: null, empty and ASCII-only texts are sound. Records with a null key are
 not assessed. Equal texts get equal results. Sources may be null (one more source).
 
-Scale: two passes over the texts and none keeps them; the corpus is counted through
-per-batch partial sums; only units with a candidate and the records that hold one go
-through the iterations. Joins to the unit tables are broadcast behind a count or salted.
+No candidate is dropped for its counts. What single-byte code pages do to a word can be
+undone as well as done, so only counts tell which of two words is the sound one: a source
+garbled so throughout is found only while its words are rarer than the sound ones.
+
+Scale: the distinct texts with non-ASCII characters are written once and read twice; the
+corpus is counted through per-batch partial sums; only units with a candidate and the
+texts that hold one go through the iterations; results are joined back to the records by
+a digest. Joins to these tables are broadcast behind a count or salted.
 """
 
 from __future__ import annotations
@@ -50,6 +58,8 @@ RHO = 0.8
 ALPHA = 0.1
 #: Log-odds for a word that decodes as UTF-8 though the result is nowhere attested.
 UTF8_BONUS = 4.0
+#: Likelihood ratio that such a word has at least, at any count.
+UTF8_LEAST = 5.0
 #: Pseudo-records that draw a source's priors to the corpus'.
 POOL = 200.0
 FIRST_PRIOR = 0.0005
@@ -155,8 +165,8 @@ def _candidate_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 def candidates(texts: DataFrame) -> DataFrame:
     """(unit, n, chain, was, m, bonus) of all units that can have come out of a chain.
 
-    ``texts`` has one text column. ``n`` and ``m`` count the records that hold the unit
-    and the one it came from.
+    ``texts`` has one text column. ``n`` and ``m`` count the texts that hold the unit and
+    the one it came from.
     """
     counted = texts.filter(F.col(texts.columns[0]).rlike("[^\\x00-\\x7f]")).mapInArrow(_count_units, "unit string, n long")
     known = cut(counted.groupBy("unit").agg(F.sum("n").alias("n")))
@@ -173,8 +183,7 @@ def candidates(texts: DataFrame) -> DataFrame:
     forward = known.join(became, F.col("unit") == F.col("__as")).select("unit", "n", "chain", F.col("__was").alias("key"), F.col("__m").alias("m"), "bonus")
     lost = lost.unionByName(forward).groupBy("unit", "n", "chain").agg(F.max_by("key", "m").alias("key"), F.max("m").alias("m"), F.max("bonus").alias("bonus"))
     both = exact.unionByName(lost).withColumnRenamed("key", "was")
-    # what is far more common than what it would have come from is no suspect
-    return both.filter((F.col("m") > 0) | (F.col("bonus") > 0)).filter(F.col("m") + F.when(F.col("bonus") > 0, 5.0).otherwise(0.0) >= 0.2 * F.col("n"))
+    return both.filter((F.col("m") > 0) | (F.col("bonus") > 0))
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,23 +199,25 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), pa.array(unit, pa.string())], names=["id", "source", "unit"])
 
 
-def posteriors(records: DataFrame, key: str, text: str, source: str, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
-    """((id, source, chain, p), evidence) after the last round.
-
-    ``p`` is the posterior of a chain for a record; records without any suspect unit are
-    absent. The evidence has (id, unit, chain, was, g), ``g`` being the probability that
-    the unit is garbled if the record's chain is ``chain``.
-    """
+def _marked(records: DataFrame, key: str, text: str, source: str) -> DataFrame:
+    """(id, source, text, mark) of the records with a key; equal texts of a source have
+    equal marks."""
     base = records.select(F.col(f"`{key}`").alias("id"), F.coalesce(F.col(f"`{source}`").cast("string"), F.lit("")).alias("source"), F.col(f"`{text}`").cast("string").alias("text"))
-    base = base.filter(F.col("id").isNotNull())
-    id_type = base.schema["id"].dataType.simpleString()
-    found = cut(candidates(base.select("text")))
+    return base.filter(F.col("id").isNotNull()).withColumn("mark", F.unhex(F.sha2(F.concat_ws(SEP, "source", "text"), 256)))
+
+
+def _assessed(base: DataFrame, rounds: int) -> tuple[DataFrame, DataFrame]:
+    """((kind, mark, source, chain, p), (kind, unit, chain, was, g)) of the distinct texts
+    of ``_marked`` records, after the last round."""
+    texts = base.filter(F.col("text").rlike("[^\\x00-\\x7f]")).select("source", "text", "mark").distinct()
+    kinds = cut(texts.withColumn("id", F.monotonically_increasing_id()))
+    sizes = cut(base.select("source", "mark").distinct().groupBy("source").agg(F.count("*").cast("double").alias("__size")).withColumnRenamed("source", "__source"))
+    found = cut(candidates(kinds.select("text")))
     suspects = found.groupBy("unit").agg(F.collect_list(F.struct("chain", "was", "n", "m", "bonus")).alias("__ways"))  # at most one per chain
     suspects = cut(suspects.withColumnRenamed("unit", "__unit"))
-    spread = base.filter(F.col("text").rlike("[^\\x00-\\x7f]")).mapInArrow(_occurrences, f"id {id_type}, source string, unit string")
+    spread = kinds.select("id", "source", "text").mapInArrow(_occurrences, "id long, source string, unit string")
     held = lookup(spread, suspects, "unit", "__unit", "inner")
     held = cut(held.select("id", "source", "unit", F.inline("__ways")))
-    sizes = cut(base.groupBy("source").agg(F.count("*").cast("double").alias("__size")).withColumnRenamed("source", "__source"))
     all_records = float(sizes.agg(F.sum("__size")).first()[0] or 1)
     prior, explained, post, scored = None, None, None, None
     for _ in range(rounds):
@@ -215,6 +226,7 @@ def posteriors(records: DataFrame, key: str, text: str, source: str, rounds: int
         else:
             now = lookup(held, explained, "unit", "__u").withColumn("clean", (F.col("n") - 1) * F.greatest(F.lit(0.0), 1 - F.coalesce("__e", F.lit(0.0)) / F.col("n"))).drop("__u", "__e")
         ratio = (F.col("m") + ALPHA * F.exp("bonus")) / (F.col("clean") + ALPHA)
+        ratio = F.greatest(ratio, F.when(F.col("bonus") > 0, UTF8_LEAST).otherwise(0.0))
         scored = now.withColumn("s", F.log(1 - RHO + RHO * ratio)).withColumn("g", RHO * ratio / (1 - RHO + RHO * ratio)).drop("clean")
         sums = scored.groupBy("id", "source", "chain").agg(F.sum("s").alias("s"))
         if prior is None:
@@ -237,17 +249,35 @@ def posteriors(records: DataFrame, key: str, text: str, source: str, rounds: int
         per = pooled.select("source", "chain", F.greatest(value, F.lit(1e-9)).alias("prior"))
         sound = F.greatest(1 - F.sum("prior").over(Window.partitionBy("source")), F.lit(0.05))
         prior = cut(per.select(F.concat_ws(SEP, "source", "chain").alias("__pk"), "prior", sound.alias("sound")))
-    evidence = scored.select("id", "unit", "chain", "was", "g")
-    return post, evidence
+    marked = post.join(kinds.select("id", "mark"), "id").select(F.col("id").alias("kind"), "mark", "source", "chain", "p")
+    return marked, scored.select(F.col("id").alias("kind"), "unit", "chain", "was", "g")
+
+
+def posteriors(records: DataFrame, key: str, text: str, source: str, rounds: int = ROUNDS) -> DataFrame:
+    """(id, source, chain, p): the posterior of each chain for a record after the last
+    round; records without any suspect unit are absent."""
+    base = _marked(records, key, text, source)
+    post, _ = _assessed(base, rounds)
+    ways = cut(post.groupBy(F.col("mark").alias("__mark")).agg(F.collect_list(F.struct("chain", "p")).alias("__ways")))  # at most one per chain
+    return lookup(base.select("id", "source", "mark"), ways, "mark", "__mark", "inner").select("id", "source", F.inline("__ways"))
+
+
+def _found(base: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((kind, __mark, __chain, probability), weighed evidence) of the garbled texts."""
+    post, evidence = _assessed(base, ROUNDS)
+    mine = post.groupBy("kind", F.col("mark").alias("__mark")).agg(F.sum("p").alias("probability"), F.max(F.struct("p", "chain")).alias("b"))
+    found = cut(mine.filter("probability > 0.5").select("kind", "__mark", F.col("b.chain").alias("__chain"), "probability"))
+    return found, evidence.join(post.select("kind", "chain", "p"), ["kind", "chain"])
 
 
 def garbled_records(records: DataFrame, key: str, text: str, source: str) -> tuple[DataFrame, DataFrame]:
-    """((key, chain, probability), evidence): the garbled records with their likeliest chain."""
-    post, evidence = posteriors(records, key, text, source)
-    mine = post.groupBy("id").agg(F.sum("p").alias("probability"), F.max(F.struct("p", "chain")).alias("b"))
-    found = mine.filter("probability > 0.5").select(F.col("id").alias(key), F.col("b.chain").alias("chain"), "probability")
-    weighed = evidence.join(post.select("id", "chain", "p"), ["id", "chain"])
-    return found, weighed
+    """((key, chain, probability), evidence): the garbled records with their likeliest
+    chain; the evidence is that of their distinct texts."""
+    base = _marked(records, key, text, source)
+    found, weighed = _found(base)
+    held = lookup(base.select("id", "mark"), found.drop("kind"), "mark", "__mark", "inner")
+    best = held.groupBy("id").agg(F.max(F.struct("probability", "__chain")).alias("b"))
+    return best.select(F.col("id").alias(key), F.col("b.__chain").alias("chain"), "b.probability"), weighed
 
 
 def restore(text: str, ways: dict[str, tuple[str, str]], main: str) -> tuple[str, int]:
@@ -296,12 +326,13 @@ def repaired_records(records: DataFrame, key: str, text: str, source: str, name:
 
     What cannot be restored stays as it is.
     """
-    found, weighed = garbled_records(records, key, text, source)
-    best = weighed.withColumn("w", F.col("p") * F.col("g")).groupBy("id", "unit").agg(F.sum("w").alias("w"), F.max(F.struct("w", "chain", "was")).alias("b")).filter("w > 0.5")
-    ways = best.groupBy("id").agg(F.collect_list(F.struct("unit", "b.chain", "b.was")).alias("ways"))  # a record's own units
-    plans = cut(found.join(ways, found[key] == ways["id"], "left").select(F.col(key).alias("__id"), F.col("chain").alias("__chain"), "probability", "ways"))
-    texts = records.select(F.col(f"`{key}`").alias("__key"), F.col(f"`{text}`").cast("string").alias("__text")).filter(F.col("__key").isNotNull())
-    joined = lookup(texts, plans, "__key", "__id", "inner")
+    base = _marked(records, key, text, source)
+    found, weighed = _found(base)
+    best = weighed.withColumn("w", F.col("p") * F.col("g")).groupBy("kind", "unit").agg(F.sum("w").alias("w"), F.max(F.struct("w", "chain", "was")).alias("b")).filter("w > 0.5")
+    ways = best.groupBy("kind").agg(F.collect_list(F.struct("unit", "b.chain", "b.was")).alias("ways"))  # a text's own units
+    plans = cut(found.join(ways, "kind", "left").select("__mark", "__chain", "probability", "ways"))
+    texts = base.select(F.col("id").alias("__key"), F.col("text").alias("__text"), "mark")
+    joined = lookup(texts, plans, "mark", "__mark", "inner")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

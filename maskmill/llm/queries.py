@@ -195,7 +195,7 @@ def p8_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p8_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Expected documents per source and encoding chain."""
-    post, _ = posteriors(table(spark, sf_dir, "documents"), "doc_id", "text", "source")
+    post = posteriors(table(spark, sf_dir, "documents"), "doc_id", "text", "source")
     return post.groupBy("source", "chain").agg(F.round(F.sum("p"), 3).alias("documents")).filter("documents > 0")
 
 

@@ -95,3 +95,36 @@ def test_quoted_signs_alone_are_sound(spark, trap):
     rows = [(i, f"La lésion mesure {i} × 3 mm. été", "s") for i in range(60)] + [(100, trap.format(4), "s")]
     found, _ = garbled_records(spark.createDataFrame(rows, "doc_id long, text string, source string"), "doc_id", "text", "source")
     assert found.collect() == []
+
+
+def test_copies_of_one_garbled_text(spark):
+    """A third of all rows are copies of one garbled text; all of them are found and repaired."""
+    rows, truth = corpus(600, 5)
+    rows = [r[:3] for r in rows]
+    sound = "Le réglage du gain a été noté par l’opératrice. Vérifiez l’échelle avant de mesurer."
+    rows += [(10_000 + i, garble(sound, "utf-8>cp1252"), "a") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    out = {r.doc_id: r for r in repaired_records(df, "doc_id", "text", "source").collect()}
+    assert all(i in out and out[i].repaired == sound for i in range(10_000, 10_300))
+    hits = len(set(out) & set(truth))
+    assert hits >= 0.9 * len(truth) and hits >= 0.9 * sum(i < 10_000 for i in out)
+
+
+def test_source_garbled_throughout(spark):
+    """A source that holds a third of all rows, each another text, all read in the wrong encoding."""
+    rows, _ = corpus(400, 7)
+    rng = random.Random(4)
+    rows = [r[:3] for r in rows]
+    say = lambda: " ".join(rng.choice(SENTENCES["fr"]).format(rng.randint(1, 99), rng.randint(1, 99)) for _ in range(5)) + f" {rng.random()}"
+    rows += [(10_000 + i, garble(say(), "utf-8>cp1252"), "hot") for i in range(200)]
+    found, _ = garbled_records(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3), "doc_id", "text", "source")
+    assert sum(r.doc_id >= 10_000 for r in found.collect()) >= 190
+
+
+@pytest.mark.parametrize("times", [1, 40])
+def test_more_deliveries_change_nothing(spark, times):
+    """A word that decodes as UTF-8 and is nowhere attested counts once per text."""
+    bad = garble("préopératoire échogénicité hétérogène séparément éloignée médiolatérale", "utf-8>cp1252")
+    rows = [(i, f"La lésion mesure {i} × 3 mm.", "s") for i in range(60)] + [(100 + i, bad, "s") for i in range(times)]
+    found, _ = garbled_records(spark.createDataFrame(rows, "doc_id long, text string, source string"), "doc_id", "text", "source")
+    assert {r.doc_id for r in found.collect()} == {100 + i for i in range(times)}

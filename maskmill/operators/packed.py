@@ -24,7 +24,7 @@ Defined results
       escapes are those of JSON; elsewhere a backslash escapes only a quote or, in
       bare text, a delimiter.
     * brackets nest, and delimiters inside brackets opened within a bare value belong
-      to it; a field is a bracketed list only if its first bracket is closed
+      to it, unless the bracket is never closed; a field is a bracketed list only if its first bracket is closed
       by its last character, so ``[4170] scan.png`` stays one value.
 """
 
@@ -42,6 +42,7 @@ from pyspark.sql import types as T
 #: Delimiters of any packed field; a field may add its own (see ``split_packed``).
 DELIMITERS = ";,|\t\r\n；"
 _PAIRS = {"[": "]", "{": "}"}
+_BRACKET = re.compile(r"[\[\]{}]")
 _JSON_ESCAPES = {"n": "\n", "t": "\t", "r": "\r", "b": "\b", "f": "\f"}
 
 
@@ -85,6 +86,17 @@ def _wrapped(text: str, delims: frozenset) -> bool:
     return depth == 0
 
 
+def _bracketed(text: str) -> dict[int, int]:
+    """Index of each bracket that is closed, with that of its closing one."""
+    out, still = {}, []
+    for m in _BRACKET.finditer(text):
+        if m.group() in _PAIRS:
+            still.append((m.start(), _PAIRS[m.group()]))
+        elif still and still[-1][1] == m.group():
+            out[still.pop()[0]] = m.start()
+    return out
+
+
 def _closing_quote(s: str, start: int, delims: frozenset, nested: bool) -> int:
     """Index of the quote that closes the one at ``start``; -1 if none does."""
     q, i, n = s[start], start + 1, len(s)
@@ -158,6 +170,7 @@ def tokenize(text: str | None, delimiters: str = DELIMITERS) -> list[str]:
         return []
     bare, bare_nested, _, delims = _scanners(delimiters)
     nested = _wrapped(s, delims)
+    closed = {} if nested else _bracketed(s)
     out: list[str] = []
     depth, i, n = 0, 0, len(s)
     while i < n:
@@ -183,7 +196,7 @@ def tokenize(text: str | None, delimiters: str = DELIMITERS) -> list[str]:
                 i = end + 1
                 continue
         # BARE
-        start, pieces, inner, scan = i, [], 0, bare_nested if nested else bare
+        start, pieces, inner, until, scan = i, [], 0, 0, bare_nested if nested or closed else bare
         while True:
             m = scan.search(s, i)
             if m is None:
@@ -196,6 +209,10 @@ def tokenize(text: str | None, delimiters: str = DELIMITERS) -> list[str]:
                     start = i + 1
                 i += 2
                 continue
+            if not nested and c in "[]{}":
+                until = max(until, closed.get(i, 0))
+                i += 1
+                continue
             if c in "[{":
                 inner += 1
                 i += 1
@@ -204,7 +221,7 @@ def tokenize(text: str | None, delimiters: str = DELIMITERS) -> list[str]:
                 inner -= 1
                 i += 1
                 continue
-            if inner and c in delims:
+            if (inner or i < until) and c in delims:
                 i += 1
                 continue
             break

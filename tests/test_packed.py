@@ -76,3 +76,18 @@ def test_operator(spark):
 def test_delimiters_are_a_class():
     for d in DELIMITERS:
         assert tokenize(f"a{d}b") == ["a", "b"]
+
+
+@pytest.mark.parametrize(
+    "text,values",
+    [
+        ("scan [a; b].png; c.png", ["scan [a; b].png", "c.png"]), ("x; f{1,2}.png | y", ["x", "f{1,2}.png", "y"]), ("a [b {c; d}; e] f; g", ["a [b {c; d}; e] f", "g"]),
+        ("a [b; c", ["a [b", "c"]), ("a] b; c", ["a] b", "c"]), ("a [b; c [d; e]", ["a [b", "c [d; e]"]), ("a [b; c}; d", ["a [b", "c}", "d"]),
+    ],
+)
+def test_brackets_within_bare_values(text, values):
+    assert tokenize(text) == values
+
+
+def test_brackets_that_never_close_are_no_slower():
+    assert len(tokenize("a[;" * 100_000)) == 100_000

@@ -58,7 +58,8 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recorded content groups that the recorded splits tear apart."""
     members = _recorded(spark, sf_dir).filter("content_group <> ''").withColumn("name", F.concat(F.lit(NAME), "content_group"))
     _, labels = spanning_forest(members.select(F.concat(F.lit(SAMPLE), "sample_id").alias("src"), F.col("name").alias("dst")))
-    # the component of a group's name is the group; its name is the only one in it
+    # every group's name has a component, so this keeps all of them; a component holds
+    # several names where two deliveries of a sample name different groups
     named = labels.filter(F.startswith("vertex", F.lit(NAME))).select(F.substring("vertex", len(NAME) + 1, 1 << 30).alias("content_group"), "component")
     return _torn(members, "content_group").join(named, "content_group", "left_semi")
 

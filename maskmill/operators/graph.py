@@ -17,23 +17,25 @@ from pyspark.sql import functions as F
 
 from maskmill.functions.scalars import join_sorted
 from maskmill.operators.dedup import number_in_order
-from maskmill.runtime import cut, lookup
+from maskmill.runtime import cut, lookup, release
 
 
-def _star(edges: DataFrame, large: bool, most: int) -> DataFrame:
-    """Edges (u, v) with u > v, after one star step; there are at most ``most`` vertices."""
+def _star(edges: DataFrame, large: bool) -> DataFrame:
+    """Edges (u, v) with u > v, after one star step."""
     if large:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         both = edges
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("__u"), F.least("u", "m").alias("__m"))
-    joined = lookup(both, least, "u", "__u", small_rows=most)
+    least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("__u"), F.least("u", "m").alias("__m")))
+    joined = lookup(both, least, "u", "__u")
     if large:
         moved = joined.filter("v > u").select(F.col("v").alias("u"), F.col("__m").alias("v"))
     else:
         hung = joined.select(F.col("v").alias("u"), F.col("__m").alias("v"))
         moved = hung.unionByName(least.select(F.col("__u").alias("u"), F.col("__m").alias("v")))
-    return moved.filter("u > v").distinct()
+    out = cut(moved.filter("u > v").distinct())
+    release(least)
+    return out
 
 
 #: So many edges are joined up by one task.
@@ -69,11 +71,12 @@ def components(edges: DataFrame, src: str, dst: str, one_task: int = ONE_TASK) -
     current = cut(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u is not null and v is not null and u > v").distinct())
     before = None
     n = current.count()
-    most = 2 * n
     if n <= one_task:
         current = cut(current.coalesce(1).select(F.col("u").cast("string"), F.col("v").cast("string")).mapInArrow(_join_up, "u string, v string"))
     while n > one_task:
-        current = cut(_star(_star(current, True, most), False, most))
+        old, middle = current, _star(current, True)
+        current = _star(middle, False)
+        release(old, middle)
         sign = current.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if (sign["n"], sign["h"]) == before:
             break
@@ -82,12 +85,12 @@ def components(edges: DataFrame, src: str, dst: str, one_task: int = ONE_TASK) -
     return current.select(F.col("u").alias("vertex"), F.col("v").alias("component")).unionByName(roots.select("vertex", F.col("vertex").alias("component")))
 
 
-def content_groups(members: DataFrame, key: str, edges: DataFrame, src: str, dst: str) -> DataFrame:
+def content_groups(members: DataFrame, key: str, edges: DataFrame, src: str, dst: str, one_task: int = ONE_TASK) -> DataFrame:
     """(key, content_group) of every member: linked ones share a group, numbered in the
     order of the smallest member; edges with an end outside ``members`` are dropped."""
     ids = members.select(F.col(key).alias("__id")).distinct()
     inner = edges.join(ids, F.col(src) == F.col("__id"), "left_semi").join(ids, F.col(dst) == F.col("__id"), "left_semi")
-    found = components(inner, src, dst).withColumnsRenamed({"vertex": "__v", "component": "__c"})
+    found = components(inner, src, dst, one_task).withColumnsRenamed({"vertex": "__v", "component": "__c"})
     placed = ids.join(found, F.col("__id") == F.col("__v"), "left").select(F.col("__id").alias(key), F.coalesce("__c", "__id").alias("first_member"))
     placed = cut(placed)
     numbered = number_in_order(placed.select("first_member").distinct(), "first_member", "content_group", "content")

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
+import itertools
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,8 +21,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder of the session.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset, as in
-    tests on one machine, a folder of our own is made.
+    A cluster names it in ``spark.checkpoint.dir``; one that does not is refused. Only on
+    a single machine, as in tests, a temporary folder of our own is made.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -25,44 +30,100 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         named = os.path.join(tempfile.gettempdir(), f"maskmill-checkpoints-{os.getuid()}")
     sc.setCheckpointDir(named)
     return sc.getCheckpointDir()
 
 
+_FOLDERS: dict[str, str] = {}
+_NUMBERS = itertools.count()
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _delete_at_exit(spark: SparkSession, path: str) -> None:
+    try:
+        _delete(spark, path)
+    except Exception:  # the session has ended already
+        if path.startswith("file:"):
+            import shutil
+
+            shutil.rmtree(path[5:], ignore_errors=True)
+
+
+def _folder(spark: SparkSession) -> str:
+    """A folder for the tables of this application, deleted when it ends."""
+    app = spark.sparkContext.applicationId
+    if app not in _FOLDERS:
+        _FOLDERS[app] = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables-{uuid.uuid4().hex}"
+        atexit.register(_delete_at_exit, spark, _FOLDERS[app])
+    return _FOLDERS[app]
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and continue from the files.
+    """Write ``df`` as Parquet to the shared checkpoint folder and continue from the files.
 
     The files outlive any executor, so a lost executor never forces a rerun of an
-    iterative plan.
+    iterative plan. What is read back is a plain scan: the planner's size estimate is that
+    of the files, not a product of the estimates of all rounds before, as it stays with
+    ``DataFrame.checkpoint``. ``release`` deletes the files of a round that is over.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{_folder(spark)}/{next(_NUMBERS)}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.__dict__["cut_path"] = path
+    return out
 
 
-def shuffle_width(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def release(*frames: DataFrame) -> None:
+    """Delete the files of frames from ``cut`` that no frame still in use reads."""
+    for df in frames:
+        path = df.__dict__.pop("cut_path", None)
+        if path:
+            _delete(df.sparkSession, path)
 
 
-#: A table is broadcast only if it was counted and has at most so many rows.
+#: A table is broadcast only if it was measured and has at most so many rows and bytes.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 32 << 20
 SALTS = 16
 
 
-def lookup(big: DataFrame, small: DataFrame, key: str, small_key: str, how: str = "left", small_rows: int | None = None) -> DataFrame:
+def _bytes_of(field: T.StructField):
+    c, kind = F.col(f"`{field.name}`"), field.dataType
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(c), F.lit(0)) + 16
+    if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
+        return F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0)) * 2 + 32
+    return F.lit(16)
+
+
+def fits_broadcast(small: DataFrame) -> bool:
+    """Whether a table is within both bounds of a broadcast, by counting it."""
+    width = F.lit(0)
+    for f in small.schema.fields:
+        width = width + _bytes_of(f)
+    got = small.agg(F.count("*").alias("n"), F.sum(width.cast("long")).alias("b")).first()
+    return got["n"] <= BROADCAST_ROWS and (got["b"] or 0) <= BROADCAST_BYTES
+
+
+def lookup(big: DataFrame, small: DataFrame, key: str, small_key: str, how: str = "left", fits: bool | None = None) -> DataFrame:
     """Join each row of ``big`` with its one row of ``small``, whatever the skew of ``key``.
 
     ``small`` is unique in ``small_key`` and shares no other column name with ``big``.
-    It is broadcast only behind a count; beyond the bound it is repeated under
-    ``SALTS`` salts, so that a key that holds a third of ``big`` is spread over as many
-    tasks.
+    It is broadcast only if it was measured (``fits``, or here); beyond the bound it is
+    repeated under ``SALTS`` salts, so that a key that holds a third of ``big`` is spread
+    over as many tasks.
     """
-    from pyspark.sql import functions as F
-
-    rows = small.count() if small_rows is None else small_rows
-    if rows <= BROADCAST_ROWS:
+    if fits_broadcast(small) if fits is None else fits:
         return big.join(F.broadcast(small), F.col(key) == F.col(small_key), how)
-    salted = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge")
     mixed = big.withColumn("__mix", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in big.columns]), F.lit(SALTS)).cast("int"))
     return mixed.join(salted, (F.col(key) == F.col(small_key)) & (F.col("__mix") == F.col("__salt")), how).drop("__salt", "__mix")
 
@@ -71,26 +132,26 @@ def lookup(big: DataFrame, small: DataFrame, key: str, small_key: str, how: str
 RANK_ROWS = 100_000
 
 
-def ranked(df: DataFrame, groups: list[str], order: list, identity: list[str], name: str = "rank", rows: int | None = None) -> DataFrame:
-    """Exact row number within each group, without one task per group.
+def ranked(df: DataFrame, groups: list[str], identity: list[str], name: str = "rank", seed: int = 17, rows: int | None = None, rank_rows: int = RANK_ROWS) -> DataFrame:
+    """Exact row number within each group in the order of the hash of ``identity`` (then of
+    ``identity`` itself), without one task per group.
 
-    Rows are spread over hash buckets of ``identity``; a group's order is bucket first,
-    then ``order``. Bucket sizes, summed up within a group, give each bucket its
-    offset. A group that holds a third of all rows is ranked by as many tasks as its
-    size asks for.
+    Rows are spread over ranges of the hash, so the order is the same whatever the number
+    of ranges and the size of the table. The ranges' sizes, summed up within a group, give
+    each its offset: a group that holds a third of all rows is ranked by as many tasks as
+    its size asks for.
     """
-    from pyspark.sql import Window
-    from pyspark.sql import functions as F
-
     rows = df.count() if rows is None else rows
-    buckets = max(1, -(-rows // RANK_ROWS))
-    if buckets == 1:
-        return df.withColumn(name, F.row_number().over(Window.partitionBy(*groups).orderBy(*order)).cast("long"))
-    placed = df.withColumn("__ranked_bucket", F.pmod(F.xxhash64(F.lit(17), *identity), F.lit(buckets)))
+    bits = max(0, (max(1, -(-rows // rank_rows)) - 1).bit_length())
+    hashed = df.withColumn("__ranked_h", F.xxhash64(F.lit(seed), *identity))
+    order = ["__ranked_h", *identity]
+    if bits == 0:
+        return hashed.withColumn(name, F.row_number().over(Window.partitionBy(*groups).orderBy(*order)).cast("long")).drop("__ranked_h")
+    placed = hashed.withColumn("__ranked_bucket", F.shiftright("__ranked_h", 64 - bits))
     sizes = placed.groupBy(*groups, "__ranked_bucket").agg(F.count("*").alias("__ranked_n"))
     before = Window.partitionBy(*groups).orderBy("__ranked_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.withColumn("__ranked_offset", F.coalesce(F.sum("__ranked_n").over(before), F.lit(0))).drop("__ranked_n")
     inside = placed.withColumn("__ranked_r", F.row_number().over(Window.partitionBy(*groups, "__ranked_bucket").orderBy(*order)))
     on = [F.col(f"a.{g}").eqNullSafe(F.col(f"b.{g}")) for g in [*groups, "__ranked_bucket"]]
     joined = inside.alias("a").join(offsets.alias("b"), on)
-    return joined.select("a.*", (F.col("b.__ranked_offset") + F.col("a.__ranked_r")).alias(name)).drop("__ranked_bucket", "__ranked_r")
+    return joined.select("a.*", (F.col("b.__ranked_offset") + F.col("a.__ranked_r")).alias(name)).drop("__ranked_bucket", "__ranked_r", "__ranked_h")

@@ -8,7 +8,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -132,9 +132,10 @@ def lookup(big: DataFrame, small: DataFrame, key: str, small_key: str, how: str
 RANK_ROWS = 100_000
 
 
-def ranked(df: DataFrame, groups: list[str], identity: list[str], name: str = "rank", seed: int = 17, rows: int | None = None, rank_rows: int = RANK_ROWS) -> DataFrame:
+def ranked(df: DataFrame, groups: list[str], identity: list[str], name: str = "rank", seed: int = 17, rows: int | None = None, rank_rows: int | None = None, hashed: Column | None = None) -> DataFrame:
     """Exact row number within each group in the order of the hash of ``identity`` (then of
-    ``identity`` itself), without one task per group.
+    ``identity`` itself), without one task per group. ``hashed`` may give another hash,
+    spread over all of ``bigint``.
 
     Rows are spread over ranges of the hash, so the order is the same whatever the number
     of ranges and the size of the table. The ranges' sizes, summed up within a group, give
@@ -142,8 +143,8 @@ def ranked(df: DataFrame, groups: list[str], identity: list[str], name: str = "r
     its size asks for.
     """
     rows = df.count() if rows is None else rows
-    bits = max(0, (max(1, -(-rows // rank_rows)) - 1).bit_length())
-    hashed = df.withColumn("__ranked_h", F.xxhash64(F.lit(seed), *identity))
+    bits = max(0, (max(1, -(-rows // (rank_rows or RANK_ROWS))) - 1).bit_length())
+    hashed = df.withColumn("__ranked_h", F.xxhash64(F.lit(seed), *identity) if hashed is None else hashed)
     order = ["__ranked_h", *identity]
     if bits == 0:
         return hashed.withColumn(name, F.row_number().over(Window.partitionBy(*groups).orderBy(*order)).cast("long")).drop("__ranked_h")

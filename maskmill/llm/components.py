@@ -16,8 +16,8 @@ labels from the last round to the first.
 
 Sizes: a cell is one task and holds about ``cell_edges`` edges; the grid grows with the
 edges. A hot vertex is spread over the cells of its row and column, and the only table
-that its rows meet in a join is broadcast behind a count or salted. Nothing is
-collected. All rounds are cut by checkpoints in the shared folder.
+that its rows meet in a join is broadcast after it was measured, or salted. Nothing is
+collected. All rounds are cut by tables in the shared folder, and deleted once over.
 """
 
 from __future__ import annotations
@@ -31,11 +31,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskmill.runtime import cut, lookup
+from maskmill.runtime import cut, fits_broadcast, lookup, release
 
+#: Edges of a cell; the grid of a round has as many blocks as its edges ask for.
 CELL_EDGES = 250_000
-#: Below so many edges one cell does it all.
-ONE_CELL = 20_000
+#: Blocks of the first round at least, so that every run exchanges representatives.
+LEAST_BLOCKS = 4
 
 
 def union_find(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
@@ -99,19 +100,20 @@ def _cell_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def roots_of(parents: DataFrame, referenced: DataFrame) -> DataFrame:
     """(name, root) of the referenced vertices that have a parent, by pointer jumping."""
     active = cut(parents.join(referenced, parents.x == referenced.m, "left_semi").select(F.col("x").alias("name"), F.col("p").alias("root")))
+    if active.isEmpty():
+        return active
+    fits = fits_broadcast(active)  # roots change, names and the number of rows do not
     while True:
-        rows = active.count()
-        if rows == 0:
-            return active
         hop = active.select(F.col("name").alias("__n"), F.col("root").alias("__r"))
-        jumped = lookup(active, hop, "root", "__n", small_rows=rows)
+        jumped = lookup(active, hop, "root", "__n", fits=fits)
         jumped = cut(jumped.select("name", F.coalesce("__r", "root").alias("root"), F.col("__r").isNotNull().alias("moved")))
-        active = jumped.select("name", "root")
+        release(active)
+        active = jumped
         if jumped.filter("moved").isEmpty():
             return active
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", cell_edges: int = CELL_EDGES, one_cell: int = ONE_CELL) -> DataFrame:
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", cell_edges: int = CELL_EDGES) -> DataFrame:
     """(vertex, component) of every vertex of ``edges``; a component is named by its
     smallest vertex in binary order.
 
@@ -126,7 +128,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", c
         n = current.count()
         if n == 0:
             break
-        blocks = 1 if n <= one_cell else max(4, math.ceil(math.sqrt(2 * n / cell_edges)))
+        blocks = max(1 if rounds else LEAST_BLOCKS, math.ceil(math.sqrt(2 * n / cell_edges)))
         bu, bv = (F.pmod(F.xxhash64(c), F.lit(blocks)) for c in ("u", "v"))
         placed = current.select("u", "v", F.least(bu, bv).alias("row"), F.greatest(bu, bv).alias("col"))
         cells = blocks * (blocks + 1) // 2
@@ -134,19 +136,22 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", c
         stars = grid.mapInArrow(_cell_forest, "x string, m string")
         # a vertex stands in at most `blocks` cells: its row and its column
         exchanged = cut(stars.groupBy("x").agg(F.min("m").alias("p"), F.collect_set("m").alias("ms")))
+        release(current)
         apart = exchanged.filter(F.size("ms") > 1)
         if blocks == 1:
             rounds.append(exchanged.select("x", F.col("p").alias("root")))
             break
         referenced = exchanged.select(F.explode("ms").alias("m")).distinct()
-        top = roots_of(exchanged.select("x", "p"), referenced)
-        tops = top.count()
+        found = roots_of(exchanged.select("x", "p"), referenced)
+        top = found.select("name", "root")
+        fits = fits_broadcast(top)
         second = top.select(F.col("name").alias("__n2"), F.col("root").alias("__r2"))
-        mapped = lookup(exchanged.select("x", "p"), top, "p", "name", small_rows=tops)
+        mapped = lookup(exchanged.select("x", "p"), top, "p", "name", fits=fits)
         rounds.append(cut(mapped.select("x", F.coalesce("root", "p").alias("root"))))
         pairs = apart.select("p", F.explode("ms").alias("m")).filter("p <> m")
-        pairs = lookup(lookup(pairs, top, "p", "name", small_rows=tops), second, "m", "__n2", small_rows=tops)
+        pairs = lookup(lookup(pairs, top, "p", "name", fits=fits), second, "m", "__n2", fits=fits)
         current = cut(pairs.select(F.coalesce("root", "p").alias("u"), F.coalesce("__r2", "m").alias("v")).filter("u <> v").distinct())
+        release(exchanged, found)
     if not rounds:
         return current.select(F.col("u").alias("vertex"), F.col("v").alias("component"))
     return compose(rounds)
@@ -158,6 +163,7 @@ def compose(rounds: list[DataFrame]) -> DataFrame:
     for parents in reversed(rounds[:-1]):
         later = labels.select(F.col("vertex").alias("__v"), F.col("component").alias("__c"))
         mine = lookup(parents, later, "root", "__v").select(F.col("x").alias("vertex"), F.coalesce("__c", "root").alias("component"))
-        labels = cut(mine.unionByName(labels))
+        old, labels = labels, cut(mine.unionByName(labels))
+        release(old, parents)
     roots = labels.select(F.col("component").alias("vertex")).distinct()
     return labels.unionByName(roots.select("vertex", F.col("vertex").alias("component")))

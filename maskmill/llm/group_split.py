@@ -6,32 +6,32 @@ components they connect are contracted to their roots. Of two components that pi
 same edge the smaller becomes the root, so the picks form a forest; pointer jumping
 finds its roots, and edges between roots, the lightest of each parallel set, go on.
 
-Groups are then stratified by size band (powers of two) and dealt, band by band from
-the largest, along a deck that interleaves the splits in proportion to what each still
-lacks. Lone records come last and are dealt against the exact sums, so they even out
-what whole groups could not.
-
-Per round the only tables that meet a hot component in a join are broadcast behind a
-count or salted (``runtime.lookup``). The driver sees one row per size band and split.
+Groups are then stratified by size band (powers of two) and dealt systematically, band
+by band from the largest: each split gets its exact number of groups of a band, in
+proportion to what it still lacks, spread evenly over the order of size. Lone records
+come last and are dealt against the exact sums, so they even out what whole groups could
+not.
+
+Per round the only tables that meet a hot component in a join are broadcast after they
+were measured, or salted (``runtime.lookup``). The driver sees one row per size band and
+split.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from maskmill.llm.components import compose, roots_of
-from maskmill.runtime import cut, lookup, ranked
-
-DECK = 10_000
+from maskmill.runtime import cut, fits_broadcast, lookup, ranked, release
 
 
-def spanning_forest(edges: DataFrame, src: str = "src", dst: str = "dst", weight: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(forest, labels) of an undirected graph.
+def contract(edges: DataFrame, src: str = "src", dst: str = "dst", weight: str | None = None) -> tuple[DataFrame, list[DataFrame]]:
+    """(forest, rounds) of an undirected graph: the chosen edges (u, v, weight, round) and
+    the (x, root) map of each round, which ``labels_of`` composes.
 
-    The forest holds the chosen edges (u, v, weight, round); labels give each vertex
-    with an edge its root. Without ``weight`` edges weigh the same; ties fall to the hash
-    of the edge. Null ends, self-loops and repeated edges link nothing more.
+    Without ``weight`` edges weigh the same; ties fall to the hash of the edge. Null ends,
+    self-loops and repeated edges link nothing more.
     """
     a, b = F.col(f"`{src}`").cast("string"), F.col(f"`{dst}`").cast("string")
     w = F.col(f"`{weight}`").cast("double") if weight else F.lit(0.0)
@@ -39,36 +39,44 @@ def spanning_forest(edges: DataFrame, src: str = "src", dst: str = "dst", weight
     ends = ends.toDF("u", "v", "w", "ok").filter("ok and u <> v")
     # a vertex keeps its own name (ou, ov) in the forest while its component's name moves
     current = cut(ends.groupBy("u", "v").agg(F.min("w").alias("w")).select("u", "v", "w", F.col("u").alias("ou"), F.col("v").alias("ov")))
-    forest, rounds, step = [], [], 0
+    forest = current.select("u", "v", F.col("w").alias("weight"), F.lit(0).alias("round")).limit(0)
+    rounds: list[DataFrame] = []
     while not current.isEmpty():
-        step += 1
         key = F.struct("w", F.xxhash64("ou", "ov").alias("tie"), "ou", "ov")
         half = current.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.col("v").alias("y")), F.struct(F.col("v").alias("x"), F.col("u").alias("y")))).alias("e"), key.alias("k"))
         picks = half.groupBy("e.x").agg(F.min(F.struct("k", F.col("e.y").alias("y"))).alias("best")).select("x", "best.k", "best.y")
         # an edge is picked by one or by both of its ends: at most two rows a group
-        hooks = picks.groupBy("k").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.max("y").alias("top"), F.min("y").alias("low"), F.count("*").alias("n"))
+        hooks = picks.groupBy("k").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.max("y").alias("top"), F.count("*").alias("n"))
         both = F.col("n") == 2
         hooks = cut(hooks.select("k", F.when(both, F.col("hi")).otherwise(F.col("lo")).alias("x"), F.when(both, F.col("lo")).otherwise(F.col("top")).alias("p")))
-        forest.append(hooks.select(F.col("k.ou").alias("u"), F.col("k.ov").alias("v"), F.col("k.w").alias("weight"), F.lit(step).alias("round")))
+        chosen = hooks.select(F.col("k.ou").alias("u"), F.col("k.ov").alias("v"), F.col("k.w").alias("weight"), F.lit(len(rounds) + 1).alias("round"))
+        forest = chosen if not rounds else forest.unionByName(chosen)
         parents = hooks.select("x", "p")
         top = roots_of(parents, parents.select(F.col("p").alias("m")).distinct())
-        tops = top.count()
-        mapped = cut(lookup(parents, top, "p", "name", small_rows=tops).select("x", F.coalesce("root", "p").alias("root")))
+        mapped = cut(lookup(parents, top, "p", "name").select("x", F.coalesce("root", "p").alias("root")))
         rounds.append(mapped)
-        n = mapped.count()
+        fits = fits_broadcast(mapped)
         left = mapped.select(F.col("x").alias("__x1"), F.col("root").alias("__r1"))
         right = mapped.select(F.col("x").alias("__x2"), F.col("root").alias("__r2"))
-        moved = lookup(lookup(current, left, "u", "__x1", small_rows=n), right, "v", "__x2", small_rows=n)
+        moved = lookup(lookup(current, left, "u", "__x1", fits=fits), right, "v", "__x2", fits=fits)
         moved = moved.select(F.coalesce("__r1", "u").alias("a"), F.coalesce("__r2", "v").alias("b"), "w", "ou", "ov").filter("a <> b")
         lightest = moved.groupBy(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).agg(
             F.min(F.struct("w", F.xxhash64("ou", "ov").alias("tie"), "ou", "ov")).alias("k")
         )
-        current = cut(lightest.select("u", "v", "k.w", "k.ou", "k.ov"))
-    empty = current.select(F.col("u"), F.col("v"), F.col("w").alias("weight"), F.lit(0).alias("round"))
-    for f in forest:
-        empty = empty.unionByName(f)
-    labels = compose(rounds) if rounds else current.select(F.col("u").alias("vertex"), F.col("v").alias("component"))
-    return empty, labels
+        old, current = current, cut(lightest.select("u", "v", "k.w", "k.ou", "k.ov"))
+        release(old, top)
+    return forest, rounds
+
+
+def labels_of(forest: DataFrame, rounds: list[DataFrame]) -> DataFrame:
+    """(vertex, component) of every vertex with an edge."""
+    return compose(rounds) if rounds else forest.select(F.col("u").alias("vertex"), F.col("v").alias("component"))
+
+
+def spanning_forest(edges: DataFrame, src: str = "src", dst: str = "dst", weight: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(forest, labels) of an undirected graph; see ``contract``."""
+    forest, rounds = contract(edges, src, dst, weight)
+    return forest, labels_of(forest, rounds)
 
 
 def shares(counts: list[float], seats: int) -> list[int]:
@@ -86,11 +94,25 @@ def shares(counts: list[float], seats: int) -> list[int]:
     return out
 
 
-def deck(counts: list[float], length: int) -> list[int]:
-    """Split indices in proportion to ``counts``, interleaved evenly."""
-    seats = shares(counts, length)
-    order = sorted(((j + 0.5) / n, s) for s, n in enumerate(seats) if n for j in range(n))
-    return [s for _, s in order]
+def dealt_to(rank: Column, places: Column) -> Column:
+    """The split of the record with this rank (from 1), for the seats of each split.
+
+    ``places`` is an array of (split, seats) whose seats sum up to the number of ranks.
+    The first split takes every rank at which its running share of the seats grows by
+    one, so its records lie evenly and are exactly its seats; what it leaves is ranked
+    anew for the next split, and so on.
+    """
+    whole = lambda c: c.cast("decimal(19,0)")
+
+    def step(state: Column, place: Column) -> Column:
+        upto = lambda r: F.coalesce(F.call_function("div", whole(r) * whole(place["seats"]), F.nullif(whole(state["n"]), F.lit(0).cast("decimal(19,0)"))), F.lit(0)).cast("long")
+        held, before = upto(state["r"]), upto(state["r"] - 1)
+        mine = state["split"].isNull() & (held > before)
+        return F.struct((state["r"] - held).cast("long").alias("r"), (state["n"] - place["seats"]).cast("long").alias("n"), F.when(mine, place["split"]).otherwise(state["split"]).alias("split"))
+
+    total = F.aggregate(places, F.lit(0).cast("long"), lambda a, p: a + p["seats"])
+    start = F.struct(rank.cast("long").alias("r"), total.alias("n"), F.lit(None).cast("string").alias("split"))
+    return F.aggregate(places, start, step)["split"]
 
 
 def deal(groups: DataFrame, targets: dict[str, float], total: int, group: str, size: str) -> DataFrame:
@@ -104,32 +126,35 @@ def deal(groups: DataFrame, targets: dict[str, float], total: int, group: str, s
     if sum(weights) <= 0:
         raise ValueError("no split has a positive share")
     spark = groups.sparkSession
-    banded = cut(groups.withColumn("__band", F.floor(F.log2(F.col(size))).cast("int")).withColumn("__h", F.xxhash64(F.lit(29), group)))
+    banded = cut(groups.withColumn("__band", F.floor(F.log2(F.col(size))).cast("int")))
     bands = sorted((r["__band"], r["n"], r["s"]) for r in banded.groupBy("__band").agg(F.count("*").alias("n"), F.sum(size).alias("s")).collect())
     lacking = [total * w / sum(weights) for w in weights]
 
-    def dealt(part: DataFrame, decks: dict[int, list[int]], rows: int) -> DataFrame:
-        places = spark.createDataFrame([(b, [names[i] for i in d]) for b, d in decks.items()], "__b int, __deck array<string>")
-        order = ranked(part, ["__band"], [F.desc(size), "__h", group], [group], "__rank", rows)
-        placed = order.join(F.broadcast(places), F.col("__band") == F.col("__b"))
-        return placed.select(*groups.columns, F.get("__deck", ((F.col("__rank") - 1) % F.size("__deck")).cast("int")).alias("split"))
-
-    decks: dict[int, list[int]] = {}
+    def dealt(part: DataFrame, seats: dict[int, list[int]], rows: int) -> DataFrame:
+        """Groups in the order of size, larger first, then of their hash."""
+        places = spark.createDataFrame([(b, list(zip(names, x, strict=True))) for b, x in seats.items()], "__b int, __places array<struct<split: string, seats: long>>")
+        sizes = part.groupBy("__band", size).agg(F.count("*").alias("__n"))  # few: sizes add up to the records
+        larger = Window.partitionBy("__band").orderBy(F.desc(size)).rowsBetween(Window.unboundedPreceding, -1)
+        offsets = cut(sizes.select(F.col(size).alias("__size"), F.coalesce(F.sum("__n").over(larger), F.lit(0)).alias("__offset")))
+        order = lookup(ranked(part, ["__band", size], [group], "__rank", 29, rows), offsets, size, "__size")
+        placed = order.join(F.broadcast(places), F.col("__band") == F.col("__b"))  # at most 64 bands
+        return placed.select(*groups.columns, dealt_to(F.col("__rank") + F.col("__offset"), F.col("__places")).alias("split"))
+
+    seats: dict[int, list[int]] = {}
     for band, n, s in reversed(bands):
         if band > 0:
-            decks[band] = deck([max(0.0, x) for x in lacking] if sum(max(0.0, x) for x in lacking) > 0 else weights, min(n, DECK))
-            for i in range(len(names)):
-                lacking[i] -= s * decks[band].count(i) / len(decks[band])
+            seats[band] = shares([max(0.0, x) for x in lacking] if sum(max(0.0, x) for x in lacking) > 0 else weights, n)
+            lacking = [x - s * k / n for x, k in zip(lacking, seats[band], strict=True)]
     parts = []
-    if decks:
-        together = cut(dealt(banded.filter("__band > 0"), decks, sum(n for b, n, _ in bands if b > 0)))
+    if seats:
+        together = cut(dealt(banded.filter("__band > 0"), seats, sum(n for b, n, _ in bands if b > 0)))
         parts.append(together)
         used = {r["split"]: r["s"] for r in together.groupBy("split").agg(F.sum(size).alias("s")).collect()}
         lacking = [total * w / sum(weights) - used.get(x, 0) for w, x in zip(weights, names, strict=True)]
     single = sum(n for b, n, _ in bands if b == 0)
     if single:
         open_ = [max(0.0, x) for x in lacking]
-        parts.append(dealt(banded.filter("__band = 0"), {0: deck(open_ if sum(open_) > 0 else weights, min(single, DECK))}, single))
+        parts.append(dealt(banded.filter("__band = 0"), {0: shares(open_ if sum(open_) > 0 else weights, single)}, single))
     if not parts:
         return groups.withColumn("split", F.lit(None).cast("string"))
     return parts[0].unionByName(parts[1]) if len(parts) > 1 else parts[0]

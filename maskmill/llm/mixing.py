@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskmill.runtime import cut
+from maskmill.runtime import cut, lookup
 
 #: Records that fly together in one task.
 BLOCK_ROWS = 20_000
@@ -110,7 +110,7 @@ def balanced_sample(units: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame
         blocks = {s: max(1, -(-n // block_rows)) for s, n in sizes.items()}
         last = all(b == 1 for b in blocks.values())
         table = spark.createDataFrame(list(blocks.items()), "__s string, __b int")
-        placed = rest.join(F.broadcast(table), F.col("source") == F.col("__s")).withColumn("block", F.pmod(F.xxhash64(F.lit(41), "id"), F.col("__b")).cast("int"))
+        placed = lookup(rest, table, "source", "__s", "inner").withColumn("block", F.pmod(F.xxhash64(F.lit(41), "id"), F.col("__b")).cast("int"))
         placed = placed.withColumn("last", F.col("__b") == 1)
         flown = placed.select("source", "id", "tokens", "p", "block", "last").groupBy("source", "block").applyInArrow(_fly, _FLOWN)
         if last:
@@ -152,7 +152,7 @@ def mix_report(records: DataFrame, targets: DataFrame, source: str, tokens: str,
         times = min(float(repeats), goal / held) if held else 0.0
         whole = int(times + _EPS)
         out.append(
-            {"source": r["s"], "target_permille": permille, "max_repeats": repeats, "documents": int(r["documents"] or 0), "tokens": held, "target_tokens": goal,
+            {"source": r["s"], "target_permille": permille, "max_repeats": repeats, "documents": int(r["documents"] or 0), "tokens": held, "total": total,
              "whole": whole, "part": max(0.0, times - whole), "short": held * repeats * 1000 < total * permille}
         )
     return out
@@ -167,7 +167,7 @@ def mix(records: DataFrame, key: str, source: str, tokens: str, report: list[dic
     spark = records.sparkSession
     shares = spark.createDataFrame([(r["source"], r["whole"], r["part"]) for r in report], "__s string, __whole int, __part double")
     slim = records.select(F.col(f"`{key}`").alias("__k"), F.col(f"`{source}`").alias("__src"), F.coalesce(F.col(f"`{tokens}`"), F.lit(0)).cast("long").alias("__t"))
-    used = cut(slim.join(F.broadcast(shares), F.col("__src") == F.col("__s")).withColumn("__id", F.unhex(F.sha2(F.concat_ws("|", F.coalesce(F.col("__k").cast("string"), F.lit("")), "__t"), 256))))
+    used = cut(lookup(slim, shares, "__src", "__s", "inner").withColumn("__id", F.unhex(F.sha2(F.concat_ws("|", F.coalesce(F.col("__k").cast("string"), F.lit("")), "__t"), 256))))
     part = used.filter(F.col("__part") > _EPS)
     taken = balanced_sample(part.select(F.col("__src").alias("source"), F.col("__id").alias("id"), F.col("__t").alias("tokens"), F.col("__part").alias("p")), block_rows)
     taken = taken.groupBy("source", "id").agg(F.max("taken").alias("taken"))

@@ -30,18 +30,24 @@ from pyspark.sql import functions as F
 
 from maskmill.runtime import cut, ranked
 
-#: Patterns tried at most; the histogram fit is over these columns.
-MAX_PATTERNS = 40_000
+#: For each main length and number of it, so many pairs that fill up the rest are tried.
+#: Every length up to the capacity is a main length, so at 2,048 the fit is over 94,000
+#: patterns at most.
+PAIRS_PER_MAIN = 4
 ITERATIONS = 300
 
 
-def enumerate_patterns(lengths: np.ndarray, capacity: int, limit: int = MAX_PATTERNS) -> list[dict[int, int]]:
-    """Contents (length -> number) that fill the capacity exactly, few lengths each."""
+def enumerate_patterns(lengths: np.ndarray, capacity: int, pairs: int = PAIRS_PER_MAIN) -> tuple[list[dict[int, int]], int]:
+    """(patterns, left out): contents (length -> number) that fill the capacity exactly.
+
+    A pattern is a main length, one or several times, topped up by nothing, one or two
+    others. Of the pairs that top up one main, ``pairs`` are taken, spread evenly over
+    their lengths; how many were left out is counted.
+    """
     have = np.zeros(capacity + 1, bool)
     have[lengths] = True
     seen: dict[tuple, dict[int, int]] = {}
-    mains = [(a, i) for a in lengths.tolist() for i in range(1, capacity // a + 1)]
-    tops = max(1, limit // max(1, len(mains)))
+    left_out = 0
 
     def add(*parts: tuple[int, int]) -> None:
         out: dict[int, int] = {}
@@ -49,20 +55,18 @@ def enumerate_patterns(lengths: np.ndarray, capacity: int, limit: int = MAX_PATT
             out[length] = out.get(length, 0) + n
         seen.setdefault(tuple(sorted(out.items())), out)
 
-    for a, i in mains:
+    for a, i in [(a, i) for a in lengths.tolist() for i in range(1, capacity // a + 1)]:
         rest = capacity - a * i
         if rest == 0:
             add((a, i))
             continue
         if have[rest]:
             add((a, i), (rest, 1))
-        b = np.arange(1, rest // 2 + 1)
-        b = b[have[b] & have[rest - b]]
-        for x in b[np.linspace(0, len(b) - 1, min(len(b), tops)).astype(int)].tolist() if len(b) else ():
+        b = np.flatnonzero(have[1 : rest // 2 + 1] & have[rest - 1 : rest - rest // 2 - 1 : -1]) + 1
+        left_out += max(0, len(b) - pairs)
+        for x in b[np.linspace(0, len(b) - 1, min(len(b), pairs)).astype(int)].tolist() if len(b) else ():
             add((a, i), (x, 1), (rest - x, 1))
-        if len(seen) >= limit:
-            break
-    return list(seen.values())
+    return list(seen.values()), left_out
 
 
 def nnls(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, target: np.ndarray, n: int, iterations: int = ITERATIONS) -> np.ndarray:
@@ -86,7 +90,7 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, dict[int,
         left[length] += n
     recipes: list[tuple[int, dict[int, int]]] = []
     lengths = np.flatnonzero(left)
-    patterns = enumerate_patterns(lengths, capacity) if len(lengths) else []
+    patterns = enumerate_patterns(lengths, capacity)[0] if len(lengths) else []
     if patterns:
         cols = np.repeat(np.arange(len(patterns)), [len(p) for p in patterns])
         rows = np.array([k for p in patterns for k in p], np.int64)
@@ -159,7 +163,7 @@ def pack(items: DataFrame, key: str, size: str, capacity: int, names: tuple[str,
             at = np.searchsorted(starts, (n << 44) | r, side="right") - 1
             yield pd.Series(bases[at] + (r - (starts[at] & ((1 << 44) - 1))) // eaches[at])
 
-    filled = ranked(parts.filter("__n > 0"), ["__n"], [F.xxhash64("__k", "__c"), "__k", "__c"], ["__k", "__c"], "__r", sum(histogram.values()))
+    filled = ranked(parts.filter("__n > 0"), ["__n"], ["__k", "__c"], "__r", rows=sum(histogram.values()))
     placed = filled.select("__k", "__c", "__n", container_of("__n", "__r").alias("__b"))
     empty = parts.filter("__n = 0").withColumn("__b", F.lit(None).cast("long"))
     return placed.unionByName(empty).select(F.col("__k").alias(key), F.col("__c").alias(chunk), F.col("__n").alias(chunk_size), F.col("__b").alias(container))

@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from maskmill.llm.components import connected_components
 from maskmill.llm.garbled import garbled_records, posteriors, repaired_records
-from maskmill.llm.group_split import spanning_forest, split_records, torn_groups
-from maskmill.llm.links import NAME, SAMPLE, clean, eligible, link_edges
+from maskmill.llm.group_split import contract, spanning_forest, split_records, torn_groups
+from maskmill.llm.links import SAMPLE, clean, eligible, link_edges
 from maskmill.llm.mixing import mix, mix_report
 from maskmill.llm.packing import pack
-from maskmill.llm.quota_sample import quota_sample, sample_report
+from maskmill.llm.quota_sample import met_report, quota_sample, sample_report
 from maskmill.llm.tokens import token_count
 from maskmill.operators.packed import DELIMITERS, packed_values
-from maskmill.runtime import cut, table
+from maskmill.runtime import cut, lookup, table
 
 
 def _linked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,24 +55,36 @@ def _torn(members: DataFrame, group: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recorded content groups that the recorded splits tear apart."""
-    members = _recorded(spark, sf_dir).filter("content_group <> ''").withColumn("name", F.concat(F.lit(NAME), "content_group"))
-    _, labels = spanning_forest(members.select(F.concat(F.lit(SAMPLE), "sample_id").alias("src"), F.col("name").alias("dst")))
-    # every group's name has a component, so this keeps all of them; a component holds
-    # several names where two deliveries of a sample name different groups
-    named = labels.filter(F.startswith("vertex", F.lit(NAME))).select(F.substring("vertex", len(NAME) + 1, 1 << 30).alias("content_group"), "component")
-    return _torn(members, "content_group").join(named, "content_group", "left_semi")
+    """Recorded content groups that the recorded splits tear apart.
+
+    Samples are put together by the roots of the spanning forest of all links, which holds
+    every content group whole; the groups of torn roots are then checked by themselves,
+    since a root may cover several.
+    """
+    members = _recorded(spark, sf_dir).filter("content_group <> ''")
+    _, labels = spanning_forest(link_edges(table(spark, sf_dir, "manifest"), table(spark, sf_dir, "near_duplicate_candidates")))
+    roots = labels.filter(F.startswith("vertex", F.lit(SAMPLE))).select(F.substring("vertex", len(SAMPLE) + 1, 1 << 30).alias("__s"), F.col("component").alias("root"))
+    rooted = cut(members.join(roots, members.sample_id == F.col("__s")).drop("__s"))
+    torn = _torn(rooted, "root").withColumnRenamed("root", "__t")
+    return _torn(lookup(rooted, torn, "root", "__t", "inner"), "content_group")
 
 
 def p3_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The spanning forest of all links between eligible samples."""
-    return spanning_forest(link_edges(table(spark, sf_dir, "manifest"), table(spark, sf_dir, "near_duplicate_candidates")))[0]
+    return contract(link_edges(table(spark, sf_dir, "manifest"), table(spark, sf_dir, "near_duplicate_candidates")))[0]
+
+
+#: Splits that a target table may name; it is read by the driver, and more are refused.
+MAX_SPLITS = 1000
 
 
 def p3_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every eligible sample with its linked group and its split."""
     manifest = table(spark, sf_dir, "manifest")
-    targets = {r["split"]: r["target_permille"] for r in table(spark, sf_dir, "split_targets").limit(1000).collect()}
+    rows = table(spark, sf_dir, "split_targets").limit(MAX_SPLITS + 1).collect()
+    if len(rows) > MAX_SPLITS:
+        raise ValueError(f"more than {MAX_SPLITS} splits")
+    targets = {r["split"]: r["target_permille"] for r in rows}
     return split_records(eligible(manifest), link_edges(manifest, table(spark, sf_dir, "near_duplicate_candidates")), targets)
 
 
@@ -84,6 +96,11 @@ def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("split", "target_permille", "samples", "groups", F.round(F.try_divide(F.col("samples") * 1000.0, total), 3).alias("actual_permille"))
 
 
+def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every group with its samples and the number of splits they stand in."""
+    return p3_splits(spark, sf_dir).groupBy("group_first").agg(F.count("*").alias("members"), F.count_distinct("split").alias("splits"))
+
+
 def p3_recorded_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Linked groups, over all kinds of links, that the recorded splits tear apart."""
     linked = p2_found(spark, sf_dir).select(F.col("sample_id").alias("__s"), "group_first")
@@ -106,20 +123,27 @@ def _sample_report(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
     return sample_report(records, _CATEGORY, targets, "target_permille", "min_rows", lambda total: total // 5)[0], records
 
 
+def _sampled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    report, records = _sample_report(spark, sf_dir)
+    return report, quota_sample(records, "sample_id", _CATEGORY, report)
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Targets that the eligible samples cannot meet."""
-    return _sample_report(spark, sf_dir)[0].filter("missed").select(*_CATEGORY)
+    """Targets that the drawn sample misses, since the eligible samples cannot meet them."""
+    report, sample = _sampled(spark, sf_dir)
+    return met_report(report, sample, _CATEGORY).filter("missed").select(*_CATEGORY)
 
 
 def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every target with what there is, what was wanted and what the sample holds."""
-    return _sample_report(spark, sf_dir)[0]
+    report, sample = _sampled(spark, sf_dir)
+    return met_report(report, sample, _CATEGORY)
 
 
 def p4_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sample of a fifth of the eligible samples."""
-    report, records = _sample_report(spark, sf_dir)
-    return quota_sample(records, "sample_id", _CATEGORY, report)
+    out = _sampled(spark, sf_dir)[1]
+    return out.withColumn("priority", F.round("priority", 9))
 
 
 #: Tokens a container holds.
@@ -137,8 +161,9 @@ def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that no container holds whole."""
-    return _packed(spark, sf_dir).filter("chunk = 2").select("doc_id")
+    """Documents that no container holds whole: those whose pieces lie in several."""
+    placed = _packed(spark, sf_dir).filter("container is not null")
+    return placed.groupBy("doc_id").agg(F.min("container").alias("lo"), F.max("container").alias("hi")).filter("lo < hi").select("doc_id")
 
 
 def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -156,32 +181,45 @@ def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(the targets with their figures, copies of every document used)."""
+    sized = _sized(spark, sf_dir)
+    rows = mix_report(sized, table(spark, sf_dir, "mix_targets"), "source", "tokens")
+    targets = spark.createDataFrame(
+        [(r["source"], r["target_permille"], r["max_repeats"], r["documents"], r["tokens"], r["total"]) for r in rows],
+        "source string, target_permille int, max_repeats int, documents long, tokens long, total long",
+    )
+    return targets, mix(sized, "doc_id", "source", "tokens", rows)
+
+
+def _mix_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per target source what the mix holds of it, and whether it falls short: the mix has
+    less than the share although every token is repeated as often as it may be."""
+    targets, used = _mixed(spark, sf_dir)
+    got = used.groupBy(F.col("source").alias("__s")).agg(F.sum(F.col("tokens") * F.col("copies")).alias("mixed_tokens"), F.sum("copies").alias("mixed_documents"), F.max("copies").alias("most_copies"))
+    joined = lookup(targets, got, "source", "__s").drop("__s").na.fill(0, ["mixed_tokens", "mixed_documents", "most_copies"])
+    wide = lambda c: F.col(c).cast("decimal(38,0)")
+    less = wide("mixed_tokens") * 1000 < wide("total") * F.col("target_permille")
+    return joined.withColumn("short", less & (F.col("mixed_tokens") == F.col("tokens") * F.col("max_repeats")))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sources that cannot give their share even at their largest number of repeats."""
-    rows = mix_report(_sized(spark, sf_dir), table(spark, sf_dir, "mix_targets"), "source", "tokens")
-    return spark.createDataFrame([(r["source"],) for r in rows if r["short"]], "source string")
+    """Sources that the mix cannot give their share even at their largest number of repeats."""
+    return _mix_sums(spark, sf_dir).filter("short").select("source")
 
 
 def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each document is used in the mix."""
-    sized = _sized(spark, sf_dir)
-    return mix(sized, "doc_id", "source", "tokens", mix_report(sized, table(spark, sf_dir, "mix_targets"), "source", "tokens"))
+    return _mixed(spark, sf_dir)[1]
 
 
 def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target and actual share of every source, and how often it was repeated."""
-    sized = _sized(spark, sf_dir)
-    rows = mix_report(sized, table(spark, sf_dir, "mix_targets"), "source", "tokens")
-    used = mix(sized, "doc_id", "source", "tokens", rows)
-    got = used.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("mixed_tokens"), F.sum("copies").alias("mixed_documents"), F.max("copies").alias("most_copies"))
-    targets = spark.createDataFrame(
-        [(r["source"], r["target_permille"], r["max_repeats"], r["tokens"], r["target_tokens"], r["short"]) for r in rows],
-        "source string, target_permille int, max_repeats int, tokens long, target_tokens double, short boolean",
-    )
-    joined = targets.join(got, "source", "left").na.fill(0, ["mixed_tokens", "mixed_documents", "most_copies"])
     whole = F.sum("mixed_tokens").over(Window.partitionBy(F.lit(0)))  # one row a source
     share = F.round(F.try_divide(F.col("mixed_tokens") * 1000.0, whole), 3)
-    return joined.select(*targets.columns, "mixed_tokens", "mixed_documents", "most_copies", share.alias("actual_permille"))
+    return _mix_sums(spark, sf_dir).select(
+        "source", "target_permille", "max_repeats", "documents", "tokens", (F.col("total") * F.col("target_permille") / 1000).alias("target_tokens"), "short", "mixed_tokens", "mixed_documents", "most_copies", share.alias("actual_permille")
+    )
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -232,7 +270,15 @@ wanted AS (SELECT *, greatest(min_rows, ((SELECT count(*) FROM samples) // 5) *
 had AS (SELECT diagnosis, lesion_size_quartile, aspect_ratio_bin, count(*) AS available FROM samples GROUP BY ALL)
 """
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_groups, p3_found, p3_forest, p3_splits, p3_report, p3_recorded_leaks, p4_found, p4_report, p4_sample, p6_found, p6_containers, p6_report, p7_found, p7_mix, p7_report, p8_found, p8_repaired, p8_chains)}
+# floors first, then the smallest priorities, as many as there are seats
+_SEATS = """
+ranks AS (SELECT s.*, target_permille, min_rows, row_number() OVER (PARTITION BY s.diagnosis, s.lesion_size_quartile, s.aspect_ratio_bin ORDER BY sha256('7:' || sample_id)) AS rank
+  FROM samples s JOIN wanted USING (diagnosis, lesion_size_quartile, aspect_ratio_bin)),
+ordered AS (SELECT *, row_number() OVER (ORDER BY CASE WHEN rank <= min_rows THEN 0 ELSE 1 END, CASE WHEN rank <= min_rows THEN 0 ELSE (rank - 0.5) / target_permille::DOUBLE END, diagnosis, lesion_size_quartile, aspect_ratio_bin) AS place
+  FROM ranks WHERE rank <= min_rows OR target_permille > 0),
+seated AS (SELECT * FROM ordered WHERE rank <= min_rows OR place <= (SELECT count(*) FROM samples) // 5)"""
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_groups, p3_found, p3_forest, p3_splits, p3_report, p3_groups, p3_recorded_leaks, p4_found, p4_report, p4_sample, p6_found, p6_containers, p6_report, p7_found, p7_mix, p7_report, p8_found, p8_repaired, p8_chains)}
 SQL = {
     "p3_found": f"""SELECT content_group FROM (
   SELECT lower(trim(content_group)) AS content_group, lower(trim(partition)) AS part, fold, {_FOLDS} AS folds FROM {_ELIGIBLE}
@@ -245,6 +291,16 @@ SELECT group_first FROM groups JOIN (
 HAVING count(DISTINCT part) > 1 OR count(DISTINCT fold) > 1 OR count(DISTINCT folds::VARCHAR) > 1 OR bool_or(coalesce(list_contains(folds, fold), false))""",
     "p4_found": f"""WITH {_TARGETS} SELECT w.diagnosis, w.lesion_size_quartile, w.aspect_ratio_bin FROM wanted w
 LEFT JOIN had h USING (diagnosis, lesion_size_quartile, aspect_ratio_bin) WHERE coalesce(available, 0) < wanted""",
+    "p4_report": f"""WITH {_TARGETS}, {_SEATS}
+SELECT w.diagnosis, w.lesion_size_quartile, w.aspect_ratio_bin, target_permille AS target, min_rows AS floor, coalesce(available, 0) AS available, CAST(wanted AS BIGINT) AS wanted,
+  coalesce(n, 0) AS seats, coalesce(n, 0) AS drawn, coalesce(available, 0) < wanted AND coalesce(n, 0) < wanted AS missed
+FROM wanted w LEFT JOIN had h USING (diagnosis, lesion_size_quartile, aspect_ratio_bin)
+LEFT JOIN (SELECT diagnosis, lesion_size_quartile, aspect_ratio_bin, count(*) AS n FROM seated GROUP BY ALL) USING (diagnosis, lesion_size_quartile, aspect_ratio_bin)""",
+    "p4_sample": f"""WITH {_TARGETS}, {_SEATS}
+SELECT sample_id, diagnosis, lesion_size_quartile, aspect_ratio_bin, rank, round((rank - 0.5) / target_permille::DOUBLE, 9) AS priority, CASE WHEN rank <= min_rows THEN 'minimum' ELSE 'share' END AS taken_for FROM seated""",
+    "p3_groups": f"""WITH RECURSIVE {_EDGES}
+SELECT coalesce(group_first, sample_id) AS group_first, count(*) AS members, CAST(1 AS BIGINT) AS splits
+FROM (SELECT DISTINCT sample_id FROM {_ELIGIBLE}) LEFT JOIN groups USING (sample_id) GROUP BY 1""",
     "p2_found": f"WITH RECURSIVE {_EDGES} SELECT sample_id, group_first FROM groups",
     "p2_groups": f"""WITH RECURSIVE {_EDGES}
 SELECT coalesce(group_first, sample_id) AS group_first, count(*) AS members, max(sample_id) AS group_last

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskmill.runtime import cut, ranked
+from maskmill.runtime import cut, lookup, ranked
 
 #: Categories are listed by the caller; more than this many are refused.
 MAX_CATEGORIES = 100_000
@@ -83,19 +83,38 @@ def sample_report(records: DataFrame, category: list[str], targets: DataFrame, t
     return report.withColumn("missed", F.col("available") < F.col("wanted")), n
 
 
+def seeded_hash(key, seed: int):
+    """Fifteen digits of ``sha256(seed:key)``, spread over all of ``bigint`` in their order."""
+    digits = F.substring(F.sha2(F.concat_ws(":", F.lit(str(seed)), key.cast("string")), 256), 1, 15)
+    return ((F.conv(digits, 16, 10).cast("long") - (1 << 59)) * 16).cast("long")
+
+
+def _as_key(category: list[str]):
+    return F.to_json(F.struct(*[F.col(f"`{c}`").cast("string").alias(c) for c in category]), {"ignoreNullFields": "false"})
+
+
 def quota_sample(records: DataFrame, key: str, category: list[str], report: DataFrame, seed: int = 7) -> DataFrame:
     """The records with a seat: key, category, rank, priority and why they were taken.
 
-    The random order is that of the hash of ``key``; equal keys are one record, so
-    ``records`` must be distinct in it. Null keys have no order and are dropped.
+    The random order is that of ``sha256(seed:key)``, the same at every size of the table;
+    equal keys are one record, so ``records`` must be distinct in it. Null keys have no
+    order and are dropped.
     """
-    on = [F.col(f"a.{c}").eqNullSafe(F.col(f"r.{c}")) for c in category]
-    slim = records.select(key, *category).filter(F.col(key).isNotNull())
-    held = slim.alias("a").join(F.broadcast(report.filter("seats > 0").select(*category, "target", "floor", "seats")).alias("r"), on)
-    held = cut(held.select(f"a.{key}", *[f"a.{c}" for c in category], "r.target", "r.floor", "r.seats"))
-    order = ranked(held, category, [F.xxhash64(F.lit(seed), key), F.col(key)], [key])
-    taken = order.filter(F.col("rank") <= F.col("seats"))
+    slim = records.select(key, *category, _as_key(category).alias("__a")).filter(F.col(key).isNotNull())
+    seats = report.filter("seats > 0").select(_as_key(category).alias("__b"), F.col("target").alias("__target"), F.col("floor").alias("__floor"), F.col("seats").alias("__seats"))
+    held = cut(lookup(slim, seats, "__a", "__b", "inner").drop("__a", "__b"))
+    order = ranked(held, category, [key], "__rank", hashed=seeded_hash(F.col(key), seed))
+    taken = order.filter(F.col("__rank") <= F.col("__seats"))
     return taken.select(
-        key, *category, F.col("rank"), F.try_divide(F.col("rank") - 0.5, F.col("target").cast("double")).alias("priority"),
-        F.when(F.col("rank") <= F.col("floor"), "minimum").otherwise("share").alias("taken_for"),
+        key, *category, F.col("__rank").alias("rank"), F.try_divide(F.col("__rank") - 0.5, F.col("__target").cast("double")).alias("priority"),
+        F.when(F.col("__rank") <= F.col("__floor"), "minimum").otherwise("share").alias("taken_for"),
     )
+
+
+def met_report(report: DataFrame, sample: DataFrame, category: list[str]) -> DataFrame:
+    """The report with the records drawn; a target is missed if fewer were drawn than
+    wanted and no further record exists that could have been."""
+    counts = sample.groupBy(*category).agg(F.count("*").alias("__drawn")).select(_as_key(category).alias("__b"), "__drawn")
+    drawn = F.coalesce("__drawn", F.lit(0))
+    joined = lookup(report.withColumn("__a", _as_key(category)), counts, "__a", "__b")
+    return joined.select(*[c for c in report.columns if c != "missed"], drawn.alias("drawn"), ((drawn < F.col("wanted")) & (F.col("available") < F.col("wanted"))).alias("missed"))

@@ -20,13 +20,14 @@ def test_union_find_against_brute_force():
         assert all(got[x] == want.get(x, x) for x in range(n))
 
 
-@pytest.mark.parametrize("one_cell", [10_000, 0])
-def test_grid_against_brute_force(spark, one_cell):
-    """One cell, and a grid that must exchange representatives over several rounds."""
+@pytest.mark.parametrize("cell_edges", [10_000, 20])
+def test_grid_against_brute_force(spark, cell_edges):
+    """A grid whose second round is one cell, and one that must exchange representatives
+    over several rounds."""
     pairs = random_pairs(random.Random(4))
     rows = [(*p, "x") for p in pairs] + [(None, "a", None), ("a", None, None), (None, None, None), ("lone", "lone", "x")]
     df = spark.createDataFrame(rows, PAIR).repartition(3)
-    got = {r.vertex: r.component for r in connected_components(df, cell_edges=20, one_cell=one_cell).collect()}
+    got = {r.vertex: r.component for r in connected_components(df, cell_edges=cell_edges).collect()}
     assert got == brute([p for p in pairs if p[0] != p[1]])
 
 

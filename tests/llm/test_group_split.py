@@ -4,14 +4,30 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from maskmill.llm.group_split import deck, shares, spanning_forest, split_records, torn_groups
+from maskmill.llm.group_split import dealt_to, shares, spanning_forest, split_records, torn_groups
 from graph_brute import brute, random_pairs
 
 
-def test_shares_and_deck():
+def test_shares():
     assert shares([70, 15, 15], 20) == [14, 3, 3] and shares([1, 1], 3) == [2, 1] and shares([0, 0], 2) == [2, 0]
-    d = deck([70, 15, 15], 20)
-    assert Counter(d) == {0: 14, 1: 3, 2: 3} and d[:3] != [0, 0, 0]
+
+
+@pytest.mark.parametrize("seats", [[700, 150, 150], [1, 0, 2], [0, 5], [3], [123, 45, 6, 7, 0, 891]])
+def test_dealing_is_exact_and_even(spark, seats):
+    """Every split gets its seats, and never strays from its running share by more than
+    the splits before it can shift it."""
+    n = sum(seats)
+    places = F.array(*[F.struct(F.lit(f"s{i}").alias("split"), F.lit(k).cast("long").alias("seats")) for i, k in enumerate(seats)])
+    got = [r.s for r in spark.range(1, n + 1).select("id", dealt_to(F.col("id"), places).alias("s")).orderBy("id").collect()]
+    assert Counter(got) == {f"s{i}": k for i, k in enumerate(seats) if k}
+    for i, k in enumerate(seats):
+        run = 0
+        for r, s in enumerate(got, 1):
+            run += s == f"s{i}"
+            assert abs(run - r * k / n) <= len(seats) + 1
+    huge = 3 * 10**9
+    far = F.array(F.struct(F.lit("a").alias("split"), F.lit(huge).cast("long").alias("seats")), F.struct(F.lit("b").alias("split"), F.lit(huge).cast("long").alias("seats")))
+    assert [r.s for r in spark.range(2 * huge - 1, 2 * huge + 1).select(dealt_to(F.col("id"), far).alias("s")).collect()] == ["b", "a"]
 
 
 def test_forest_spans_and_is_lightest(spark):
@@ -70,6 +86,18 @@ def test_split_keeps_groups_whole(spark):
     assert all(abs(got[k] - 6000 * v / 1000) <= 12 for k, v in TARGETS.items()), got
 
 
+def test_split_does_not_depend_on_partitions_or_ranges(spark, monkeypatch):
+    from maskmill import runtime
+
+    rng = random.Random(5)
+    pairs = [(f"s:r{rng.randint(0, 900)}", f"t:g{rng.randint(0, 300)}") for _ in range(700)]
+    records = spark.createDataFrame([(f"r{i}",) for i in range(1500)], "sample_id string")
+    edges = spark.createDataFrame(pairs, "src string, dst string")
+    one = {r.sample_id: r.split for r in split_records(records, edges, TARGETS).collect()}
+    monkeypatch.setattr(runtime, "RANK_ROWS", 50)
+    assert {r.sample_id: r.split for r in split_records(records.repartition(7), edges.repartition(5), TARGETS).collect()} == one
+
+
 def test_split_edge_cases(spark):
     none = spark.createDataFrame([], "src string, dst string")
     records = spark.createDataFrame([("a",), ("b",)], "sample_id string")

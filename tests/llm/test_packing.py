@@ -18,11 +18,25 @@ def contents_of(recipes, capacity):
 
 
 def test_patterns_fill_exactly():
-    patterns = enumerate_patterns(np.array([1, 3, 4, 10]), 10)
+    patterns, left_out = enumerate_patterns(np.array([1, 3, 4, 10]), 10)
+    assert left_out == 0
     assert {10: 1} in patterns and {1: 10} in patterns and {3: 3, 1: 1} in patterns
     assert all(sum(k * v for k, v in p.items()) == 10 for p in patterns)
 
 
+def test_every_length_is_a_main_length():
+    """All lengths up to the capacity: each has its patterns, and what is left out is counted."""
+    capacity = 300
+    patterns, left_out = enumerate_patterns(np.arange(1, capacity + 1), capacity)
+    few, more_left = enumerate_patterns(np.arange(1, capacity + 1), capacity, 1)
+    assert {k for p in patterns for k in p} == set(range(1, capacity + 1)) and left_out > 0
+    assert len(few) < len(patterns) and more_left > left_out
+    assert all(any(p.get(a) for p in patterns if len(p) >= 2) for a in range(1, capacity))
+    pairs = {(a, b, c) for a in range(1, 41) for b in range(1, 41) for c in [40 - a - b] if c >= b}
+    whole, none = enumerate_patterns(np.arange(1, 41), 40, 1000)
+    assert none == 0 and {tuple(sorted([a, b, c])) for a, b, c in pairs} <= {tuple(sorted(k for k, v in p.items() for _ in range(v))) for p in whole}
+
+
 def test_nnls_against_a_known_solution():
     a = np.array([[2.0, 0.0, 1.0], [0.0, 3.0, 1.0]])
     rows, cols = np.nonzero(a)

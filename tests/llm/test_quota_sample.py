@@ -3,7 +3,7 @@ from collections import Counter
 
 import pytest
 
-from maskmill.llm.quota_sample import priority_seats, quota_sample, sample_report
+from maskmill.llm.quota_sample import met_report, priority_seats, quota_sample, sample_report, seeded_hash
 
 
 def brute_seats(available, targets, floors, seats):
@@ -48,6 +48,8 @@ def test_sample(spark):
     taken = quota_sample(records, "id", ["cat", "bin"], report).collect()
     assert len(taken) == len({r.id for r in taken}) == 200 and Counter(r.cat for r in taken) == {"a": 130, "b": 20, "c": 50}
     assert sum(1 for r in taken if r.taken_for == "minimum") == 15
+    met = {r.cat: r for r in met_report(report, quota_sample(records, "id", ["cat", "bin"], report), ["cat", "bin"]).collect()}
+    assert {k: (r.drawn, r.missed) for k, r in met.items()} == {"a": (130, False), "b": (20, True), "c": (50, False), "gone": (0, True)}
     again = quota_sample(records.repartition(7), "id", ["cat", "bin"], report).collect()
     assert {r.id for r in again} == {r.id for r in taken}
 
@@ -68,7 +70,7 @@ def test_ranks_are_exact_in_buckets(spark, monkeypatch):
 
     monkeypatch.setattr(runtime, "RANK_ROWS", 100)
     df = spark.range(3000).select("id", (F.col("id") % 3 == 0).cast("int").alias("g"))
-    out = runtime.ranked(df, ["g"], ["id"], ["id"]).groupBy("g").agg(F.count("*").alias("n"), F.countDistinct("rank").alias("d"), F.max("rank").alias("m")).collect()
+    out = runtime.ranked(df, ["g"], ["id"], hashed=seeded_hash(F.col("id"), 1)).groupBy("g").agg(F.count("*").alias("n"), F.countDistinct("rank").alias("d"), F.max("rank").alias("m")).collect()
     assert all(r.n == r.d == r.m for r in out)
 
 

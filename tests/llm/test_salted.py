@@ -15,7 +15,7 @@ def test_without_broadcasts(spark, monkeypatch):
     pairs = random_pairs(random.Random(12))
     df = spark.createDataFrame(pairs, "src string, dst string")
     want = brute([p for p in pairs if p[0] != p[1]])
-    assert {r.vertex: r.component for r in connected_components(df, cell_edges=20, one_cell=0).collect()} == want
+    assert {r.vertex: r.component for r in connected_components(df, cell_edges=20).collect()} == want
     forest, labels = spanning_forest(df)
     groups, expected = defaultdict(set), defaultdict(set)
     for r in labels.collect():

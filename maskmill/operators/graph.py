@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from maskmill.functions.scalars import join_sorted
 from maskmill.operators.dedup import number_in_order
-from maskmill.runtime import cut, lookup, release
+from maskmill.runtime import cut, lookup, release, rows_of, seen
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -33,7 +33,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     else:
         hung = joined.select(F.col("v").alias("u"), F.col("__m").alias("v"))
         moved = hung.unionByName(least.select(F.col("__u").alias("u"), F.col("__m").alias("v")))
-    out = cut(moved.filter("u > v").distinct())
+    out = cut(moved.filter("u > v").distinct(), sign=F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")))
     release(least)
     return out
 
@@ -70,17 +70,17 @@ def components(edges: DataFrame, src: str, dst: str, one_task: int = ONE_TASK) -
     a, b = F.col(src), F.col(dst)
     current = cut(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u is not null and v is not null and u > v").distinct())
     before = None
-    n = current.count()
+    n = rows_of(current)
     if n <= one_task:
         current = cut(current.coalesce(1).select(F.col("u").cast("string"), F.col("v").cast("string")).mapInArrow(_join_up, "u string, v string"))
     while n > one_task:
         old, middle = current, _star(current, True)
         current = _star(middle, False)
         release(old, middle)
-        sign = current.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if (sign["n"], sign["h"]) == before:
+        sign = (rows_of(current), seen(current, "sign"))
+        if sign == before:
             break
-        before = (sign["n"], sign["h"])
+        before = sign
     roots = current.select(F.col("v").alias("vertex")).distinct()
     return current.select(F.col("u").alias("vertex"), F.col("v").alias("component")).unionByName(roots.select("vertex", F.col("vertex").alias("component")))
 

@@ -8,7 +8,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -65,22 +65,40 @@ def _folder(spark: SparkSession) -> str:
     return _FOLDERS[app]
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, **metrics: Column) -> DataFrame:
     """Write ``df`` as Parquet to the shared checkpoint folder and continue from the files.
 
     The files outlive any executor, so a lost executor never forces a rerun of an
     iterative plan. What is read back is a plain scan: the planner's size estimate is that
     of the files, not a product of the estimates of all rounds before, as it stays with
     ``DataFrame.checkpoint``. ``release`` deletes the files of a round that is over.
+
+    Rows, bytes (of flat tables) and the aggregates in ``metrics`` are observed as the rows
+    are written and kept for ``rows_of``, ``fits_broadcast`` and ``seen``.
     """
     spark = df.sparkSession
     path = f"{_folder(spark)}/{next(_NUMBERS)}"
-    df.write.parquet(path)
+    flat = not any(isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)) for f in df.schema.fields)
+    metrics = {"rows": F.count(F.lit(1)), **({"bytes": F.sum(_width(df))} if flat else {}), **metrics}
+    watch = Observation()
+    df.observe(watch, *[m.alias(n) for n, m in metrics.items()]).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.__dict__["cut_path"] = path
+    out.__dict__["cut_seen"] = watch.get
     return out
 
 
+def seen(df: DataFrame, metric: str):
+    """A metric of a frame from ``cut``."""
+    return df.__dict__["cut_seen"][metric]
+
+
+def rows_of(df: DataFrame) -> int:
+    """The number of rows, without a job if ``df`` comes from ``cut``."""
+    known = df.__dict__.get("cut_seen")
+    return known["rows"] if known else df.count()
+
+
 def release(*frames: DataFrame) -> None:
     """Delete the files of frames from ``cut`` that no frame still in use reads."""
     for df in frames:
@@ -104,13 +122,24 @@ def _bytes_of(field: T.StructField):
     return F.lit(16)
 
 
+def _width(df: DataFrame) -> Column:
+    out = F.lit(0).cast("long")
+    for f in df.schema.fields:
+        out = out + _bytes_of(f)
+    return out
+
+
 def fits_broadcast(small: DataFrame) -> bool:
-    """Whether a table is within both bounds of a broadcast, by counting it."""
-    width = F.lit(0)
-    for f in small.schema.fields:
-        width = width + _bytes_of(f)
-    got = small.agg(F.count("*").alias("n"), F.sum(width.cast("long")).alias("b")).first()
-    return got["n"] <= BROADCAST_ROWS and (got["b"] or 0) <= BROADCAST_BYTES
+    """Whether a table is within both bounds of a broadcast; it is counted unless it comes
+    from ``cut``."""
+    known = small.__dict__.get("cut_seen", {})
+    if "bytes" in known:
+        n, size = known["rows"], known["bytes"]
+    elif known.get("rows", 0) > BROADCAST_ROWS:
+        return False
+    else:
+        n, size = small.agg(F.count("*"), F.sum(_width(small))).first()
+    return n <= BROADCAST_ROWS and (size or 0) <= BROADCAST_BYTES
 
 
 def lookup(big: DataFrame, small: DataFrame, key: str, small_key: str, how: str = "left", fits: bool | None = None) -> DataFrame:
@@ -142,7 +171,7 @@ def ranked(df: DataFrame, groups: list[str], identity: list[str], name: str = "r
     each its offset: a group that holds a third of all rows is ranked by as many tasks as
     its size asks for.
     """
-    rows = df.count() if rows is None else rows
+    rows = rows_of(df) if rows is None else rows
     bits = max(0, (max(1, -(-rows // (rank_rows or RANK_ROWS))) - 1).bit_length())
     hashed = df.withColumn("__ranked_h", F.xxhash64(F.lit(seed), *identity) if hashed is None else hashed)
     order = ["__ranked_h", *identity]

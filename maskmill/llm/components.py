@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskmill.runtime import cut, fits_broadcast, lookup, release
+from maskmill.runtime import cut, fits_broadcast, lookup, release, rows_of, seen
 
 #: Edges of a cell; the grid of a round has as many blocks as its edges ask for.
 CELL_EDGES = 250_000
@@ -100,16 +100,18 @@ def _cell_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def roots_of(parents: DataFrame, referenced: DataFrame) -> DataFrame:
     """(name, root) of the referenced vertices that have a parent, by pointer jumping."""
     active = cut(parents.join(referenced, parents.x == referenced.m, "left_semi").select(F.col("x").alias("name"), F.col("p").alias("root")))
-    if active.isEmpty():
+    if rows_of(active) == 0:
         return active
     fits = fits_broadcast(active)  # roots change, names and the number of rows do not
     while True:
-        hop = active.select(F.col("name").alias("__n"), F.col("root").alias("__r"))
-        jumped = lookup(active, hop, "root", "__n", fits=fits)
-        jumped = cut(jumped.select("name", F.coalesce("__r", "root").alias("root"), F.col("__r").isNotNull().alias("moved")))
+        jumped = active
+        for i in range(3 if fits else 1):  # a broadcast hop costs little, so take several at once
+            hop = active.select(F.col("name").alias(f"__n{i}"), F.col("root").alias(f"__r{i}"))
+            jumped = lookup(jumped, hop, "root", f"__n{i}", fits=fits).select("name", F.coalesce(f"__r{i}", "root").alias("root"), F.col(f"__r{i}").isNotNull().alias("moved"))
+        jumped = cut(jumped, moved=F.count_if("moved"))
         release(active)
         active = jumped
-        if jumped.filter("moved").isEmpty():
+        if not seen(active, "moved"):
             return active
 
 
@@ -125,7 +127,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", c
     current = cut(edges.select(a.alias("u"), b.alias("v")).filter("u is not null and v is not null and u <> v"))
     rounds: list[DataFrame] = []
     while True:
-        n = current.count()
+        n = rows_of(current)
         if n == 0:
             break
         blocks = max(1 if rounds else LEAST_BLOCKS, math.ceil(math.sqrt(2 * n / cell_edges)))
@@ -144,7 +146,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", c
         referenced = exchanged.select(F.explode("ms").alias("m")).distinct()
         found = roots_of(exchanged.select("x", "p"), referenced)
         top = found.select("name", "root")
-        fits = fits_broadcast(top)
+        fits = fits_broadcast(found)
         second = top.select(F.col("name").alias("__n2"), F.col("root").alias("__r2"))
         mapped = lookup(exchanged.select("x", "p"), top, "p", "name", fits=fits)
         rounds.append(cut(mapped.select("x", F.coalesce("root", "p").alias("root"))))

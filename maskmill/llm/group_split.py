@@ -19,19 +19,50 @@ split.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from maskmill.llm.components import compose, roots_of
-from maskmill.runtime import cut, fits_broadcast, lookup, ranked, release
+from maskmill.runtime import cut, fits_broadcast, lookup, ranked, release, rows_of
+
+
+#: Once a round leaves so few edges, one task contracts the rest.
+TAIL_EDGES = 20_000
+
+
+def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lightest forest of the edges (w, tie, ou, ov, u, v) of one task, as rows
+    (u, v, weight) of the forest and (x, root) of the map."""
+    edges = sorted(zip(*[[x for b in held for x in b.column(i).to_pylist()] for i in range(6)], strict=True)) if (held := list(batches)) else []
+    parent: dict[str, str] = {}
+
+    def find(x: str) -> str:
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    chosen = []
+    for w, _, ou, ov, u, v in edges:
+        low, high = sorted((find(u), find(v)))
+        if low != high:
+            parent[high] = low
+            chosen.append((ou, ov, w, None, None))
+    rows = [*chosen, *[(None, None, None, x, root) for x in parent if (root := find(x)) != x]]
+    types = (pa.string(), pa.string(), pa.float64(), pa.string(), pa.string())
+    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["u", "v", "weight", "x", "root"])
 
 
-def contract(edges: DataFrame, src: str = "src", dst: str = "dst", weight: str | None = None) -> tuple[DataFrame, list[DataFrame]]:
+def contract(edges: DataFrame, src: str = "src", dst: str = "dst", weight: str | None = None, tail_edges: int = TAIL_EDGES) -> tuple[DataFrame, list[DataFrame]]:
     """(forest, rounds) of an undirected graph: the chosen edges (u, v, weight, round) and
     the (x, root) map of each round, which ``labels_of`` composes.
 
     Without ``weight`` edges weigh the same; ties fall to the hash of the edge. Null ends,
-    self-loops and repeated edges link nothing more.
+    self-loops and repeated edges link nothing more. Edges are totally ordered, so the
+    forest is the same one whether or not its end is found by one task.
     """
     a, b = F.col(f"`{src}`").cast("string"), F.col(f"`{dst}`").cast("string")
     w = F.col(f"`{weight}`").cast("double") if weight else F.lit(0.0)
@@ -41,7 +72,13 @@ def contract(edges: DataFrame, src: str = "src", dst: str = "dst", weight: str |
     current = cut(ends.groupBy("u", "v").agg(F.min("w").alias("w")).select("u", "v", "w", F.col("u").alias("ou"), F.col("v").alias("ov")))
     forest = current.select("u", "v", F.col("w").alias("weight"), F.lit(0).alias("round")).limit(0)
     rounds: list[DataFrame] = []
-    while not current.isEmpty():
+    while rows_of(current):
+        if rounds and rows_of(current) <= tail_edges:
+            tied = current.select("w", F.xxhash64("ou", "ov").alias("tie"), "ou", "ov", "u", "v")
+            last = cut(tied.repartition(1).mapInArrow(_finish, "u string, v string, weight double, x string, root string"))
+            forest = forest.unionByName(last.filter("x is null").select("u", "v", "weight", F.lit(len(rounds) + 1).alias("round")))
+            rounds.append(last.filter("x is not null").select("x", "root"))
+            break
         key = F.struct("w", F.xxhash64("ou", "ov").alias("tie"), "ou", "ov")
         half = current.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.col("v").alias("y")), F.struct(F.col("v").alias("x"), F.col("u").alias("y")))).alias("e"), key.alias("k"))
         picks = half.groupBy("e.x").agg(F.min(F.struct("k", F.col("e.y").alias("y"))).alias("best")).select("x", "best.k", "best.y")
@@ -53,7 +90,7 @@ def contract(edges: DataFrame, src: str = "src", dst: str = "dst", weight: str |
         forest = chosen if not rounds else forest.unionByName(chosen)
         parents = hooks.select("x", "p")
         top = roots_of(parents, parents.select(F.col("p").alias("m")).distinct())
-        mapped = cut(lookup(parents, top, "p", "name").select("x", F.coalesce("root", "p").alias("root")))
+        mapped = cut(lookup(parents, top.select("name", "root"), "p", "name", fits=fits_broadcast(top)).select("x", F.coalesce("root", "p").alias("root")))
         rounds.append(mapped)
         fits = fits_broadcast(mapped)
         left = mapped.select(F.col("x").alias("__x1"), F.col("root").alias("__r1"))
@@ -173,7 +210,7 @@ def split_records(records: DataFrame, edges: DataFrame, targets: dict[str, float
     members = ids.join(known, F.concat(F.lit(prefix), key) == F.col("__v"), "left").select(key, F.coalesce("__c", F.concat(F.lit(prefix), key)).alias("__root"))
     members = cut(members)
     groups = members.groupBy("__root").agg(F.min(key).alias("group_first"), F.count("*").alias("group_size"))
-    total = members.count()
+    total = rows_of(members)
     placed = deal(groups, targets, total, "__root", "group_size").withColumnRenamed("__root", "__r")
     return lookup(members, placed, "__root", "__r").select(key, "group_first", "group_size", "split")
 

@@ -4,7 +4,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from maskmill.llm.group_split import dealt_to, shares, spanning_forest, split_records, torn_groups
+from maskmill.llm.group_split import contract, dealt_to, labels_of, shares, spanning_forest, split_records, torn_groups
 from graph_brute import brute, random_pairs
 
 
@@ -59,6 +59,13 @@ def test_forest_spans_and_is_lightest(spark):
             total += w
     assert sum(r.weight for r in forest) == pytest.approx(total)
     assert len(brute([(r.u, r.v) for r in forest])) == len(want)
+    for tail_edges in (0, 10):  # rounds to the end, and a task that takes over late
+        other, rounds = contract(df, weight="w", tail_edges=tail_edges)
+        assert {(r.u, r.v, r.weight) for r in other.collect()} == {(r.u, r.v, r.weight) for r in forest}
+        sets = defaultdict(set)
+        for r in labels_of(other, rounds).collect():
+            sets[r.component].add(r.vertex)
+        assert sorted(map(sorted, sets.values())) == sorted(map(sorted, groups.values()))
 
 
 TARGETS = {"train": 700, "validation": 150, "test": 150}

@@ -7,7 +7,7 @@ from graph_brute import brute, random_pairs
 
 from maskmill import runtime
 from maskmill.llm.components import connected_components
-from maskmill.llm.group_split import spanning_forest
+from maskmill.llm.group_split import contract, labels_of
 
 
 def test_without_broadcasts(spark, monkeypatch):
@@ -16,7 +16,8 @@ def test_without_broadcasts(spark, monkeypatch):
     df = spark.createDataFrame(pairs, "src string, dst string")
     want = brute([p for p in pairs if p[0] != p[1]])
     assert {r.vertex: r.component for r in connected_components(df, cell_edges=20).collect()} == want
-    forest, labels = spanning_forest(df)
+    forest, rounds = contract(df, tail_edges=0)
+    labels = labels_of(forest, rounds)
     groups, expected = defaultdict(set), defaultdict(set)
     for r in labels.collect():
         groups[r.component].add(r.vertex)

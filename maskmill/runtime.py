@@ -142,16 +142,18 @@ def fits_broadcast(small: DataFrame) -> bool:
     return n <= BROADCAST_ROWS and (size or 0) <= BROADCAST_BYTES
 
 
-def lookup(big: DataFrame, small: DataFrame, key: str, small_key: str, how: str = "left", fits: bool | None = None) -> DataFrame:
+def lookup(big: DataFrame, small: DataFrame, key: str, small_key: str, how: str = "left", fits: bool | None = None, skewed: bool = True) -> DataFrame:
     """Join each row of ``big`` with its one row of ``small``, whatever the skew of ``key``.
 
     ``small`` is unique in ``small_key`` and shares no other column name with ``big``.
     It is broadcast only if it was measured (``fits``, or here); beyond the bound it is
     repeated under ``SALTS`` salts, so that a key that holds a third of ``big`` is spread
-    over as many tasks.
+    over as many tasks. Where no key can be hot (``skewed=False``) it is a plain join then.
     """
     if fits_broadcast(small) if fits is None else fits:
         return big.join(F.broadcast(small), F.col(key) == F.col(small_key), how)
+    if not skewed:
+        return big.join(small, F.col(key) == F.col(small_key), how)
     salted = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge")
     mixed = big.withColumn("__mix", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in big.columns]), F.lit(SALTS)).cast("int"))
     return mixed.join(salted, (F.col(key) == F.col(small_key)) & (F.col("__mix") == F.col("__salt")), how).drop("__salt", "__mix")

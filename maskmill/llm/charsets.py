@@ -101,6 +101,28 @@ def chains() -> tuple[str, ...]:
     return tuple(out)
 
 
+@lru_cache(maxsize=1 << 16)
+def _readable_by(c: str) -> int:
+    """Bit mask of the chains whose last reading can give the character."""
+    mask = 0
+    for i, chain in enumerate(chains()):
+        right, wrong = chain.split(">")[-2:]
+        table = _bytes_of(wrong) if right == "utf-8" else _retold(wrong, right)
+        mask |= (c in table) << i
+    return mask
+
+
+def possible_chains(text: str) -> list[str]:
+    """The chains that every non-ASCII character of the text can have come out of."""
+    mask = -1
+    for c in set(text):
+        if c > "\x7f":
+            mask &= _readable_by(c)
+    if mask <= 0:
+        return []
+    return [chain for i, chain in enumerate(chains()) if mask >> i & 1]
+
+
 @lru_cache(maxsize=4096)
 def _script(c: str) -> str:
     if not c.isalpha():

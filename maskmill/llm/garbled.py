@@ -16,11 +16,14 @@ Expectation-maximization with a latent encoding chain per record:
   ``RHO``; the likelihood ratio of a unit is (count of what it came from) / (its own
   count as sound writing in other texts). A word that decodes as UTF-8 has a ratio of at
   least ``UTF8_LEAST``, however common it is: where a whole source is garbled, its words
-  are. The posterior of each chain follows, with priors per source.
+  are. A chain is weighed in a text only where at least one unit speaks for it (ratio
+  above one): without, its posterior is below its prior, and counts as none. The
+  posterior of each chain follows, with priors per source.
 * *M-step.* Priors per source and chain are re-estimated, drawn to those of the whole
   corpus where a source is small; the count of a unit as sound writing loses what the
   posteriors explain as garbled. So records with strong evidence teach what weak
-  evidence in others means.
+  evidence in others means, and units that begin to speak for a chain bring in new texts.
+* The rounds end when the number of garbled texts and the sum of posteriors hold still.
 
 A record is garbled if the posterior of all chains together exceeds one half; it is
 repaired unit by unit with its most probable chains. Signs quoted on purpose fail the
@@ -33,25 +36,24 @@ No candidate is dropped for its counts. What single-byte code pages do to a word
 undone as well as done, so only counts tell which of two words is the sound one: a source
 garbled so throughout is found only while its words are rarer than the sound ones.
 
-Scale: the distinct texts with non-ASCII characters are written once and read twice; the
-corpus is counted through per-batch partial sums; only units with a candidate and the
-texts that hold one go through the iterations; results are joined back to the records by
-a digest. Joins to these tables are broadcast behind a count or salted.
+Scale: every text is tokenized once, and its units are written and counted; what follows
+reads units, never texts. A round scans the units for those that speak for a chain, and
+weighs all evidence only of the texts that hold one. Joins to tables of units are
+broadcast after these were measured, or salted.
 """
 
 from __future__ import annotations
 
 import re
 import string
-from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from maskmill.llm.charsets import chains, plausible, undo
-from maskmill.runtime import cut, lookup
+from maskmill.llm.charsets import chains, plausible, possible_chains, undo
+from maskmill.runtime import cut, fits_broadcast, lookup, release, rows_of, seen
 
 RHO = 0.8
 #: Smoothing of unit counts.
@@ -60,10 +62,16 @@ ALPHA = 0.1
 UTF8_BONUS = 4.0
 #: Likelihood ratio that such a word has at least, at any count.
 UTF8_LEAST = 5.0
-#: Pseudo-records that draw a source's priors to the corpus'.
+#: Pseudo-texts that draw a source's priors to the corpus'.
 POOL = 200.0
 FIRST_PRIOR = 0.0005
-ROUNDS = 4
+#: Rounds at most; they end earlier when nothing moves any more.
+MOST_ROUNDS = 25
+#: Share of the sum of posteriors that may still move in the last round.
+STILL = 0.005
+#: Characters that a sign becomes at most: four bytes, each three characters when read
+#: wrong twice.
+SIGN = 12
 LOST = "lost"
 SEP = "\x1f"
 _TOKEN = re.compile(r"[^ \t\n\r\f\v]+")
@@ -86,6 +94,12 @@ def skeleton(unit: str) -> str:
     return _OTHER.sub("?", unit)
 
 
+def _is_sign(token: str) -> bool:
+    """Can it have come from a token of one sign, which only its place can tell from a
+    garbled one?"""
+    return not _LETTER.search(token) and sum(c > "\x7f" for c in token) <= SIGN
+
+
 def units_of(text: str | None) -> set[str]:
     """The units of a whole text."""
     if not text or text.isascii():
@@ -98,7 +112,7 @@ def units_of(text: str | None) -> set[str]:
             continue
         token = normal(raw)
         out.add(token)
-        if len(token) <= 12 and not _LETTER.search(token):
+        if _is_sign(token):
             before = skeleton(normal(tokens[i - 1])) if i else ""
             after = skeleton(normal(tokens[i + 1])) if i < last else ""
             out.add(f"{before}{SEP}{token}{SEP}")
@@ -117,7 +131,7 @@ def candidates_of(unit: str) -> list[tuple[str, str, str, float]]:
     before, mark, rest = unit.partition(SEP)
     token, _, after = rest.partition(SEP) if mark else (unit, "", "")
     out = []
-    for chain in _CHAINS:
+    for chain in possible_chains(token):
         was = undo(token, chain)
         if was is None or _lone(was) != bool(mark) or not plausible(was):
             continue
@@ -141,15 +155,6 @@ def stripped(unit: str) -> str | None:
     return SEP.join(parts) if parts[at] != read else None
 
 
-def _count_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for at in range(0, b.num_rows, 2000):
-            seen: Counter = Counter()
-            for t in b.column(0).slice(at, 2000).to_pylist():
-                seen.update(units_of(t))
-            yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], names=["unit", "n"])
-
-
 def _candidate_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         cols: tuple[list, ...] = ([], [], [], [], [], [])
@@ -162,120 +167,156 @@ def _candidate_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["unit", "n", "chain", "kind", "key", "bonus"])
 
 
-def candidates(texts: DataFrame) -> DataFrame:
+def candidates(known: DataFrame) -> DataFrame:
     """(unit, n, chain, was, m, bonus) of all units that can have come out of a chain.
 
-    ``texts`` has one text column. ``n`` and ``m`` count the texts that hold the unit and
+    ``known`` has every unit with the number ``n`` of texts that hold it; ``m`` is that of
     the one it came from.
     """
-    counted = texts.filter(F.col(texts.columns[0]).rlike("[^\\x00-\\x7f]")).mapInArrow(_count_units, "unit string, n long")
-    known = cut(counted.groupBy("unit").agg(F.sum("n").alias("n")))
     possible = cut(known.mapInArrow(_candidate_rows, "unit string, n long, chain string, kind string, key string, bonus double"))
+    # a unit is what few others can have come from, at most one per chain and unit of its length
     exact = possible.filter("kind = 'exact'").join(known.select(F.col("unit").alias("was"), F.col("n").alias("m")), F.col("key") == F.col("was"), "left")
     exact = exact.select("unit", "n", "chain", "key", F.coalesce("m", F.lit(0)).alias("m"), "bonus")
-    sound = known.filter(~F.col("unit").rlike("[\\x{FFFD}\\x80-\\x9f]|[ÃÂ][^\\x00-\\x7f]")).withColumn("sk", F.regexp_replace("unit", "[^\\x00-\\x7f]+", "?"))
-    wanted = possible.filter("kind = 'skeleton'").select(F.col("key").alias("sk")).distinct()
-    best = sound.join(wanted, "sk", "left_semi").groupBy("sk").agg(F.max(F.struct("n", F.col("unit").alias("was"))).alias("b"))
-    lost = possible.filter("kind = 'skeleton'").join(best, F.col("key") == F.col("sk")).filter("b.was <> unit")
-    lost = lost.select("unit", "n", "chain", F.col("b.was").alias("key"), F.col("b.n").alias("m"), "bonus")
+    sound = known.filter(~F.col("unit").rlike("[\\x{FFFD}\\x80-\\x9f]|[ÃÂ][^\\x00-\\x7f]"))
+    best = sound.groupBy(F.regexp_replace("unit", "[^\\x00-\\x7f]+", "?").alias("__sk")).agg(F.max(F.struct("n", F.col("unit").alias("was"))).alias("__b"))
+    best = cut(best.select("__sk", F.col("__b.was").alias("__was"), F.col("__b.n").alias("__m")))
+    lost = lookup(possible.filter("kind = 'skeleton'"), best, "key", "__sk", "inner").filter("__was <> unit")
+    lost = lost.select("unit", "n", "chain", F.col("__was").alias("key"), F.col("__m").alias("m"), "bonus")
     # what a sound unit would have become, where that stands in the corpus
-    became = possible.filter("kind = 'forward'").select(F.col("key").alias("__as"), F.col("unit").alias("__was"), F.col("n").alias("__m"), "chain", "bonus")
-    forward = known.join(became, F.col("unit") == F.col("__as")).select("unit", "n", "chain", F.col("__was").alias("key"), F.col("__m").alias("m"), "bonus")
+    became = possible.filter("kind = 'forward'").groupBy(F.col("key").alias("__as")).agg(F.max(F.struct(F.col("n").alias("m"), F.col("unit").alias("was"))).alias("__b"))
+    became = cut(became.select("__as", F.col("__b.was").alias("__was"), F.col("__b.m").alias("__m")))
+    forward = lookup(known, became, "unit", "__as", "inner", skewed=False)
+    forward = forward.select("unit", "n", F.lit(LOST).alias("chain"), F.col("__was").alias("key"), F.col("__m").alias("m"), F.lit(0.0).alias("bonus"))
     lost = lost.unionByName(forward).groupBy("unit", "n", "chain").agg(F.max_by("key", "m").alias("key"), F.max("m").alias("m"), F.max("bonus").alias("bonus"))
     both = exact.unionByName(lost).withColumnRenamed("key", "was")
-    return both.filter((F.col("m") > 0) | (F.col("bonus") > 0))
+    out = cut(both.filter((F.col("m") > 0) | (F.col("bonus") > 0)))
+    release(possible, best, became)
+    return out
 
 
-def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for at in range(0, b.num_rows, 1000):
-            part = b.slice(at, 1000)
-            row, unit = [], []
-            for i, t in enumerate(part.column(2).to_pylist()):
-                found = units_of(t)
-                row.extend([i] * len(found))
-                unit.extend(found)
-            take = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), pa.array(unit, pa.string())], names=["id", "source", "unit"])
-
-
-def _marked(records: DataFrame, key: str, text: str, source: str) -> DataFrame:
-    """(id, source, text, mark) of the records with a key; equal texts of a source have
-    equal marks."""
+def _tokenized(records: DataFrame, key: str, text: str, source: str) -> DataFrame:
+    """(id, source, mark, units) of the records with a key and a non-ASCII text; equal texts
+    of a source have equal marks. Every text is read and tokenized here, once."""
     base = records.select(F.col(f"`{key}`").alias("id"), F.coalesce(F.col(f"`{source}`").cast("string"), F.lit("")).alias("source"), F.col(f"`{text}`").cast("string").alias("text"))
-    return base.filter(F.col("id").isNotNull()).withColumn("mark", F.unhex(F.sha2(F.concat_ws(SEP, "source", "text"), 256)))
-
-
-def _assessed(base: DataFrame, rounds: int) -> tuple[DataFrame, DataFrame]:
-    """((kind, mark, source, chain, p), (kind, unit, chain, was, g)) of the distinct texts
-    of ``_marked`` records, after the last round."""
-    texts = base.filter(F.col("text").rlike("[^\\x00-\\x7f]")).select("source", "text", "mark").distinct()
-    kinds = cut(texts.withColumn("id", F.monotonically_increasing_id()))
-    sizes = cut(base.select("source", "mark").distinct().groupBy("source").agg(F.count("*").cast("double").alias("__size")).withColumnRenamed("source", "__source"))
-    found = cut(candidates(kinds.select("text")))
-    suspects = found.groupBy("unit").agg(F.collect_list(F.struct("chain", "was", "n", "m", "bonus")).alias("__ways"))  # at most one per chain
-    suspects = cut(suspects.withColumnRenamed("unit", "__unit"))
-    spread = kinds.select("id", "source", "text").mapInArrow(_occurrences, "id long, source string, unit string")
-    held = lookup(spread, suspects, "unit", "__unit", "inner")
-    held = cut(held.select("id", "source", "unit", F.inline("__ways")))
-    all_records = float(sizes.agg(F.sum("__size")).first()[0] or 1)
-    prior, explained, post, scored = None, None, None, None
-    for _ in range(rounds):
-        if explained is None:
-            now = held.withColumn("clean", F.col("n") - 1.0)
-        else:
-            now = lookup(held, explained, "unit", "__u").withColumn("clean", (F.col("n") - 1) * F.greatest(F.lit(0.0), 1 - F.coalesce("__e", F.lit(0.0)) / F.col("n"))).drop("__u", "__e")
-        ratio = (F.col("m") + ALPHA * F.exp("bonus")) / (F.col("clean") + ALPHA)
-        ratio = F.greatest(ratio, F.when(F.col("bonus") > 0, UTF8_LEAST).otherwise(0.0))
-        scored = now.withColumn("s", F.log(1 - RHO + RHO * ratio)).withColumn("g", RHO * ratio / (1 - RHO + RHO * ratio)).drop("clean")
-        sums = scored.groupBy("id", "source", "chain").agg(F.sum("s").alias("s"))
-        if prior is None:
-            sums = sums.withColumn("prior", F.lit(FIRST_PRIOR)).withColumn("sound", F.lit(1 - FIRST_PRIOR * (len(_CHAINS) + 1)))
-        else:
-            sums = lookup(sums.withColumn("__k", F.concat_ws(SEP, "source", "chain")), prior, "__k", "__pk")
-            sums = sums.select("id", "source", "chain", "s", F.coalesce("prior", F.lit(1e-9)).alias("prior"), F.coalesce("sound", F.lit(0.9)).alias("sound"))
-        mine = Window.partitionBy("id")  # at most one row per chain
-        lp = F.log("prior") + F.col("s")
-        top = F.greatest(F.max(lp).over(mine), F.max(F.log("sound")).over(mine))
-        share = F.exp(lp - top)
-        total = F.sum(share).over(mine) + F.exp(F.max(F.log("sound")).over(mine) - top)
-        post = cut(sums.select("id", "source", "chain", (share / total).alias("p")))
-        weighed = scored.join(post.drop("source"), ["id", "chain"])
-        explained = cut(weighed.groupBy("unit").agg(F.sum(F.col("p") * F.col("g")).alias("__e")).withColumnRenamed("unit", "__u"))
-        mass = post.groupBy("source", "chain").agg(F.sum("p").alias("k"))
-        everywhere = post.groupBy("chain").agg(F.sum("p").alias("all_k")).withColumnRenamed("chain", "__c")
-        pooled = lookup(mass.join(F.broadcast(everywhere), F.col("chain") == F.col("__c")), sizes, "source", "__source")
-        value = (F.col("k") + POOL * F.col("all_k") / all_records) / (F.col("__size") + POOL)
-        per = pooled.select("source", "chain", F.greatest(value, F.lit(1e-9)).alias("prior"))
-        sound = F.greatest(1 - F.sum("prior").over(Window.partitionBy("source")), F.lit(0.05))
-        prior = cut(per.select(F.concat_ws(SEP, "source", "chain").alias("__pk"), "prior", sound.alias("sound")))
-    marked = post.join(kinds.select("id", "mark"), "id").select(F.col("id").alias("kind"), "mark", "source", "chain", "p")
-    return marked, scored.select(F.col("id").alias("kind"), "unit", "chain", "was", "g")
-
-
-def posteriors(records: DataFrame, key: str, text: str, source: str, rounds: int = ROUNDS) -> DataFrame:
+    base = base.filter(F.col("id").isNotNull() & F.col("text").rlike("[^\\x00-\\x7f]"))
+    marked = base.select("id", "source", _mark("source", "text").alias("mark"), "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            units = pa.array([list(units_of(t)) for t in b.column(3).to_pylist()], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(3)], units], names=["id", "source", "mark", "units"])
+
+    kind = marked.schema["id"].dataType.simpleString()
+    return cut(marked.mapInArrow(run, f"id {kind}, source string, mark binary, units array<string>"))
+
+
+def _mark(source: str, text: str) -> Column:
+    return F.unhex(F.sha2(F.concat_ws(SEP, source, text), 256))
+
+
+def _scores(ways: DataFrame, explained: DataFrame | None) -> DataFrame:
+    """(unit, ways, chains that it speaks for) under the counts as sound writing."""
+    if explained is None:
+        now, clean = ways, F.col("n") - 1.0
+    else:
+        now = ways.join(explained, F.col("unit") == F.col("__u"), "left")
+        clean = (F.col("n") - 1) * F.greatest(F.lit(0.0), 1 - F.coalesce("__e", F.lit(0.0)) / F.col("n"))
+    ratio = (F.col("m") + ALPHA * F.exp("bonus")) / (clean + ALPHA)
+    ratio = F.greatest(ratio, F.when(F.col("bonus") > 0, UTF8_LEAST).otherwise(0.0))
+    scored = now.select("unit", "chain", "was", ratio.alias("ratio"))
+    way = F.struct("chain", "was", F.log(1 - RHO + RHO * F.col("ratio")).alias("s"), (RHO * F.col("ratio") / (1 - RHO + RHO * F.col("ratio"))).alias("g"))
+    # at most one way a chain
+    out = scored.groupBy("unit").agg(F.collect_list(way).alias("ways"), F.collect_list(F.when(F.col("ratio") > 1, F.col("chain"))).alias("hot"))
+    size = F.aggregate("ways", F.octet_length("unit"), lambda a, w: a + F.octet_length(w["was"]) + 100)
+    return cut(out, bytes=F.sum(size))
+
+
+def _weighed(held: DataFrame, scores: DataFrame, prior: DataFrame | None) -> DataFrame:
+    """(id, source, unit, chain, was, g, p, parts, total) of the evidence: ``p`` is the
+    posterior of the chain in the text, ``parts`` its number of units there, ``total`` the
+    posterior of all chains."""
+    fits = fits_broadcast(scores)
+    hot = scores.filter(F.size("hot") > 0).select(F.col("unit").alias("__u"), "hot")
+    speaking = lookup(held, hot, "unit", "__u", "inner", fits=fits).select("id", F.explode("hot").alias("chain"))
+    active = speaking.groupBy(F.col("id").alias("__id")).agg(F.collect_set("chain").alias("__chains"))
+    near = held.join(active, F.col("id") == F.col("__id")).drop("__id")  # a text has as many rows as units
+    mine = lookup(near, scores.select(F.col("unit").alias("__v"), "ways"), "unit", "__v", "inner", fits=fits)
+    rows = mine.select("id", "source", "unit", F.inline(F.filter("ways", lambda w: F.array_contains("__chains", w["chain"]))))
+    if prior is None:
+        rows = rows.withColumns({"prior": F.lit(FIRST_PRIOR), "sound": F.lit(1 - FIRST_PRIOR * (len(_CHAINS) + 1))})
+    else:
+        rows = lookup(rows.withColumn("__k", F.concat_ws(SEP, "source", "chain")), prior, "__k", "__pk")
+    one, text = Window.partitionBy("id", "chain"), Window.partitionBy("id")  # the units of one text
+    rows = rows.withColumns({"lp": F.log("prior") + F.sum("s").over(one), "parts": F.count("*").over(one)})
+    rows = rows.withColumn("top", F.greatest(F.max("lp").over(text), F.log("sound")))
+    rows = rows.withColumn("share", F.exp(F.col("lp") - F.col("top")))
+    rows = rows.withColumn("all", F.sum(F.col("share") / F.col("parts")).over(text))
+    whole = F.col("all") + F.exp(F.log("sound") - F.col("top"))
+    out = rows.select("id", "source", "unit", "chain", "was", "g", (F.col("share") / whole).alias("p"), "parts", (F.col("all") / whole).alias("total"), F.count("*").over(text).alias("units"))
+    return cut(out, mass=F.sum(F.col("p") / F.col("parts")), found=F.sum(F.when(F.col("total") > 0.5, 1.0 / F.col("units"))))
+
+
+def _assessed(tokenized: DataFrame, most_rounds: int) -> tuple[DataFrame, DataFrame]:
+    """((id, mark) of the distinct texts, evidence of ``_weighed`` after the last round)."""
+    texts = tokenized.dropDuplicates(["mark"]).withColumn("id", F.monotonically_increasing_id())
+    texts = cut(texts)
+    known = cut(texts.select(F.explode("units").alias("unit")).groupBy("unit").agg(F.count("*").alias("n")))
+    ways = candidates(known)
+    suspects = cut(ways.select(F.col("unit").alias("__unit")).distinct())
+    held = cut(lookup(texts.select("id", "source", F.explode("units").alias("unit")), suspects, "unit", "__unit", "inner").drop("__unit"))
+    size = texts.groupBy("source").agg(F.count("*").alias("size"))
+    size = cut(size.select("source", "size", F.explode(F.array(*[F.lit(c) for c in (*_CHAINS, LOST)])).alias("chain")).withColumn("__pk", F.concat_ws(SEP, "source", "chain")))
+    every = max(1, rows_of(texts))
+    prior = explained = evidence = before = None
+    for _ in range(most_rounds):
+        scores = _scores(ways, explained)
+        old, evidence = evidence, _weighed(held, scores, prior)
+        now = (round(seen(evidence, "found") or 0), seen(evidence, "mass") or 0.0)
+        release(scores, *[x for x in (old, prior) if x is not None])
+        if before is not None and now[0] == before[0] and abs(now[1] - before[1]) <= STILL * (1 + now[1]):
+            break
+        before = now
+        explained = evidence.groupBy(F.col("unit").alias("__u")).agg(F.sum(F.col("p") * F.col("g")).alias("__e"))
+        mass = evidence.groupBy("source", "chain").agg(F.sum(F.col("p") / F.col("parts")).alias("k"))
+        everywhere = mass.groupBy(F.col("chain").alias("__c")).agg(F.sum("k").alias("all_k"))  # one row a chain
+        mass = mass.select(F.concat_ws(SEP, "source", "chain").alias("__mk"), "k")
+        pooled = size.join(mass, F.col("__pk") == F.col("__mk"), "left").join(F.broadcast(everywhere), F.col("chain") == F.col("__c"), "left")
+        value = (F.coalesce("k", F.lit(0.0)) + POOL * F.coalesce("all_k", F.lit(0.0)) / every) / (F.col("size") + POOL)
+        per = pooled.select("__pk", "source", F.greatest(value, F.lit(1e-9)).alias("prior"))
+        sound = F.greatest(1 - F.sum("prior").over(Window.partitionBy("source")), F.lit(0.05))  # one row a chain
+        prior = cut(per.select("__pk", "prior", sound.alias("sound")))
+    release(known, ways, suspects, held, size)
+    return texts.select("id", "mark"), evidence
+
+
+def _posts(evidence: DataFrame) -> DataFrame:
+    return evidence.select("id", "source", "chain", "p", "total").distinct()
+
+
+def posteriors(records: DataFrame, key: str, text: str, source: str, most_rounds: int = MOST_ROUNDS) -> DataFrame:
     """(id, source, chain, p): the posterior of each chain for a record after the last
-    round; records without any suspect unit are absent."""
-    base = _marked(records, key, text, source)
-    post, _ = _assessed(base, rounds)
-    ways = cut(post.groupBy(F.col("mark").alias("__mark")).agg(F.collect_list(F.struct("chain", "p")).alias("__ways")))  # at most one per chain
-    return lookup(base.select("id", "source", "mark"), ways, "mark", "__mark", "inner").select("id", "source", F.inline("__ways"))
+    round; records in which no unit speaks for a chain are absent."""
+    tokenized = _tokenized(records, key, text, source)
+    texts, evidence = _assessed(tokenized, most_rounds)
+    per = _posts(evidence).groupBy(F.col("id").alias("__kind")).agg(F.collect_list(F.struct("chain", "p")).alias("__ways"))  # at most one per chain
+    ways = cut(texts.join(per, F.col("id") == F.col("__kind")).select(F.col("mark").alias("__mark"), "__ways"))
+    return lookup(tokenized.select("id", "source", "mark"), ways, "mark", "__mark", "inner").select("id", "source", F.inline("__ways"))
 
 
-def _found(base: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _found(tokenized: DataFrame) -> tuple[DataFrame, DataFrame]:
     """((kind, __mark, __chain, probability), weighed evidence) of the garbled texts."""
-    post, evidence = _assessed(base, ROUNDS)
-    mine = post.groupBy("kind", F.col("mark").alias("__mark")).agg(F.sum("p").alias("probability"), F.max(F.struct("p", "chain")).alias("b"))
-    found = cut(mine.filter("probability > 0.5").select("kind", "__mark", F.col("b.chain").alias("__chain"), "probability"))
-    return found, evidence.join(post.select("kind", "chain", "p"), ["kind", "chain"])
+    texts, evidence = _assessed(tokenized, MOST_ROUNDS)
+    best = evidence.filter("total > 0.5").groupBy(F.col("id").alias("kind")).agg(F.max("total").alias("probability"), F.max(F.struct("p", "chain")).alias("b"))
+    found = texts.join(best.select("kind", F.col("b.chain").alias("__chain"), "probability"), F.col("id") == F.col("kind"))
+    return cut(found.select("kind", F.col("mark").alias("__mark"), "__chain", "probability")), evidence
 
 
 def garbled_records(records: DataFrame, key: str, text: str, source: str) -> tuple[DataFrame, DataFrame]:
     """((key, chain, probability), evidence): the garbled records with their likeliest
     chain; the evidence is that of their distinct texts."""
-    base = _marked(records, key, text, source)
-    found, weighed = _found(base)
-    held = lookup(base.select("id", "mark"), found.drop("kind"), "mark", "__mark", "inner")
+    tokenized = _tokenized(records, key, text, source)
+    found, weighed = _found(tokenized)
+    held = lookup(tokenized.select("id", "mark"), found.drop("kind"), "mark", "__mark", "inner")
     best = held.groupBy("id").agg(F.max(F.struct("probability", "__chain")).alias("b"))
     return best.select(F.col("id").alias(key), F.col("b.__chain").alias("chain"), "b.probability"), weighed
 
@@ -295,7 +336,7 @@ def restore(text: str, ways: dict[str, tuple[str, str]], main: str) -> tuple[str
         if raw.isascii():
             continue
         way = ways.get(names[i])
-        if way is None and len(names[i]) <= 12:
+        if way is None and _is_sign(names[i]):
             before = skeleton(names[i - 1]) if i else ""
             after = skeleton(names[i + 1]) if i + 1 < len(names) else ""
             way = ways.get(f"{before}{SEP}{names[i]}{SEP}") or ways.get(f"{SEP}{names[i]}{SEP}{after}")
@@ -326,13 +367,15 @@ def repaired_records(records: DataFrame, key: str, text: str, source: str, name:
 
     What cannot be restored stays as it is.
     """
-    base = _marked(records, key, text, source)
-    found, weighed = _found(base)
-    best = weighed.withColumn("w", F.col("p") * F.col("g")).groupBy("kind", "unit").agg(F.sum("w").alias("w"), F.max(F.struct("w", "chain", "was")).alias("b")).filter("w > 0.5")
-    ways = best.groupBy("kind").agg(F.collect_list(F.struct("unit", "b.chain", "b.was")).alias("ways"))  # a text's own units
-    plans = cut(found.join(ways, "kind", "left").select("__mark", "__chain", "probability", "ways"))
-    texts = base.select(F.col("id").alias("__key"), F.col("text").alias("__text"), "mark")
-    joined = lookup(texts, plans, "mark", "__mark", "inner")
+    tokenized = _tokenized(records, key, text, source)
+    found, weighed = _found(tokenized)
+    ways = lookup(weighed.filter("total > 0.5"), found.select(F.col("kind").alias("__kind")), "id", "__kind", "inner", skewed=False)
+    best = ways.withColumn("w", F.col("p") * F.col("g")).groupBy("id", "unit").agg(F.sum("w").alias("w"), F.max(F.struct("w", "chain", "was")).alias("b")).filter("w > 0.5")
+    ways = best.groupBy(F.col("id").alias("__kind")).agg(F.collect_list(F.struct("unit", "b.chain", "b.was")).alias("ways"))  # a text's own units
+    plans = cut(found.join(ways, F.col("kind") == F.col("__kind"), "left").select("__mark", "__chain", "probability", "ways"))
+    base = records.select(F.col(f"`{key}`").alias("__key"), F.coalesce(F.col(f"`{source}`").cast("string"), F.lit("")).alias("__source"), F.col(f"`{text}`").cast("string").alias("__text"))
+    base = base.filter(F.col("__key").isNotNull() & F.col("__text").rlike("[^\\x00-\\x7f]"))
+    joined = lookup(base.select("__key", "__text", _mark("__source", "__text").alias("mark")), plans, "mark", "__mark", "inner")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

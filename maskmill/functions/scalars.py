@@ -17,9 +17,10 @@ def stable_id(diagnosis: Column, stem: Column) -> Column:
     return F.concat(diagnosis, F.lit("_"), F.when(number == "", slug).otherwise(F.when(F.length(padded) >= 4, padded).otherwise(F.lpad(padded, 4, "0"))))
 
 
-def patient_id(path: Column) -> Column:
-    """``P_00016`` anywhere in a path; NULL where there is none."""
-    return F.nullif(F.regexp_extract(path, r"(P_\d+)", 1), F.lit(""))
+def patient_id(path: Column, strict: bool = False) -> Column:
+    """``P_00016`` anywhere in a path; where there is none NULL, or an error if strict."""
+    found = F.nullif(F.regexp_extract(path, r"(P_\d+)", 1), F.lit(""))
+    return F.coalesce(found, F.raise_error(F.concat(F.lit("no patient id in "), F.coalesce(path, F.lit("NULL")))).cast("string")) if strict else found
 
 
 def annotation_path(folder: Column, name: Column) -> Column:
@@ -77,6 +78,16 @@ def infer_cell(text: Column) -> Column:
     )
 
 
+def cast_cell(text: Column) -> Column:
+    """The cell under its inferred type: a struct of kind, flag, whole, number and text, in
+    which only the member of its kind is set."""
+    kind, t = infer_cell(text), F.trim(text)
+    return F.struct(
+        kind.alias("kind"), F.when(kind == "bool", F.lower(t) == "true").alias("flag"), F.when(kind == "int", t.try_cast("bigint")).alias("whole"),
+        F.when(kind == "float", t.try_cast("double")).alias("number"), F.when(kind == "string", text).alias("text"),
+    )
+
+
 def class_of_name(name: Column) -> Column:
     """0, 1, 2 from a diagnosis or from the number itself; NULL for anything else."""
     t = F.lower(F.trim(name.cast("string")))
@@ -89,14 +100,34 @@ def quartile_number(label: Column) -> Column:
     return F.when(t.isin("normal", "0"), 0).when(t.rlike("^q?[1-4]$"), F.regexp_extract(t, r"([1-4])", 1).cast("int"))
 
 
+def name_contains(name: Column, word: str) -> Column:
+    """Whether a name holds a word, in any case."""
+    return F.coalesce(F.lower(name).contains(word.lower()), F.lit(False))
+
+
+def hash_part(text: Column, parts: int) -> Column:
+    """A number below ``parts`` from the sha256 of a text."""
+    return F.pmod(F.conv(F.substring(F.sha2(text, 256), 1, 8), 16, 10).cast("long"), F.lit(parts))
+
+
 def keyword_class(text: Column) -> Column:
     """2 where the text says malignant, 1 where benign; 1 where it says neither."""
     t = F.lower(F.coalesce(text, F.lit("")))
     return F.when(t.contains("malignant"), 2).when(t.contains("benign"), 1).otherwise(1)
 
 
-def resolve_path(path: Column, root: str) -> Column:
-    return F.when(F.startswith(path, F.lit("/")), path).otherwise(F.concat(F.lit(root.rstrip("/") + "/"), path))
+def resolve_path(path: Column, root: str, existing: Column | None = None) -> Column:
+    """The path below ``root``; absolute ones as they are. With ``existing``, an array of
+    the files there are, a path that is not below ``root`` but below its parent is that."""
+    base = root.rstrip("/")
+    below, beside = F.concat(F.lit(base + "/"), path), F.concat(F.lit(base.rpartition("/")[0] + "/"), path)
+    found = below if existing is None else F.when(~F.array_contains(existing, below) & F.array_contains(existing, beside), beside).otherwise(below)
+    return F.when(F.startswith(path, F.lit("/")), path).otherwise(found)
+
+
+def round_half_even(value: Column, digits: int) -> Column:
+    """Rounded by its decimal text, ties to the even digit."""
+    return F.bround(value, digits)
 
 
 def minutes_seconds(elapsed: Column) -> tuple[Column, Column]:
@@ -104,9 +135,19 @@ def minutes_seconds(elapsed: Column) -> tuple[Column, Column]:
     return F.floor(whole / 60).cast("int"), (whole % 60).cast("int")
 
 
+#: Largest map size, then its three rates; beyond them the last ones.
+ATROUS = ((16, (2, 3, 5)), (24, (2, 4, 6)), (40, (3, 6, 9)))
+ATROUS_BEYOND = (6, 12, 18)
+
+
 def atrous_rates(size: Column) -> Column:
-    """Dilation rates that fit a feature map: a half, a third and a sixth of it, at least 1."""
-    return F.array(*[F.greatest(F.lit(1), F.floor(size / d).cast("int")) for d in (6, 3, 2)])
+    """Dilation rates of a feature map; a kernel of three must fit the map, so no rate
+    exceeds half of it. NULL for sizes below one."""
+    limit = F.greatest(F.lit(1), F.floor((size - 1) / 2).cast("int"))
+    chosen = F.array(*[F.lit(r) for r in ATROUS_BEYOND])
+    for most, rates in reversed(ATROUS):
+        chosen = F.when(size <= most, F.array(*[F.lit(r) for r in rates])).otherwise(chosen)
+    return F.when(size > 0, F.transform(chosen, lambda r: F.least(r, limit)))
 
 
 def size_cuts(df: DataFrame, group: str, value: str) -> DataFrame:

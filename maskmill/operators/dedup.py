@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from maskmill.functions.scalars import four_digits, join_sorted
-from maskmill.runtime import cut
+from maskmill.runtime import cut, lookup
 
 
 #: Bits that a band must have for the band join.
@@ -136,6 +136,40 @@ def aligned(a: np.ndarray, b: np.ndarray, side: int = 8, reach: int = 2) -> tupl
     return best, dy_best, dx_best
 
 
+def _close(a_ids: np.ndarray, a: np.ndarray, b_ids: np.ndarray, b: np.ndarray, least: float, how: str) -> tuple[np.ndarray, np.ndarray, tuple]:
+    """Places in ``a`` and ``b`` of the pairs that are close enough, with (score, dy, dx)."""
+    places_a, places_b, scores = [np.zeros(0, int)], [np.zeros(0, int)], [np.zeros((0, 3))]
+    for start in range(0, len(a), 256):
+        part = a[start : start + 256]
+        if how == "hamming":
+            score = np.bitwise_count(part[:, None] ^ b[None, :])
+            at, bt = np.nonzero(score <= least)
+            found = np.stack([score[at, bt], np.zeros(len(at)), np.zeros(len(at))], axis=1)
+        elif how == "cosine":
+            norm = np.linalg.norm(part, axis=1)[:, None] * np.linalg.norm(b, axis=1)[None, :]
+            score = np.clip(np.divide(part @ b.T, norm, out=np.zeros((len(part), len(b))), where=norm > 0), -1, 1)
+            at, bt = np.nonzero(score >= least)
+            found = np.stack([score[at, bt], np.zeros(len(at)), np.zeros(len(at))], axis=1)
+        else:
+            at, bt = (x.ravel() for x in np.meshgrid(np.arange(len(part)), np.arange(len(b)), indexing="ij"))
+            # a pair is oriented from its smaller id, so the shift has one meaning
+            swap = a_ids[start + at] > b_ids[bt]
+            first, second = np.where(swap[:, None], b[bt], part[at]), np.where(swap[:, None], part[at], b[bt])
+            s, dy, dx = aligned(first, second, int(round(a.shape[1] ** 0.5)))
+            ok = s >= least
+            at, bt, found = at[ok], bt[ok], np.stack([s[ok], dy[ok], dx[ok]], axis=1)
+        places_a.append(start + at)
+        places_b.append(bt)
+        scores.append(found)
+    every = np.concatenate(scores)
+    return np.concatenate(places_a), np.concatenate(places_b), (every[:, 0], every[:, 1], every[:, 2])
+
+
+def _pair_table(key: str, x: np.ndarray, y: np.ndarray, found) -> pa.Table:
+    names = {f"{key}_a": np.minimum(x, y).astype(np.int64), f"{key}_b": np.maximum(x, y).astype(np.int64)}
+    return pa.table(names | {"score": np.asarray(found[0], float), "dy": np.asarray(found[1]).astype(np.int32), "dx": np.asarray(found[2]).astype(np.int32)})
+
+
 def block_pairs(df: DataFrame, key: str, vector: str, least: float, rows_per_block: int = 2048, how: str = "cosine") -> DataFrame:
     """Pairs whose cosine (or best shifted correlation) is at least ``least``, or whose
     64-bit hashes differ in at most ``least`` bits, exactly.
@@ -155,36 +189,124 @@ def block_pairs(df: DataFrame, key: str, vector: str, least: float, rows_per_blo
         ids, blocks = t["k"].to_numpy(), t["b"].to_numpy()
         vectors = t["v"].to_numpy().view(np.uint64) if how == "hamming" else np.array(t["v"].to_pylist(), float)
         left, right = (blocks == pair[0].as_py()), (blocks == pair[1].as_py())
-        a, b = vectors[left], vectors[right]
-        rows: list[np.ndarray] = []
-        for start in range(0, len(a), 256):
-            part, part_ids = a[start : start + 256], ids[left][start : start + 256]
-            if how == "hamming":
-                score = np.bitwise_count(part[:, None] ^ b[None, :])
-                at, bt = np.nonzero(score <= least)
-                found = (score[at, bt], np.zeros(len(at), int), np.zeros(len(at), int))
-            elif how == "cosine":
-                norm = np.linalg.norm(part, axis=1)[:, None] * np.linalg.norm(b, axis=1)[None, :]
-                score = np.clip(np.divide(part @ b.T, norm, out=np.zeros((len(part), len(b))), where=norm > 0), -1, 1)
-                at, bt = np.nonzero(score >= least)
-                found = (score[at, bt], np.zeros(len(at), int), np.zeros(len(at), int))
-            else:
-                at, bt = (x.ravel() for x in np.meshgrid(np.arange(len(part)), np.arange(len(b)), indexing="ij"))
-                # a pair is oriented from its smaller id, so the shift has one meaning
-                swap = part_ids[at] > ids[right][bt]
-                first, second = np.where(swap[:, None], b[bt], part[at]), np.where(swap[:, None], part[at], b[bt])
-                s, dy, dx = aligned(first, second, int(round(vectors.shape[1] ** 0.5)))
-                ok = s >= least
-                at, bt, found = at[ok], bt[ok], (s[ok], dy[ok], dx[ok])
-            x, y = part_ids[at], ids[right][bt]
-            keep = (x < y) if pair[0].as_py() == pair[1].as_py() else np.ones(len(x), bool)
-            rows.append(np.stack([np.minimum(x, y), np.maximum(x, y), *found], axis=1)[keep])
-        out = np.concatenate(rows).astype(float) if rows else np.zeros((0, 5))
-        return pa.table({f"{key}_a": out[:, 0].astype(np.int64), f"{key}_b": out[:, 1].astype(np.int64), "score": out[:, 2], "dy": out[:, 3].astype(np.int32), "dx": out[:, 4].astype(np.int32)})
+        at, bt, found = _close(ids[left], vectors[left], ids[right], vectors[right], least, how)
+        x, y = ids[left][at], ids[right][bt]
+        keep = (x < y) if pair[0].as_py() == pair[1].as_py() else np.ones(len(x), bool)
+        return _pair_table(key, x[keep], y[keep], [f[keep] for f in found])
 
     return spread.groupBy("i", "j").applyInArrow(compare, schema)
 
 
+#: Random hyperplanes: bits of a band, and bands. A pair of cosine 0.9 meets in a band
+#: with a chance of 0.97, one of 0.95 of 0.999.
+PLANE_BITS, PLANE_BANDS = 8, 12
+
+
+def banded_pairs(df: DataFrame, key: str, vector: str, least: float, bits: int = PLANE_BITS, bands: int = PLANE_BANDS, rows_per_block: int = 2048, seed: int = 5) -> DataFrame:
+    """Pairs whose cosine is at least ``least``, among those that lie on the same side of all
+    hyperplanes of a band; each is compared exactly, once.
+
+    Equal vectors count once, by their smallest id (see ``representatives``), so copies
+    cost nothing. A bucket is compared in pairs of its hash blocks, so none is unbounded in
+    a task. Recall grows with the cosine; it is for high ``least`` and large tables, where
+    ``block_pairs`` would be quadratic. Null vectors match nothing.
+    """
+    held = df.filter(F.col(vector).isNotNull() & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("k"), F.col(vector).cast("array<double>").alias("v"))
+    unique = held.groupBy("v").agg(F.min("k").alias("k"))
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            v = np.array(b.column(1).to_pylist(), float)
+            planes = np.random.default_rng(seed).normal(size=(v.shape[1], bits * bands))
+            side = (v @ planes > 0).reshape(len(v), bands, bits) @ (1 << np.arange(bits))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(side.tolist(), pa.list_(pa.int64()))], names=["k", "v", "s"])
+
+    signed = cut(unique.select("k", "v").mapInArrow(sign, "k long, v array<double>, s array<long>"))
+    long = signed.select("k", "v", "s", F.posexplode("s").alias("band", "side"))
+    sizes = long.groupBy(F.col("band").alias("__band"), F.col("side").alias("__side")).agg(F.ceil(F.count("*") / rows_per_block).cast("int").alias("n"), F.count("*").alias("rows")).filter("rows > 1")
+    placed = long.join(F.broadcast(sizes), (F.col("band") == F.col("__band")) & (F.col("side") == F.col("__side")))  # at most bands * 2 ** bits rows
+    spread = placed.withColumn("b", F.pmod(F.xxhash64(F.lit(3), "k"), F.col("n")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    spread = spread.select("band", "side", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "k", "v", "s")
+
+    def compare(bucket: tuple, t: pa.Table) -> pa.Table:
+        band, _, i, j = (x.as_py() for x in bucket)
+        ids, blocks, vectors, sides = t["k"].to_numpy(), t["b"].to_numpy(), np.array(t["v"].to_pylist(), float), np.array(t["s"].to_pylist())
+        left, right = blocks == i, blocks == j
+        at, bt, found = _close(ids[left], vectors[left], ids[right], vectors[right], least, "cosine")
+        x, y = ids[left][at], ids[right][bt]
+        agree = sides[left][at] == sides[right][bt]
+        keep = agree.argmax(1) == band if len(at) else np.zeros(0, bool)  # the first band the two share
+        if i == j:
+            keep &= x < y
+        return _pair_table(key, x[keep], y[keep], [f[keep] for f in found])
+
+    found = spread.groupBy("band", "side", "i", "j").applyInArrow(compare, f"{key}_a long, {key}_b long, score double, dy int, dx int")
+    return found.select(f"{key}_a", f"{key}_b", "score")
+
+
+def near_search(df: DataFrame, key: str, image: str, mask: str, bits: int = 6, least: float = 0.90) -> DataFrame:
+    """Near-duplicate candidates of pictures (square, as arrays) with their masks.
+
+    Pairs of different hashes within ``bits`` bits, or whose best shifted correlation is at
+    least ``least``; then, at the best shift, the Dice of the masks, and the evidence.
+    Pairs without any evidence are no candidates. The correlation has no key to join on and
+    is exhaustive over blocks; hashes are joined by bands.
+    """
+    held = df.select(F.col(key).alias("__k"), F.col(image).cast("array<double>").alias("__v"), F.col(mask).cast("array<int>").alias("__m")).filter("__k is not null and __v is not null and __m is not null")
+    hashed = held.withColumn("__h", bits_above_median(F.col("__v")))
+    close = all_hamming_pairs(hashed, "__k", "__h", bits).filter("distance > 0").select("__k_a", "__k_b")
+    alike = block_pairs(held, "__k", "__v", least, how="aligned").select("__k_a", "__k_b")
+    pairs = cut(close.unionByName(alike).distinct())
+    for side in "ab":
+        own = hashed.select(F.col("__k").alias(f"__id_{side}"), F.col("__v").alias(f"v{side}"), F.col("__m").alias(f"m{side}"), F.col("__h").alias(f"h{side}"))
+        pairs = pairs.join(own, F.col(f"__k_{side}") == F.col(f"__id_{side}")).drop(f"__id_{side}")
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            cols = {n: b.column(i) for i, n in enumerate(b.schema.names)}
+            va, vb, ma, mb = (np.array(cols[n].to_pylist(), float) for n in ("va", "vb", "ma", "mb"))
+            side = int(round(va.shape[1] ** 0.5))
+            norm = np.linalg.norm(va - va.mean(1, keepdims=True), axis=1) * np.linalg.norm(vb - vb.mean(1, keepdims=True), axis=1)
+            zero = np.divide(((va - va.mean(1, keepdims=True)) * (vb - vb.mean(1, keepdims=True))).sum(1), norm, out=np.zeros(len(va)), where=norm > 0)
+            best, dy, dx = aligned(va, vb, side)
+            dice = [shifted_dice(x.reshape(side, side), y.reshape(side, side), int(p), int(q)) for x, y, p, q in zip(ma, mb, dy, dx, strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [cols["__k_a"], cols["__k_b"], cols["ha"], cols["hb"], pa.array(zero), pa.array(best), pa.array(dy.astype(np.int32)), pa.array(dx.astype(np.int32)), pa.array(dice, pa.float64())],
+                names=["a", "b", "ha", "hb", "zero", "best", "dy", "dx", "dice"],
+            )
+
+    slim = pairs.select(F.col("__k_a").cast("long"), F.col("__k_b").cast("long"), "va", "vb", "ma", "mb", "ha", "hb")
+    scored = slim.mapInArrow(score, "a long, b long, ha long, hb long, zero double, best double, dy int, dx int, dice double")
+    distance = hamming(F.col("ha"), F.col("hb"))
+    why = evidence(distance, F.col("best"), F.col("dice"), bits)
+    return scored.filter("ha <> hb").select(
+        candidate_id(F.col("a").cast("string"), F.col("b").cast("string")).alias("candidate_id"), F.col("a").alias("sample_a"), F.col("b").alias("sample_b"), distance.alias("phash_distance"), F.bround("zero", 8).alias("zero_shift_correlation"),
+        F.bround("best", 8).alias("aligned_correlation"), F.col("dy").alias("alignment_dy"), F.col("dx").alias("alignment_dx"), F.bround("dice", 8).alias("registered_mask_dice"), why.alias("evidence"),
+    ).filter("evidence <> ''")
+
+
+def shifted_dice(a: np.ndarray, b: np.ndarray, dy: int, dx: int) -> float:
+    """Dice of two masks where they overlap at a shift; two empty ones agree fully."""
+    h, w = a.shape
+    u = a[max(0, dy) : h + min(0, dy), max(0, dx) : w + min(0, dx)] > 0
+    v = b[max(0, -dy) : h + min(0, -dy), max(0, -dx) : w + min(0, -dx)] > 0
+    size = int(u.sum()) + int(v.sum())
+    return 1.0 if size == 0 else float(2 * (u & v).sum() / size)
+
+
+def exact_members(df: DataFrame, digest: str, key: str) -> DataFrame:
+    """(exact_group, digest, key, members) in long form: a row a member, so a digest that a
+    third of all rows share is no single row."""
+    held = df.filter(F.col(digest).isNotNull() & (F.col(digest) != "")).select(digest, key)
+    sizes = held.groupBy(digest).agg(F.count("*").alias("members")).filter("members > 1")
+    numbered = number_in_order(sizes, digest, "exact_group", "exact").withColumnRenamed(digest, "__d")
+    return lookup(held, numbered, digest, "__d", "inner").select("exact_group", digest, key, "members")
+
+
 def mask_dice(a: Column, b: Column) -> Column:
     """Dice of two 0/1 arrays; two empty masks agree fully."""
     both = F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0).cast("long"), lambda s, x: s + x)

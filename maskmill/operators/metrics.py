@@ -46,6 +46,46 @@ def normalized(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.col(c) / total for c in ("p0", "p1", "p2")})
 
 
+def repeated_ids(df: DataFrame, *pixel: str) -> DataFrame:
+    """Samples that are given twice: a pixel (``pixel`` columns) that stands more than once."""
+    return df.groupBy("sample_id", *pixel).agg(F.count("*").alias("copies")).filter("copies > 1").groupBy("sample_id").agg(F.max("copies").alias("copies"))
+
+
+def evaluate(df: DataFrame, pixel: tuple[str, ...] = (), threshold: float = 0.5, bins: int = 15) -> DataFrame:
+    """Everything of one evaluation as (metric, value): headline, pooled and mean ratios,
+    accuracy, Brier and calibration scores of probabilities per pixel.
+
+    With ``pixel`` a sample that is given twice is an error, raised when the result is read.
+    """
+    if pixel:
+        own = Window.partitionBy("sample_id", *pixel)
+        df = df.withColumn("__copies", F.count("*").over(own))
+        wrong = F.raise_error(F.concat(F.lit("repeated sample "), F.col("sample_id").cast("string"))).cast("double")
+        df = df.withColumn("p0", F.when(F.col("__copies") > 1, wrong).otherwise(F.col("p0"))).drop("__copies")
+    per = per_sample(df, threshold)
+    ece = [expected_calibration_error(calibration_bins(df, kind, bins)).select(F.col("ece").alias(f"ece_{kind}")) for kind in ("binary", "multiclass")]
+    tables = [headline(per_image(per)), micro_macro(per), accuracy(per).drop("samples"), brier(df), *ece]
+    out = None
+    for t in tables:  # one row each
+        long = t.select(F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in t.columns])).alias("m")).select("m.*")
+        out = long if out is None else out.unionByName(long)
+    return out
+
+
+def deep_supervision(stages: list[DataFrame], weights: list[float]) -> DataFrame:
+    """Losses of several stages (one row each, from ``losses``) and their weighted mean; the
+    weights are brought to a sum of one."""
+    if not weights or min(weights) < 0 or sum(weights) <= 0:
+        raise ValueError("weights must be non-negative with a positive sum")
+    rows = None
+    for i, (stage, w) in enumerate(zip(stages, weights, strict=True), 1):
+        one = stage.select(F.lit(f"p{i}").alias("stage"), F.lit(w / sum(weights)).alias("weight"), *stage.columns)
+        rows = one if rows is None else rows.unionByName(one)
+    names = stages[0].columns
+    total = rows.agg(*[F.sum(F.col("weight") * F.col(c)).alias(c) for c in names]).select(F.lit("total").alias("stage"), F.lit(1.0).alias("weight"), *names)
+    return rows.unionByName(total)
+
+
 def inferred_classes(df: DataFrame) -> DataFrame:
     """Class of each sample from its target, and whether it agrees with the stated one.
 

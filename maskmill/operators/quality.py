@@ -53,6 +53,12 @@ def contract(df: DataFrame, checks: dict[str, tuple[Column, Column]]) -> DataFra
     return df.agg(*both).select(rows.alias("r")).select("r.*")
 
 
+def written_paths(key: Column, eligible: Column) -> tuple[Column, Column]:
+    """Paths of image and mask below the output folder; those of the others are quarantined."""
+    prefix = F.when(eligible, "").otherwise("quarantine/")
+    return tuple(F.concat(prefix, F.lit(f"{kind}/"), key, F.lit(".png")) for kind in ("images", "masks"))
+
+
 def hash_mismatches(recorded: DataFrame, files: DataFrame, key: str, digest: str) -> DataFrame:
     """Files that are missing or whose recomputed digest differs. ``files`` has (key, content)."""
     now = files.select(F.col(key).alias("__k"), F.sha2("content", 256).alias("actual"))

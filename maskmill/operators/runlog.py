@@ -1,14 +1,21 @@
 """Ordered analytics over run logs: one row per (run, epoch).
 
-What a frame can express is a window per run; rules with memory (early stop, plateau,
-top three, exponential means) fold over the run's ordered epochs inside the JVM. A run
-has as many rows as epochs, so its array is small whatever the number of runs.
+What a frame can express is a window per run. Rules with memory (early stop, plateau,
+top three, exponential means) read the epochs of a run in order and keep a few values:
+runs are put in order on their partitions, and the rows stream through, so a run of any
+length needs no more memory than one row. A rule that depends on all epochs before is
+sequential, so one run is one task.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def latest_lines(df: DataFrame, received: str, *keys: str) -> DataFrame:
@@ -36,69 +43,109 @@ def top_three(df: DataFrame, score: str, *keys: str) -> DataFrame:
     return df.withColumn("place", F.row_number().over(order)).filter((F.col("place") <= 3) & F.col(score).isNotNull())
 
 
-def _folded(df: DataFrame, score: str, keys: tuple, start: Column, step, name: str) -> DataFrame:
-    """Fold over the ordered epochs; ``step(state, row)`` gives the next state, which
-    carries the array ``out`` of results."""
-    runs = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("epoch", F.col(score).cast("double").alias("score")))).alias("__rows"))
-    done = runs.select(*keys, F.aggregate("__rows", start, step).alias("__s"))
-    return done.select(*keys, F.inline("__s.out")) if name == "" else done.select(*keys, F.col("__s").alias(name))
+def _streamed(df: DataFrame, score: str, keys: tuple, rule: Callable[[], Callable], results: str, extra: tuple = ()) -> DataFrame:
+    """``rule()`` starts a run and gives a function of (epoch, score, extra..) that returns
+    the results of an epoch; rows of a run arrive in the order of epochs."""
+    slim = df.select(*keys, F.col("epoch").cast("int").alias("epoch"), F.col(score).cast("double").alias("__score"), *extra)
+    ordered = slim.repartition(*keys).sortWithinPartitions(*keys, "epoch")
+    n, fields = len(keys), T._parse_datatype_string(results)
+    types = to_arrow_schema(fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, step = None, None
+        for b in batches:
+            columns = [c.to_pylist() for c in b.columns]
+            out = []
+            for row in zip(*columns, strict=True):
+                if step is None or row[:n] != current:
+                    current, step = row[:n], rule()
+                out.append(step(*row[n:]))
+            arrays = [pa.array([r[i] for r in out], f.type) for i, f in enumerate(types)]
+            yield pa.RecordBatch.from_arrays([*b.columns[: n + 1], *arrays], names=[*keys, "epoch", *types.names])
+
+    kinds = ", ".join(f"`{k}` {slim.schema[k].dataType.simpleString()}" for k in keys)
+    return ordered.mapInArrow(run, f"{kinds}, epoch int, {results}")
 
 
 def early_stop(df: DataFrame, score: str, *keys: str, min_improvement: float = 0.002, patience: int = 12) -> DataFrame:
     """Bad-epoch counter: an epoch at least ``min_improvement`` above the best resets it
     and becomes the best; any other counts. Null scores count as bad."""
-    row = "struct<epoch:int,bad_epochs:int,best:double,stop:boolean>"
-    start = F.struct(F.lit(None).cast("double").alias("best"), F.lit(0).alias("bad"), F.array().cast(f"array<{row}>").alias("out"))
 
-    def step(s: Column, r: Column) -> Column:
-        reset = F.coalesce(r["score"] >= s["best"] + min_improvement, s["best"].isNull() & r["score"].isNotNull())
-        best, bad = F.when(reset, r["score"]).otherwise(s["best"]), F.when(reset, 0).otherwise(s["bad"] + 1)
-        out = F.struct(r["epoch"].cast("int").alias("epoch"), bad.alias("bad_epochs"), best.alias("best"), (bad >= patience).alias("stop"))
-        return F.struct(best.alias("best"), bad.alias("bad"), F.concat(s["out"], F.array(out.cast(row))).alias("out"))
+    def rule():
+        best, bad = None, 0
+
+        def step(_, x):
+            nonlocal best, bad
+            if x is not None and (best is None or x >= best + min_improvement):
+                best, bad = x, 0
+            else:
+                bad += 1
+            return bad, best, bad >= patience
 
-    return _folded(df, score, keys, start, step, "")
+        return step
+
+    return _streamed(df, score, keys, rule, "bad_epochs int, best double, stop boolean")
 
 
 def enters_top_three(df: DataFrame, score: str, *keys: str) -> DataFrame:
     """Whether a score enters the three best so far: fewer than three, or above the least."""
-    row = "struct<epoch:int,enters:boolean>"
-    start = F.struct(F.array().cast("array<double>").alias("top"), F.array().cast(f"array<{row}>").alias("out"))
 
-    def step(s: Column, r: Column) -> Column:
-        enters = r["score"].isNotNull() & ((F.size(s["top"]) < 3) | (r["score"] > F.array_min(s["top"])))
-        top = F.when(enters, F.slice(F.reverse(F.array_sort(F.concat(s["top"], F.array(r["score"])))), 1, 3)).otherwise(s["top"])
-        return F.struct(top.alias("top"), F.concat(s["out"], F.array(F.struct(r["epoch"].cast("int").alias("epoch"), enters.alias("enters")).cast(row))).alias("out"))
+    def rule():
+        top: list[float] = []
+
+        def step(_, x):
+            enters = x is not None and (len(top) < 3 or x > top[0])
+            if enters:
+                top.append(x)
+                top.sort()
+                del top[:-3]
+            return (enters,)
+
+        return step
 
-    return _folded(df, score, keys, start, step, "")
+    return _streamed(df, score, keys, rule, "enters boolean")
 
 
-def plateau_rate(df: DataFrame, score: str, *keys: str, rate: float = 1e-3, factor: float = 0.5, patience: int = 3, floor: float = 1e-6) -> DataFrame:
+def plateau_rate(df: DataFrame, score: str, *keys: str, rate: float = 1e-3, factor: float = 0.5, patience: int = 3, floor: float = 1e-6, phase: str | None = None) -> DataFrame:
     """Learning rate that is multiplied by ``factor`` after more than ``patience`` epochs
-    without a strictly better score, never below ``floor``; our own rule, stated here."""
-    row = "struct<epoch:int,learning_rate:double>"
-    start = F.struct(F.lit(None).cast("double").alias("best"), F.lit(0).alias("bad"), F.lit(rate).alias("rate"), F.array().cast(f"array<{row}>").alias("out"))
+    without a strictly better score, never below ``floor``; our own rule, stated here.
+    With ``phase``, a change of that column starts it anew."""
 
-    def step(s: Column, r: Column) -> Column:
-        better = F.coalesce(r["score"] > s["best"], s["best"].isNull() & r["score"].isNotNull())
-        bad = F.when(better, 0).otherwise(s["bad"] + 1)
-        drop = bad > patience
-        new = F.when(drop, F.greatest(s["rate"] * factor, F.lit(floor))).otherwise(s["rate"])
-        out = F.struct(r["epoch"].cast("int").alias("epoch"), new.alias("learning_rate")).cast(row)
-        return F.struct(F.when(better, r["score"]).otherwise(s["best"]).alias("best"), F.when(drop, 0).otherwise(bad).alias("bad"), new.alias("rate"), F.concat(s["out"], F.array(out)).alias("out"))
+    def rule():
+        best, bad, now, last = None, 0, rate, None
 
-    return _folded(df, score, keys, start, step, "")
+        def step(_, x, part=None):
+            nonlocal best, bad, now, last
+            if part != last:
+                best, bad, now, last = None, 0, rate, part
+            if x is not None and (best is None or x > best):
+                best, bad = x, 0
+            else:
+                bad += 1
+            if bad > patience:
+                now, bad = max(now * factor, floor), 0
+            return (now,)
+
+        return step
+
+    return _streamed(df, score, keys, rule, "learning_rate double", (phase,) if phase else ())
 
 
 def moving_mean(df: DataFrame, score: str, *keys: str, decay: float = 0.9) -> DataFrame:
     """Exponential mean s = d*s + (1-d)*x from the first value on; nulls keep the state."""
-    row = "struct<epoch:int,mean:double>"
-    start = F.struct(F.lit(None).cast("double").alias("m"), F.array().cast(f"array<{row}>").alias("out"))
 
-    def step(s: Column, r: Column) -> Column:
-        m = F.when(r["score"].isNull(), s["m"]).when(s["m"].isNull(), r["score"]).otherwise(decay * s["m"] + (1 - decay) * r["score"])
-        return F.struct(m.alias("m"), F.concat(s["out"], F.array(F.struct(r["epoch"].cast("int").alias("epoch"), m.alias("mean")).cast(row))).alias("out"))
+    def rule():
+        mean = None
+
+        def step(_, x):
+            nonlocal mean
+            if x is not None:
+                mean = x if mean is None else decay * mean + (1 - decay) * x
+            return (mean,)
+
+        return step
 
-    return _folded(df, score, keys, start, step, "")
+    return _streamed(df, score, keys, rule, "mean double")
 
 
 def phase_of_epoch(epoch: Column, ends: tuple[int, ...]) -> Column:
@@ -132,6 +179,21 @@ def reconcile(log: DataFrame, checkpoint: DataFrame, *keys: str) -> DataFrame:
     return both.withColumn("action", F.when(ahead == 0, "equal").when(ahead == -1, "repair").when(ahead == 1, "roll_back").otherwise("refuse"))
 
 
+def repaired(log: DataFrame, checkpoint: DataFrame, *keys: str) -> tuple[DataFrame, DataFrame]:
+    """(log, orphans) after ``reconcile``: a log one behind gets the line its checkpoint
+    holds, one ahead loses its last line, which goes to the orphans. Runs that are refused
+    keep their log, for the caller to see in ``reconcile``.
+
+    ``checkpoint`` has one row a run: the keys, epoch and the columns of a log line.
+    """
+    plan = reconcile(log, checkpoint, *keys).select(*[F.col(k).alias(f"__{k}") for k in keys], "log_epoch", "action")
+    marked = log.join(plan, [F.col(k) == F.col(f"__{k}") for k in keys])  # one row a run: broadcast by size, else AQE splits hot runs
+    ahead = (F.col("action") == "roll_back") & (F.col("epoch") == F.col("log_epoch"))
+    kept = marked.filter(~ahead).select(*log.columns)
+    missing = checkpoint.join(plan.filter("action = 'repair'"), [F.col(k) == F.col(f"__{k}") for k in keys]).select(*log.columns)
+    return kept.unionByName(missing), marked.filter(ahead).select(*log.columns)
+
+
 def fit_regime(gap: Column, high: float = 0.30, low: float = 0.08) -> Column:
     """Reading of the gap between training and validation score."""
     return F.when(gap.isNull(), F.lit(None).cast("string")).when(gap >= high, "overfitting").when(gap <= low, "underfitting").otherwise("balanced")

@@ -31,11 +31,21 @@ def place_on_grid(p: Column) -> Column:
     return down - (FIRST - 1)
 
 
-def sweep(df: DataFrame, *keys: str) -> DataFrame:
-    """Headline scores at every threshold, per ``keys``."""
+def place_in_list(p: Column, thresholds: list[float]) -> Column:
+    """How many of a caller's thresholds are at most ``p``."""
+    return F.size(F.filter(F.array(*[F.lit(float(x)) for x in thresholds]), lambda x: x <= p))
+
+
+def sweep(df: DataFrame, *keys: str, thresholds: list[float] | None = None) -> DataFrame:
+    """Headline scores at every threshold, per ``keys``; at those of the grid, or of a list,
+    of which repeated ones count once."""
+    if thresholds is not None:
+        thresholds = sorted({float(x) for x in thresholds})
+        if not thresholds or thresholds[0] <= 0 or thresholds[-1] > 1:
+            raise ValueError("thresholds must lie above 0 and up to 1")
     t, winner = F.col("target"), F.when(F.col("p1") >= F.col("p2"), 1).otherwise(2)
     own = F.col("class_id") > 0
-    marked = df.select(*keys, "sample_id", "class_id", place_on_grid(F.col("p1") + F.col("p2")).alias("k"), (t > 0).alias("t"), (t == F.col("class_id")).alias("o"), (winner == F.col("class_id")).alias("w"))
+    marked = df.select(*keys, "sample_id", "class_id", (place_on_grid(F.col("p1") + F.col("p2")) if thresholds is None else place_in_list(F.col("p1") + F.col("p2"), thresholds)).alias("k"), (t > 0).alias("t"), (t == F.col("class_id")).alias("o"), (winner == F.col("class_id")).alias("w"))
     by = [*keys, "sample_id", "class_id"]
     steps = marked.groupBy(*by, "k").agg(
         F.count_if("t").alias("tp"), F.count_if(~F.col("t")).alias("fp"), F.count("*").alias("n"),
@@ -47,7 +57,8 @@ def sweep(df: DataFrame, *keys: str) -> DataFrame:
         *by, "k", *[F.sum(c).over(high).alias(c) for c in ("tp", "fp", "otp", "ofp")], F.sum("n").over(high).alias("fg"), F.sum("n").over(mine).alias("n"), F.sum("tp").over(mine).alias("pos"),
         F.sum("os").over(mine).alias("opos"), F.coalesce(F.lead("k").over(mine.orderBy(F.desc("k"))), F.lit(0)).alias("below"), F.max("k").over(mine).alias("top"),
     )
-    last = LAST - FIRST + 1
+    last = LAST - FIRST + 1 if thresholds is None else len(thresholds)
+    label = (F.col("j") + FIRST - 1) / F.lit(100.0) if thresholds is None else F.element_at(F.array(*[F.lit(x) for x in thresholds]), F.col("j").cast("int"))
     values = {
         "e": F.when(F.col("class_id") == 0, (F.col("fg") == 0).cast("double")), "s": F.when(F.col("class_id") == 0, 1 - safe("fg", "n")),
         "b": F.when(own, dice("tp", "fp", F.col("pos") - F.col("tp"))), "c": F.when(own, dice("otp", "ofp", F.col("opos") - F.col("otp"))),
@@ -64,7 +75,7 @@ def sweep(df: DataFrame, *keys: str) -> DataFrame:
     along = Window.partitionBy(*keys, "class_id").orderBy("j").rowsBetween(Window.unboundedPreceding, 0)
     means = full.select(*keys, "class_id", "j", *[safe(F.sum(n).over(along), F.round(F.sum(f"{n}n").over(along))).alias(n) for n in values])
     pick = lambda c, k: F.max(F.when(F.col("class_id") == k, F.col(c)))
-    wide = means.groupBy(*keys, ((F.col("j") + FIRST - 1) / F.lit(100.0)).alias("threshold")).agg(
+    wide = means.groupBy(*keys, label.alias("threshold")).agg(
         pick("e", 0).alias("d_n"), pick("s", 0).alias("d_n_soft"), pick("b", 1).alias("d_b_bin"), pick("b", 2).alias("d_m_bin"), pick("c", 1).alias("d_b_cls"), pick("c", 2).alias("d_m_cls")
     )
     cls = balanced_mean("d_b_cls", "d_m_cls")
@@ -81,3 +92,13 @@ def best_threshold(swept: DataFrame, metric: str = "s_bal", tolerance: float = 1
     near = swept.withColumn("__best", F.max(metric).over(top)).filter(F.col("__best") - F.col(metric) <= tolerance)
     order = top.orderBy(F.desc("d_n"), F.desc("threshold"))
     return near.withColumn("__r", F.row_number().over(order)).filter("__r = 1").drop("__r", "__best")
+
+
+def best_checkpoint(best: DataFrame, name: str, tolerance: float = 1e-4) -> DataFrame:
+    """Of the checkpoints (one row each, at its own threshold) within ``tolerance`` of the
+    best score the one best on normal samples, then of the highest threshold, then the last
+    by name. Checkpoints are few, so one task picks."""
+    every = Window.partitionBy(F.lit(0))
+    near = best.withColumn("__best", F.max("s_bal").over(every)).filter(F.col("__best") - F.col("s_bal") <= tolerance)
+    order = every.orderBy(F.desc("d_n"), F.desc("threshold"), F.col(name).cast("string").desc())
+    return near.withColumn("__r", F.row_number().over(order)).filter("__r = 1").drop("__r", "__best")

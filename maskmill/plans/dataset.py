@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from maskmill.functions import scalars as s
 from maskmill.operators import dedup, graph, quality, splits
-from maskmill.operators.provenance import table_digest
+from maskmill.operators.provenance import row_digest, table_digest
 from maskmill.plans.evaluation import rounded
 from maskmill.plans.views import SAMPLES_SQL, samples
 from maskmill.runtime import table
 
 #: Known contradictory files (class folder, file name) that are always excluded.
-DENIED = (("benign", "benign (433).png"), ("malignant", "malignant (145).png"), ("normal", "normal (77).png"))
+DENIED = (("benign", "benign (433).png"), ("malignant", "malignant (145).png"))
 
 
 def exact_duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,6 +161,12 @@ def content_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _grouped(spark, sf_dir)[1].select("sample_id", "content_group")
 
 
+def content_groups_by_stars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same groups where no task may join up the edges: the way of large tables."""
+    rows = samples(spark, sf_dir).filter("eligible = 1")
+    return graph.content_groups(rows, "sample_id", _edges(spark, sf_dir, rows), "x", "y", one_task=0).select("sample_id", "content_group")
+
+
 def content_group_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, groups = _grouped(spark, sf_dir)
     return graph.group_report(rows.drop("content_group").join(groups, "sample_id"), "content_group", "sample_id", "diagnosis", "partition", "fold").filter("member_count > 1")
@@ -219,26 +225,6 @@ def membership_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table_digest(rows, "sample_id", "grp", "class_id", keys=("partition",))
 
 
-def contract_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fail-closed checks of the manifest: one row a check."""
-    rows = samples(spark, sf_dir)
-    one = lambda c: F.count_if(c).cast("string")
-    zero = F.lit("0")
-    return quality.contract(
-        rows,
-        {
-            "ids_are_unique": (F.count_distinct("sample_id"), F.count("*")),
-            "classes_are_known": (one(~F.col("class_id").isin(0, 1, 2) | F.col("class_id").isNull()), zero),
-            "class_matches_diagnosis": (one(~F.coalesce(s.class_of_name(F.col("diagnosis")) == F.col("class_id"), F.lit(False))), zero),
-            "normals_are_included": ((F.count_if((F.col("class_id") == 0) & (F.col("eligible") == 1)) > 0), F.lit(True)),
-            "folds_are_in_range": (one((F.col("partition") == "development") & ~F.col("fold").between(0, 4)), zero),
-            "others_have_no_fold": (one((F.col("partition") != "development") & (F.col("fold") != -1)), zero),
-            "excluded_are_not_eligible": (one((F.col("partition") == "excluded") & (F.col("eligible") == 1)), zero),
-            "normals_have_no_lesion": (one((F.col("class_id") == 0) & (F.col("lesion_pixels") > 0) & (F.col("eligible") == 1)), zero),
-        },
-    )
-
-
 def repeated_deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.duplicate_keys(table(spark, sf_dir, "manifest"), "sample_id")
 
@@ -253,6 +239,51 @@ def hamming_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.all_hamming_pairs(v, "vec_id", "bits", 16)
 
 
+def near_hash_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs within six bits, by bands, among the hashes and copies of them with the highest
+    0 to 8 bits turned over."""
+    v = table(spark, sf_dir, "embeddings").select("vec_id", dedup.bits_above_median(F.col("embedding").cast("array<double>")).alias("bits"))
+    turned = F.array(*[F.lit(((1 << n) - 1) << (64 - n) if n == 0 else (((1 << n) - 1) << (64 - n)) - (1 << 64)).cast("long") for n in range(9)])
+    copies = v.select((-1 - F.col("vec_id")).alias("vec_id"), F.col("bits").bitwiseXOR(F.get(turned, F.pmod("vec_id", F.lit(9)).cast("int"))).alias("bits"))
+    return dedup.all_hamming_pairs(v.unionByName(copies), "vec_id", "bits", 6)
+
+
+def banded_cosine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of cosine 0.95 or more, by hyperplane bands, among the vectors and copies of
+    them with one value changed."""
+    v = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
+    copies = v.select((-1 - F.col("vec_id")).alias("vec_id"), F.transform("e", lambda x, i: F.when(i == 0, x + 0.05).otherwise(x)).alias("e"))
+    return rounded(dedup.banded_pairs(v.unionByName(copies), "vec_id", "e", 0.95), 5)
+
+
+def near_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate candidates among the vectors as pictures of 8 x 8, and copies of every
+    third moved by one column; the mask is what is above zero."""
+    v = table(spark, sf_dir, "embeddings").select("vec_id", F.slice(F.col("embedding").cast("array<double>"), 1, 64).alias("e"))
+    moved = F.transform("e", lambda x, i: F.get("e", (i - F.when(i % 8 > 0, 1).otherwise(0)).cast("int")))
+    copies = v.filter("vec_id % 3 = 0").select((F.col("vec_id") + 1_000_000_000).alias("vec_id"), moved.alias("e"))
+    both = v.unionByName(copies)
+    return dedup.near_search(both.withColumn("m", F.transform("e", lambda x: (x > 0).cast("int"))), "vec_id", "e", "m")
+
+
+def exact_duplicate_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.exact_members(samples(spark, sf_dir), "decoded_pixel_sha256", "sample_id")
+
+
+def row_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digest of every manifest row over columns that hold quotes, blanks and nulls."""
+    return table(spark, sf_dir, "manifest").select("sample_id", "delivered_at", row_digest("sample_id", "source_image_path", "source_mask_paths", "previous_names", "class_id").alias("digest"))
+
+
+def grouping_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conservative candidates of every eligible sample, as they stand in its manifest row:
+    one row an entry, and in order."""
+    ok = samples(spark, sf_dir).filter("eligible = 1").select("sample_id")
+    ends = _candidates(spark, sf_dir).filter("group_conservatively = 1").select(F.explode(F.array("sample_a", "sample_b")).alias("__s"), F.concat_ws(":", "candidate_id", F.coalesce("review_state", F.lit(""))).alias("entry"))
+    entries = ok.join(ends.distinct(), F.col("sample_id") == F.col("__s"))
+    return entries.groupBy("sample_id").agg(F.array_join(F.array_sort(F.collect_list("entry")), ";").alias("grouping_evidence"))
+
+
 def cosine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(dedup.block_pairs(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 0.42).select("vec_id_a", "vec_id_b", "score"), 5)
 
@@ -282,7 +313,7 @@ _EXACT = """exact AS (SELECT decoded_pixel_sha256, string_agg(DISTINCT sample_id
   CAST(count(DISTINCT diagnosis) > 1 AS INTEGER) AS contradictory FROM samples WHERE decoded_pixel_sha256 <> '' GROUP BY 1 HAVING count(*) > 1)"""
 _STATE = """CASE WHEN a IN ('separate','reject','different') AND b IN ('separate','reject','different') THEN 'rejected_by_both_reviewers' WHEN a IN ('group','accept','same') AND b IN ('group','accept','same') THEN 'accepted_by_both_reviewers'
   WHEN a <> '' OR b <> '' THEN 'disputed_conservative_group' ELSE 'pending_conservative_group' END"""
-_DENIED = " OR ".join(f"source_image_path = '{a}/{b}'" for a, b in DENIED)
+_DENIED = "source_image_path IN ('benign/benign (433).png', 'malignant/malignant (145).png')"
 _REASON = f"""CASE WHEN {_DENIED} THEN 'known_contradictory_exact_duplicate' WHEN contradictory = 1 THEN 'contradictory_exact_duplicate' WHEN image_read_ok <> 1 THEN 'unreadable_source_image'
   WHEN diagnosis = 'normal' AND mask_qc_ok = 0 THEN 'normal_source_mask_qc_failure' WHEN diagnosis = 'normal' AND coalesce(lesion_pixels, 0) > 0 THEN 'normal_source_mask_not_empty'
   WHEN diagnosis <> 'normal' AND mask_count = 0 THEN 'missing_positive_mask' WHEN diagnosis <> 'normal' AND mask_qc_ok = 0 THEN 'positive_source_mask_qc_failure'
@@ -300,7 +331,7 @@ _IN = {
     "outer": "eligible = 1 AND partition = 'development' AND fold = {k}", "calibration": "eligible = 1 AND partition = 'development' AND fold <> {k} AND list_contains(folds, {k})",
     "fit": "eligible = 1 AND partition = 'development' AND fold <> {k} AND NOT list_contains(folds, {k})",
 }
-_FOLDED = f"{SAMPLES_SQL}, f AS (SELECT *, list_filter(list_transform(string_split_regex(coalesce(calibration_for_folds, ''), '[;,]'), lambda x: TRY_CAST(trim(x) AS INTEGER)), lambda x: x IS NOT NULL) AS folds FROM samples)"
+_FOLDED = f"{SAMPLES_SQL}, f AS (SELECT *, list_transform(regexp_extract_all(coalesce(calibration_for_folds, ''), '[0-9]+'), lambda x: CAST(x AS INTEGER)) AS folds FROM samples)"
 _BITS = "bits AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE > list_sort(list_transform(embedding[2:64], lambda y: y::DOUBLE))[32]) AS b FROM embeddings)"
 _CELL = """CASE WHEN v IS NULL OR lower(trim(v)) IN ('', 'none', 'null', 'nan') THEN 'null' WHEN lower(trim(v)) IN ('true', 'false') THEN 'bool' WHEN regexp_full_match(trim(v), '[+-]?[0-9]+') AND TRY_CAST(trim(v) AS BIGINT) IS NOT NULL THEN 'int'
   WHEN regexp_full_match(lower(trim(v)), '[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)(e[+-]?[0-9]+)?') THEN 'float' ELSE 'string' END"""
@@ -346,8 +377,20 @@ SELECT a.split AS split_a, b.split AS split_b, count(*) AS shared_groups FROM o
     "probe_sample": f"""WITH {SAMPLES_SQL}, x AS (SELECT sample_id, class_id, count(*) OVER (PARTITION BY class_id) AS n, count(*) OVER () AS total, row_number() OVER (PARTITION BY class_id ORDER BY sha256('7:' || sample_id), sample_id) AS r FROM samples WHERE eligible = 1)
 SELECT sample_id, class_id FROM x WHERE r <= least(n, greatest(1, round_even(96 * n / total::DOUBLE, 0)))""",
     "balanced_weights": f"WITH {SAMPLES_SQL} SELECT class_id, count(*) AS n, round((CASE class_id WHEN 0 THEN 0.2 ELSE 0.4 END)::DOUBLE / count(*), 9) AS weight FROM samples WHERE eligible = 1 GROUP BY 1",
-    "membership_hash": f"""WITH {SAMPLES_SQL}, r AS (SELECT partition, sha256('["' || sample_id || '","' || coalesce(content_group, '') || '","' || class_id || '"]') AS d FROM samples),
-b AS (SELECT partition, substring(d, 1, 3) AS k, sha256(string_agg(d, '' ORDER BY d)) AS h, count(*) AS n FROM r GROUP BY 1, 2) SELECT partition, CAST(sum(n) AS BIGINT) AS row_count, sha256(string_agg(h, '' ORDER BY k)) AS digest FROM b GROUP BY 1""",
+    "membership_hash": f"""WITH {SAMPLES_SQL}, r AS (SELECT partition, sha256(to_json([sample_id, coalesce(content_group, ''), CAST(class_id AS VARCHAR)])) AS d FROM samples),
+l AS (SELECT partition, count(*) AS n, {", ".join(f"sum(('0x' || substr(d, {1 + 15 * i}, 15))::BIGINT) AS s{i}" for i in range(4))} FROM r GROUP BY 1)
+SELECT partition, n AS row_count, sha256(concat_ws(':', n, s0, s1, s2, s3)) AS digest FROM l""",
+    "row_digests": "SELECT sample_id, delivered_at, sha256(to_json([sample_id, source_image_path, source_mask_paths, previous_names, CAST(class_id AS VARCHAR)])) AS digest FROM manifest",
+    "content_groups_by_stars": _GROUPS + " SELECT sample_id, content_group FROM grouped",
+    "exact_duplicate_members": f"""WITH {SAMPLES_SQL}, e AS (SELECT decoded_pixel_sha256, count(*) AS members, format('exact_{{:04d}}', row_number() OVER (ORDER BY decoded_pixel_sha256) - 1) AS exact_group
+  FROM samples WHERE decoded_pixel_sha256 <> '' GROUP BY 1 HAVING count(*) > 1) SELECT exact_group, decoded_pixel_sha256, sample_id, members FROM samples JOIN e USING (decoded_pixel_sha256)""",
+    "grouping_evidence": f"""WITH {SAMPLES_SQL}, {_C}, e AS (SELECT DISTINCT unnest([sample_a, sample_b]) AS sample_id, candidate_id || ':' || coalesce(review_state, '') AS entry FROM cand WHERE group_conservatively = 1)
+SELECT sample_id, string_agg(entry, ';' ORDER BY entry) AS grouping_evidence FROM e JOIN samples USING (sample_id) WHERE eligible = 1 GROUP BY 1""",
+    "near_hash_pairs": f"""WITH {_BITS}, turned AS (SELECT vec_id, b FROM bits UNION ALL SELECT -1 - vec_id, list_transform(b, lambda x, i: CASE WHEN i <= vec_id % 9 THEN NOT x ELSE x END) FROM bits),
+d AS (SELECT x.vec_id AS vec_id_a, y.vec_id AS vec_id_b, CAST(list_sum(list_transform(list_zip(x.b, y.b), lambda z: (z[1] <> z[2])::INT)) AS INTEGER) AS distance FROM turned x JOIN turned y ON x.vec_id < y.vec_id)
+SELECT * FROM d WHERE distance <= 6""",
+    "banded_cosine_pairs": """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), t AS (SELECT * FROM v UNION ALL SELECT -1 - vec_id, list_transform(e, lambda x, i: CASE WHEN i = 1 THEN x + 0.05::DOUBLE ELSE x END) FROM v),
+d AS (SELECT x.vec_id AS vec_id_a, y.vec_id AS vec_id_b, list_cosine_similarity(x.e, y.e) AS score FROM t x JOIN t y ON x.vec_id < y.vec_id) SELECT vec_id_a, vec_id_b, round(score, 5) AS score FROM d WHERE score >= 0.95""",
     "repeated_deliveries": "SELECT sample_id, count(*) AS copies FROM manifest GROUP BY 1 HAVING count(*) > 1",
     "phash_bits": f"WITH {_BITS} SELECT vec_id, CAST(list_sum(list_transform(b, lambda x: x::INT)) AS INTEGER) AS set_bits FROM bits",
     "hamming_pairs": f"WITH {_BITS} SELECT x.vec_id AS vec_id_a, y.vec_id AS vec_id_b, CAST(list_sum(list_transform(list_zip(x.b, y.b), lambda z: (z[1] <> z[2])::INT)) AS INTEGER) AS distance FROM bits x JOIN bits y ON x.vec_id < y.vec_id WHERE list_sum(list_transform(list_zip(x.b, y.b), lambda z: (z[1] <> z[2])::INT)) <= 16",
@@ -357,7 +400,7 @@ b AS (SELECT partition, substring(d, 1, 3) AS k, sha256(string_agg(d, '' ORDER B
 }
 _NAMES = (
     exact_duplicate_groups, eligibility_reasons, eligibility_report, stable_ids, size_quartiles, stratum_counts, geometry_check, manifest_pixel_counts, dataset_counts, previous_splits, prior_membership, review_outcomes, review_progress,
-    near_candidates, candidate_ids, review_pairs, content_groups, content_group_report, split_selection, fit_rows, patient_split, patient_of, leakage_check, probe_sample, balanced_weights, greedy_splits, membership_hash,
-    contract_checks, repeated_deliveries, phash_bits, hamming_pairs, cosine_pairs, aligned_pairs, cell_types, event_props,
+    near_candidates, candidate_ids, review_pairs, content_groups, content_groups_by_stars, content_group_report, grouping_evidence, exact_duplicate_members, split_selection, fit_rows, patient_split, patient_of, leakage_check, probe_sample, balanced_weights, greedy_splits, membership_hash,
+    row_digests, repeated_deliveries, phash_bits, hamming_pairs, near_hash_pairs, cosine_pairs, banded_cosine_pairs, aligned_pairs, near_search, cell_types, event_props,
 )
 QUERIES = {f.__name__: f for f in _NAMES}

@@ -106,22 +106,71 @@ def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(sw.sweep(pixels(spark, sf_dir)))
 
 
+def _best(swept: DataFrame, tolerance: float, *keys: str) -> DataFrame:
+    """The chosen threshold by hard and by soft score, from one pass over the sweep."""
+    scores = F.explode(F.array(*[F.struct(F.lit(x).alias("metric"), F.col(x).alias("score")) for x in ("s_bal", "s_bal_soft")]))
+    long = swept.select("*", scores.alias("m")).select(*swept.columns, "m.metric", "m.score")
+    return sw.best_threshold(long, "score", tolerance, *keys, "metric")
+
+
 def best_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The threshold chosen by hard and by soft score."""
     swept = rounded(sw.sweep(pixels(spark, sf_dir)), 9)
-    parts = [sw.best_threshold(swept, x, 1e-7).select(F.lit(x).alias("metric"), "threshold", "d_n", "s_bal", "s_bal_soft") for x in ("s_bal", "s_bal_soft")]
-    return rounded(parts[0].unionByName(parts[1]))
+    return rounded(_best(swept, 1e-7).select("metric", "threshold", "d_n", "s_bal", "s_bal_soft"))
 
 
-def checkpoint_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Calibrate three checkpoints, each reading other probabilities, and take the one
-    that is within 1e-4 of the best score and best on normal samples."""
+def listed_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores at thresholds that the caller lists, one of them twice."""
+    return rounded(sw.sweep(pixels(spark, sf_dir), thresholds=[0.5, 0.25, 0.375, 0.5, 0.9, 1.0]))
+
+
+def winner_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All figures of an evaluation at the threshold that the hard score chose."""
     base = pixels(spark, sf_dir)
+    chosen = _best(rounded(sw.sweep(base), 9), 1e-7).filter("metric = 's_bal'").first()["threshold"]  # one row
+    return rounded(m.evaluate(base, threshold=chosen))
+
+
+def evaluation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All figures of an evaluation at 0.5, with samples given twice refused."""
+    return rounded(m.evaluate(pixels(spark, sf_dir, numbered=True), ("pixel",)))
+
+
+def _checkpoints(base: DataFrame) -> DataFrame:
+    """Three checkpoints, each with other probabilities."""
     flat = {1: 0.0, 2: 0.1, 3: 0.25}
-    mixed = [base.withColumns({f"p{k}": (1 - a) * F.col(f"p{k}") + a / 3 for k in range(3)}).withColumn("checkpoint", F.lit(n)) for n, a in flat.items()]
-    swept = rounded(sw.sweep(mixed[0].unionByName(mixed[1]).unionByName(mixed[2]), "checkpoint"), 9)
+    mixes = F.explode(F.array(*[F.struct(F.lit(n).alias("checkpoint"), F.lit(a).alias("a")) for n, a in flat.items()]))
+    return base.select("*", mixes.alias("c")).select(*base.columns, "c.*").withColumns({f"p{k}": (1 - F.col("a")) * F.col(f"p{k}") + F.col("a") / 3 for k in range(3)}).drop("a")
+
+
+def checkpoint_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calibrate three checkpoints and take the one within 1e-4 of the best score that is
+    best on normal samples, then of the highest threshold, then of the last name."""
+    swept = rounded(sw.sweep(_checkpoints(pixels(spark, sf_dir)), "checkpoint"), 9)
+    best = sw.best_threshold(swept, "s_bal", 1e-7, "checkpoint").select("checkpoint", "threshold", "s_bal", "d_n")
+    return rounded(sw.best_checkpoint(best, "checkpoint", 1e-4))
+
+
+def outer_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calibrate three checkpoints on four folds of the samples and test the one chosen on
+    the fifth, at its own threshold."""
+    base = pixels(spark, sf_dir)
+    outer = F.pmod(F.floor(F.col("sample_id") / 3), F.lit(5)) == 0
+    mixed = _checkpoints(base)
+    swept = rounded(sw.sweep(mixed.filter(~outer), "checkpoint"), 9)
     best = sw.best_threshold(swept, "s_bal", 1e-7, "checkpoint").select("checkpoint", "threshold", "s_bal", "d_n")
-    return rounded(sw.best_threshold(best, "s_bal", 1e-4))
+    chosen = sw.best_checkpoint(best, "checkpoint", 1e-4).first()  # one row
+    tested = mixed.filter(outer & (F.col("checkpoint") == chosen["checkpoint"])).drop("checkpoint")
+    scores = m.headline(m.per_image(m.per_sample(tested, chosen["threshold"])))
+    return rounded(scores.select(F.lit(chosen["checkpoint"]).alias("checkpoint"), F.lit(chosen["threshold"]).alias("threshold"), *scores.columns))
+
+
+def deep_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Losses of two stages, the first with flatter probabilities, and their mean at 0.3 to 0.7."""
+    base = pixels(spark, sf_dir)
+    first = base.withColumns({f"p{k}": 0.8 * F.col(f"p{k}") + 0.2 / 3 for k in range(3)})
+    weights = m.class_weights(m.class_pixel_counts(base))
+    return rounded(m.deep_supervision([m.losses(first, weights), m.losses(base, weights)], [0.3, 0.7]))
 
 
 def macro_rule_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -247,6 +296,52 @@ _MULTI = _BINS.format(conf="greatest(p0, p1, p2)", ok=f"({_ARGMAX}) = target")
 _BINARY = _BINS.format(conf="greatest(p1 + p2, 1 - (p1 + p2))", ok="(p1 + p2 >= 0.5) = (target <> 0)")
 _ECE = "SELECT round(sum(pixels * abs(accuracy - confidence)) / sum(pixels), 6) AS ece FROM bins"
 _SWEPT_COLUMNS = _headline("scored", "threshold").replace("samples, ", "", 1)
+_CHECKPOINTS = f"""
+mixes AS (SELECT * FROM (VALUES (1, 0.0::DOUBLE), (2, 0.1::DOUBLE), (3, 0.25::DOUBLE)) v(checkpoint, a)),
+mixed AS (SELECT checkpoint, sample_id, class_id, target, (1-a)*p0 + a/3 AS p0, (1-a)*p1 + a/3 AS p1, (1-a)*p2 + a/3 AS p2 FROM pixels JOIN mixes ON true),{
+    _SWEEP.replace("FROM pixels CROSS JOIN grid", "FROM mixed CROSS JOIN grid").replace("SELECT threshold, ", "SELECT checkpoint, threshold, ")
+},
+per_checkpoint AS ({_headline("scored", "checkpoint, threshold").replace(", 6)", ", 9)")}),
+near AS (SELECT *, max(s_bal) OVER (PARTITION BY checkpoint) AS top FROM per_checkpoint QUALIFY top - s_bal <= 1e-7),
+one_each AS (SELECT * FROM near QUALIFY row_number() OVER (PARTITION BY checkpoint ORDER BY d_n DESC, threshold DESC) = 1),
+chosen AS (SELECT * FROM one_each WHERE (SELECT max(s_bal) FROM one_each) - s_bal <= 1e-4 ORDER BY d_n DESC, threshold DESC, CAST(checkpoint AS VARCHAR) DESC LIMIT 1)"""
+
+
+def _report(source: str, pred: str, whole: bool = True) -> str:
+    """All figures of an evaluation of ``source`` as (metric, value)."""
+    names = {
+        "h": "samples d_n d_n_soft d_b_bin d_m_bin d_b_cls d_m_cls d_bin_bal d_cls_bal s_bal s_bal_soft",
+        "mm": "micro_dice micro_iou micro_precision micro_recall benign_dice malignant_dice macro_dice macro_iou macro_precision macro_recall area_ratio",
+        "acc": "accuracy", "br": "brier_binary brier_multiclass", "eb": "ece_binary", "em": "ece_multiclass",
+    }
+    bins = lambda b, n: b.replace("conf AS", f"conf_{n} AS").replace("bins AS", f"bins_{n} AS").replace("FROM conf ", f"FROM conf_{n} ").replace("FROM pixels", f"FROM {source}")
+    tables = f"""{_per_sample(source, pred)}, h AS ({_headline("images")}),
+mm AS (SELECT * FROM (SELECT {_DICE("sum(tp)", "sum(fp)", "sum(fn)")} AS micro_dice, {_IOU("sum(tp)", "sum(fp)", "sum(fn)")} AS micro_iou, {_PRE("sum(tp)", "sum(fp)", "sum(fn)")} AS micro_precision, {_REC("sum(tp)", "sum(fn)")} AS micro_recall,
+  {_DICE("sum(tp1)", "sum(fp1)", "sum(fn1)")} AS benign_dice, {_DICE("sum(tp2)", "sum(fp2)", "sum(fn2)")} AS malignant_dice, 1.0 * sum(tp + fp) / sum(tp + fn) AS area_ratio FROM per),
+  (SELECT avg(binary_dice) AS macro_dice, avg(binary_iou) AS macro_iou, avg(binary_precision) AS macro_precision, avg(binary_recall) AS macro_recall FROM images)),
+acc AS (SELECT avg(CAST(class_id = predicted_diagnosis AS INT)) AS accuracy FROM images),
+br AS (SELECT avg(pow(p1 + p2 - CAST(target > 0 AS INT), 2)) AS brier_binary, avg(pow(p0 - CAST(target = 0 AS INT), 2) + pow(p1 - CAST(target = 1 AS INT), 2) + pow(p2 - CAST(target = 2 AS INT), 2)) AS brier_multiclass FROM {source}),{bins(_BINARY, "b")},{bins(_MULTI, "m")},
+eb AS (SELECT sum(pixels * abs(accuracy - confidence)) / sum(pixels) AS ece_binary FROM bins_b), em AS (SELECT sum(pixels * abs(accuracy - confidence)) / sum(pixels) AS ece_multiclass FROM bins_m)
+"""
+    rows = " UNION ALL ".join(f"SELECT '{c}' AS metric, round(CAST({c} AS DOUBLE), 6) AS value FROM {t}" for t, cs in names.items() for c in cs.split())
+    return (f"WITH {PIXELS_SQL}," if whole else "") + tables + rows
+
+
+def _stages_sql() -> str:
+    """The losses of both stages beside each other, and their weighted mean."""
+    names = ("cross_entropy", "control_dice", "localization_dice", "localization_tversky", "class_dice", "control_loss", "composite_loss")
+    stage = lambda n, source: f"""per_{n} AS (SELECT sample_id, sum(weight * -ln(CASE target WHEN 0 THEN p0 WHEN 1 THEN p1 ELSE p2 END)) AS ce, sum(weight) AS w,
+  sum((p1+p2) * CAST(target > 0 AS INT)) AS tp, sum((p1+p2) * CAST(target = 0 AS INT)) AS fp, sum((1-(p1+p2)) * CAST(target > 0 AS INT)) AS fn, max(CAST(target > 0 AS INT)) AS has,
+  coalesce(sum(p1) FILTER (target = 1), 0) AS py1, sum(p1) AS p1s, count(*) FILTER (target = 1) AS y1s, coalesce(sum(p2) FILTER (target = 2), 0) AS py2, sum(p2) AS p2s, count(*) FILTER (target = 2) AS y2s FROM {source} JOIN wt USING (target) GROUP BY 1),
+t_{n} AS (SELECT sum(ce)/sum(w) AS cross_entropy, 1 - avg(((2*py1+1e-5)/(p1s+y1s+1e-5) + (2*py2+1e-5)/(p2s+y2s+1e-5))/2) AS control_dice, 1 - avg((2*tp+1e-5)/(2*tp+fp+fn+1e-5)) FILTER (has > 0) AS localization_dice,
+  1 - avg((tp+1e-5)/(tp+0.6*fp+0.4*fn+1e-5)) FILTER (has > 0) AS localization_tversky, ((1 - (2*sum(py1)+1e-5)/(sum(p1s)+sum(y1s)+1e-5)) + (1 - (2*sum(py2)+1e-5)/(sum(p2s)+sum(y2s)+1e-5)))/2 AS class_dice FROM per_{n}),
+l_{n} AS (SELECT *, cross_entropy + control_dice AS control_loss, cross_entropy + 0.7*localization_dice + 0.3*class_dice AS composite_loss FROM t_{n})"""
+    rounded_ = lambda f: ", ".join(f"round({f.format(c=c)}, 6) AS {c}" for c in names)
+    return f"""WITH {PIXELS_SQL}, n AS (SELECT target, count(*) AS pixels FROM pixels GROUP BY 1), wt AS (SELECT target, pow((SELECT pixels FROM n WHERE target = 0) / pixels::DOUBLE, 0.5) AS weight FROM n),
+flat AS (SELECT sample_id, target, 0.8*p0 + 0.2/3 AS p0, 0.8*p1 + 0.2/3 AS p1, 0.8*p2 + 0.2/3 AS p2 FROM pixels), {stage("a", "flat")}, {stage("b", "pixels")}
+SELECT 'p1' AS stage, 0.3::DOUBLE AS weight, {rounded_("{c}")} FROM l_a UNION ALL SELECT 'p2', 0.7::DOUBLE, {rounded_("{c}")} FROM l_b
+UNION ALL SELECT 'total', 1.0::DOUBLE, {rounded_("0.3 * l_a.{c} + 0.7 * l_b.{c}")} FROM l_a, l_b"""
+
 
 SQL = {
     "label_violations": "SELECT l_returnflag, count(*) AS bad_rows FROM lineitem WHERE l_quantity / 10 <> floor(l_quantity / 10) OR l_quantity / 10 < 0 OR l_quantity / 10 >= 3 GROUP BY 1",
@@ -281,6 +376,17 @@ longer AS (SELECT 'hard' AS kind, 's_bal' AS metric, s_bal AS score, * FROM s UN
 near AS (SELECT *, max(score) OVER (PARTITION BY metric) AS best FROM longer)
 SELECT metric, threshold, round(d_n, 6) AS d_n, round(s_bal, 6) AS s_bal, round(s_bal_soft, 6) AS s_bal_soft FROM near WHERE best - score <= 1e-7
 QUALIFY row_number() OVER (PARTITION BY metric ORDER BY d_n DESC, threshold DESC) = 1""",
+    "listed_thresholds": f"WITH {PIXELS_SQL},{_SWEEP.replace('SELECT i / 100.0::DOUBLE AS threshold FROM range(5, 100) r(i)', 'SELECT unnest([0.25, 0.375, 0.5, 0.9, 1.0]::DOUBLE[]) AS threshold')} {_SWEPT_COLUMNS}",
+    "checkpoint_selection": f"""WITH {PIXELS_SQL},{_CHECKPOINTS}
+SELECT checkpoint, threshold, round(s_bal, 6) AS s_bal, round(d_n, 6) AS d_n FROM chosen""",
+    "outer_test": f"""WITH {PIXELS_SQL.replace("pixels AS (", "every AS (")}, pixels AS (SELECT * FROM every WHERE (sample_id // 3) % 5 <> 0),{_CHECKPOINTS},
+tested AS (SELECT checkpoint, threshold, sample_id, class_id, target, (1-a)*p0 + a/3 AS p0, (1-a)*p1 + a/3 AS p1, (1-a)*p2 + a/3 AS p2 FROM every JOIN chosen ON true JOIN mixes USING (checkpoint) WHERE (sample_id // 3) % 5 = 0),{_per_sample("tested", _PRED.replace("0.5", "threshold"), "checkpoint, threshold")} {_headline("images", "checkpoint, threshold")}""",
+    "evaluation_report": _report("pixels", _PRED),
+    "winner_metrics": f"""WITH {PIXELS_SQL},{_SWEEP}, s AS ({_SWEPT_COLUMNS.replace(", 6)", ", 9)")}),
+best AS (SELECT threshold FROM s WHERE (SELECT max(s_bal) FROM s) - s_bal <= 1e-7 ORDER BY d_n DESC, threshold DESC LIMIT 1),
+at_best AS (SELECT pixels.*, best.threshold AS cut_at FROM pixels JOIN best ON true),"""
+    + _report("at_best", _PRED.replace("0.5", "cut_at"), whole=False),
+    "deep_supervision": _stages_sql(),
     "macro_rule_metrics": f"""WITH {PIXELS_SQL}, classes AS ({_classes("sample_id")})
 SELECT 'present' AS rule, count(*) AS samples, {_MEANS} FROM ({_macro("classes", "sample_id", "1e-15", "tp + fn > 0")})
 UNION ALL SELECT 'foreground', count(*), {_MEANS} FROM ({_macro("classes", "sample_id", "1e-7", "class > 0 AND tp + fn + fp > 0")})""",
@@ -308,7 +414,7 @@ SELECT l_orderkey, round(sum(a/(a+b+c)), 6) AS q0, round(sum(b/(a+b+c)), 6) AS q
 
 _NAMES = (
     label_violations, prob_validation, target_diagnosis_check, pixel_confusion, sample_confusion, per_sample_overlap, predicted_diagnosis, diagnosis_accuracy, headline_scores, micro_macro_metrics, fg_fraction_p95,
-    brier_scores, calibration_bins, ece_binary, ece_multiclass, quartile_metrics, class_pixel_counts, class_weights, threshold_sweep, best_threshold, checkpoint_selection, macro_rule_metrics, smoothed_per_class,
+    brier_scores, calibration_bins, ece_binary, ece_multiclass, quartile_metrics, class_pixel_counts, class_weights, threshold_sweep, best_threshold, listed_thresholds, winner_metrics, evaluation_report, checkpoint_selection, outer_test, deep_supervision, macro_rule_metrics, smoothed_per_class,
     batch_mean_metrics, losses, tta_average, argmax_counts, dual_head, recorded_headline,
 )
 QUERIES = {f.__name__: f for f in _NAMES}

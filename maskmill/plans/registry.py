@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from maskmill.plans import curation, dataset, evaluation, images, runlogs
+from maskmill.plans import curation, dataset, evaluation, images, preparation, runlogs
 
-QUERIES = {**curation.QUERIES, **dataset.QUERIES, **evaluation.QUERIES, **runlogs.QUERIES, **images.QUERIES}
-SQL = {**curation.SQL, **dataset.SQL, **evaluation.SQL, **runlogs.SQL, **images.SQL}
+QUERIES = {**curation.QUERIES, **dataset.QUERIES, **evaluation.QUERIES, **runlogs.QUERIES, **images.QUERIES, **preparation.QUERIES}
+SQL = {**curation.SQL, **dataset.SQL, **evaluation.SQL, **runlogs.SQL, **images.SQL, **preparation.SQL}
 FLAGSHIP = "headline_scores"

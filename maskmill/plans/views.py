@@ -8,23 +8,25 @@ from pyspark.sql import functions as F
 from maskmill.runtime import table
 
 
-def pixels(spark: SparkSession, sf_dir: str, every_sample: bool = False) -> DataFrame:
-    """Line items as the pixels of an order: class, target and three probabilities.
+def pixels(spark: SparkSession, sf_dir: str, every_sample: bool = False, numbered: bool = False) -> DataFrame:
+    """Line items as the pixels of an order: class, target and three probabilities, with
+    the line ``numbered`` as the place of the pixel.
 
     Samples of a lesion class without a lesion pixel are no valid input and left out.
     """
     key = F.col("l_orderkey")
     cls = (key % 3).cast("int")
     raw = table(spark, sf_dir, "lineitem").select(
-        key.alias("sample_id"), cls.alias("class_id"), F.when((cls > 0) & (F.col("l_returnflag") != "A"), cls).otherwise(0).alias("target"), "l_partkey", "l_suppkey", F.floor("l_extendedprice").alias("price")
+        key.alias("sample_id"), cls.alias("class_id"), F.when((cls > 0) & (F.col("l_returnflag") != "A"), cls).otherwise(0).alias("target"), "l_partkey", "l_suppkey", F.floor("l_extendedprice").alias("price"),
+        *([F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate").alias("pixel")] if numbered else []),
     )
     extra = lambda k, v: F.when(F.col("target") == k, v).otherwise(0)
     w = [1 + F.col("l_partkey") % 97 + extra(0, 80), 1 + F.col("l_suppkey") % 53 + extra(1, 60), 1 + F.col("price") % 59 + extra(2, 60)]
-    heavy = raw.select("sample_id", "class_id", "target", *[x.cast("double").alias(f"w{k}") for k, x in enumerate(w)])
+    heavy = raw.select("sample_id", "class_id", "target", *(["pixel"] if numbered else []), *[x.cast("double").alias(f"w{k}") for k, x in enumerate(w)])
     if not every_sample:
         heavy = heavy.withColumn("__top", F.max("target").over(Window.partitionBy("sample_id"))).filter("class_id = 0 OR __top > 0").drop("__top")
     total = F.col("w0") + F.col("w1") + F.col("w2")
-    return heavy.select("sample_id", "class_id", "target", *[(F.col(f"w{k}") / total).alias(f"p{k}") for k in range(3)])
+    return heavy.select("sample_id", "class_id", "target", *(["pixel"] if numbered else []), *[(F.col(f"w{k}") / total).alias(f"p{k}") for k in range(3)])
 
 
 _WEIGHTED = """

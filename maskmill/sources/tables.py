@@ -10,15 +10,69 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_INTS = "class_id eligible original_height original_width lesion_pixels connected_components lesion_size_quartile mask_count multi_mask image_read_ok mask_qc_ok fold split_seed".split()
-_FLOATS = "aspect_ratio lesion_fraction".split()
+_INTS = (
+    "class_id",
+    "eligible",
+    "original_height",
+    "original_width",
+    "lesion_pixels",
+    "connected_components",
+    "lesion_size_quartile",
+    "mask_count",
+    "multi_mask",
+    "image_read_ok",
+    "mask_qc_ok",
+    "fold",
+    "split_seed",
+)
+_FLOATS = (
+    "aspect_ratio",
+    "lesion_fraction",
+)
 #: Columns of a written manifest, in order. The file format.
 MANIFEST_COLUMNS = (
-    "sample_id diagnosis class_id eligible exclusion_reason source_image_path source_mask_paths image_path mask_path original_height original_width aspect_ratio lesion_pixels lesion_fraction "
-    "connected_components bounding_box_xywh lesion_size_quartile aspect_ratio_bin mask_count multi_mask image_read_ok mask_qc_ok qc_notes source_image_sha256 decoded_pixel_sha256 "
-    "source_mask_sha256s union_mask_sha256 generated_image_sha256 generated_mask_sha256 exact_duplicate_group near_duplicate_group content_group grouping_evidence previous_split "
-    "previous_names partition fold calibration_for_folds split_seed manifest_version dataset_fingerprint"
-).split()
+    "sample_id",
+    "diagnosis",
+    "class_id",
+    "eligible",
+    "exclusion_reason",
+    "source_image_path",
+    "source_mask_paths",
+    "image_path",
+    "mask_path",
+    "original_height",
+    "original_width",
+    "aspect_ratio",
+    "lesion_pixels",
+    "lesion_fraction",
+    "connected_components",
+    "bounding_box_xywh",
+    "lesion_size_quartile",
+    "aspect_ratio_bin",
+    "mask_count",
+    "multi_mask",
+    "image_read_ok",
+    "mask_qc_ok",
+    "qc_notes",
+    "source_image_sha256",
+    "decoded_pixel_sha256",
+    "source_mask_sha256s",
+    "union_mask_sha256",
+    "generated_image_sha256",
+    "generated_mask_sha256",
+    "exact_duplicate_group",
+    "near_duplicate_group",
+    "content_group",
+    "grouping_evidence",
+    "previous_split",
+    "previous_names",
+    "partition",
+    "fold",
+    "calibration_for_folds",
+    "split_seed",
+    "manifest_version",
+    "dataset_fingerprint",
+)
 
 
 def manifest_schema() -> T.StructType:

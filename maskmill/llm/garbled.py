@@ -231,53 +231,55 @@ def _scores(ways: DataFrame, explained: DataFrame | None) -> DataFrame:
     return cut(out, bytes=F.sum(size))
 
 
-def _weighed(held: DataFrame, scores: DataFrame, prior: DataFrame | None) -> DataFrame:
-    """(id, source, unit, chain, was, g, p, parts, total) of the evidence: ``p`` is the
-    posterior of the chain in the text, ``parts`` its number of units there, ``total`` the
-    posterior of all chains."""
+def _weighed(texts: DataFrame, scores: DataFrame, prior: DataFrame | None) -> DataFrame:
+    """(id, source, unit, chain, g, p, part, total) of the evidence: ``p`` is the posterior of
+    the chain in the text, ``part`` this unit's part of it, ``total`` the posterior of all
+    chains."""
     fits = fits_broadcast(scores)
     hot = scores.filter(F.size("hot") > 0).select(F.col("unit").alias("__u"), "hot")
-    speaking = lookup(held, hot, "unit", "__u", "inner", fits=fits).select("id", F.explode("hot").alias("chain"))
+    speaking = lookup(texts.select("id", F.explode("units").alias("unit")), hot, "unit", "__u", "inner", fits=fits).select("id", F.explode("hot").alias("chain"))
     active = speaking.groupBy(F.col("id").alias("__id")).agg(F.collect_set("chain").alias("__chains"))
-    near = held.join(active, F.col("id") == F.col("__id")).drop("__id")  # a text has as many rows as units
+    active = cut(active, bytes=F.sum(F.size("__chains") * 40 + 32))
+    near = lookup(texts, active, "id", "__id", "inner", skewed=False).select("id", "source", "__chains", F.explode("units").alias("unit"))
     mine = lookup(near, scores.select(F.col("unit").alias("__v"), "ways"), "unit", "__v", "inner", fits=fits)
-    rows = mine.select("id", "source", "unit", F.inline(F.filter("ways", lambda w: F.array_contains("__chains", w["chain"]))))
+    rows = mine.select("id", "source", "unit", "__chains", F.inline("ways")).filter(F.array_contains("__chains", F.col("chain"))).drop("__chains", "was")
     if prior is None:
         rows = rows.withColumns({"prior": F.lit(FIRST_PRIOR), "sound": F.lit(1 - FIRST_PRIOR * (len(_CHAINS) + 1))})
     else:
         rows = lookup(rows.withColumn("__k", F.concat_ws(SEP, "source", "chain")), prior, "__k", "__pk")
     one, text = Window.partitionBy("id", "chain"), Window.partitionBy("id")  # the units of one text
-    rows = rows.withColumns({"lp": F.log("prior") + F.sum("s").over(one), "parts": F.count("*").over(one)})
+    rows = rows.repartition("id").withColumns({"lp": F.log("prior") + F.sum("s").over(one), "parts": F.count("*").over(one)})
     rows = rows.withColumn("top", F.greatest(F.max("lp").over(text), F.log("sound")))
     rows = rows.withColumn("share", F.exp(F.col("lp") - F.col("top")))
     rows = rows.withColumn("all", F.sum(F.col("share") / F.col("parts")).over(text))
     whole = F.col("all") + F.exp(F.log("sound") - F.col("top"))
-    out = rows.select("id", "source", "unit", "chain", "was", "g", (F.col("share") / whole).alias("p"), "parts", (F.col("all") / whole).alias("total"), F.count("*").over(text).alias("units"))
-    return cut(out, mass=F.sum(F.col("p") / F.col("parts")), found=F.sum(F.when(F.col("total") > 0.5, 1.0 / F.col("units"))))
+    p = F.col("share") / whole
+    out = rows.select("id", "source", "unit", "chain", "g", p.alias("p"), (p / F.col("parts")).alias("part"), (F.col("all") / whole).alias("total"))
+    out = cut(out, mass=F.sum("part"), found=F.sum(F.when(F.col("total") > 0.5, F.col("part") / F.col("total"))))
+    release(active)
+    return out
 
 
-def _assessed(tokenized: DataFrame, most_rounds: int) -> tuple[DataFrame, DataFrame]:
-    """((id, mark) of the distinct texts, evidence of ``_weighed`` after the last round)."""
-    texts = tokenized.dropDuplicates(["mark"]).withColumn("id", F.monotonically_increasing_id())
-    texts = cut(texts)
+def _assessed(tokenized: DataFrame, most_rounds: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """((id, mark) of the distinct texts, evidence of ``_weighed`` after the last round, the
+    candidates)."""
+    texts = cut(tokenized.dropDuplicates(["mark"]).withColumn("id", F.monotonically_increasing_id()))
     known = cut(texts.select(F.explode("units").alias("unit")).groupBy("unit").agg(F.count("*").alias("n")))
     ways = candidates(known)
-    suspects = cut(ways.select(F.col("unit").alias("__unit")).distinct())
-    held = cut(lookup(texts.select("id", "source", F.explode("units").alias("unit")), suspects, "unit", "__unit", "inner").drop("__unit"))
     size = texts.groupBy("source").agg(F.count("*").alias("size"))
     size = cut(size.select("source", "size", F.explode(F.array(*[F.lit(c) for c in (*_CHAINS, LOST)])).alias("chain")).withColumn("__pk", F.concat_ws(SEP, "source", "chain")))
     every = max(1, rows_of(texts))
     prior = explained = evidence = before = None
     for _ in range(most_rounds):
         scores = _scores(ways, explained)
-        old, evidence = evidence, _weighed(held, scores, prior)
+        old, evidence = evidence, _weighed(texts, scores, prior)
         now = (round(seen(evidence, "found") or 0), seen(evidence, "mass") or 0.0)
         release(scores, *[x for x in (old, prior) if x is not None])
         if before is not None and now[0] == before[0] and abs(now[1] - before[1]) <= STILL * (1 + now[1]):
             break
         before = now
         explained = evidence.groupBy(F.col("unit").alias("__u")).agg(F.sum(F.col("p") * F.col("g")).alias("__e"))
-        mass = evidence.groupBy("source", "chain").agg(F.sum(F.col("p") / F.col("parts")).alias("k"))
+        mass = evidence.groupBy("source", "chain").agg(F.sum("part").alias("k"))
         everywhere = mass.groupBy(F.col("chain").alias("__c")).agg(F.sum("k").alias("all_k"))  # one row a chain
         mass = mass.select(F.concat_ws(SEP, "source", "chain").alias("__mk"), "k")
         pooled = size.join(mass, F.col("__pk") == F.col("__mk"), "left").join(F.broadcast(everywhere), F.col("chain") == F.col("__c"), "left")
@@ -285,37 +287,37 @@ def _assessed(tokenized: DataFrame, most_rounds: int) -> tuple[DataFrame, DataFr
         per = pooled.select("__pk", "source", F.greatest(value, F.lit(1e-9)).alias("prior"))
         sound = F.greatest(1 - F.sum("prior").over(Window.partitionBy("source")), F.lit(0.05))  # one row a chain
         prior = cut(per.select("__pk", "prior", sound.alias("sound")))
-    release(known, ways, suspects, held, size)
-    return texts.select("id", "mark"), evidence
+    release(known, size)
+    return texts.select("id", "mark"), evidence, ways
 
 
 def _posts(evidence: DataFrame) -> DataFrame:
-    return evidence.select("id", "source", "chain", "p", "total").distinct()
+    return evidence.select("id", "source", "chain", "p").distinct()
 
 
 def posteriors(records: DataFrame, key: str, text: str, source: str, most_rounds: int = MOST_ROUNDS) -> DataFrame:
     """(id, source, chain, p): the posterior of each chain for a record after the last
     round; records in which no unit speaks for a chain are absent."""
     tokenized = _tokenized(records, key, text, source)
-    texts, evidence = _assessed(tokenized, most_rounds)
+    texts, evidence, _ = _assessed(tokenized, most_rounds)
     per = _posts(evidence).groupBy(F.col("id").alias("__kind")).agg(F.collect_list(F.struct("chain", "p")).alias("__ways"))  # at most one per chain
     ways = cut(texts.join(per, F.col("id") == F.col("__kind")).select(F.col("mark").alias("__mark"), "__ways"))
     return lookup(tokenized.select("id", "source", "mark"), ways, "mark", "__mark", "inner").select("id", "source", F.inline("__ways"))
 
 
-def _found(tokenized: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """((kind, __mark, __chain, probability), weighed evidence) of the garbled texts."""
-    texts, evidence = _assessed(tokenized, MOST_ROUNDS)
+def _found(tokenized: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """((kind, __mark, __chain, probability) of the garbled texts, evidence, candidates)."""
+    texts, evidence, ways = _assessed(tokenized, MOST_ROUNDS)
     best = evidence.filter("total > 0.5").groupBy(F.col("id").alias("kind")).agg(F.max("total").alias("probability"), F.max(F.struct("p", "chain")).alias("b"))
     found = texts.join(best.select("kind", F.col("b.chain").alias("__chain"), "probability"), F.col("id") == F.col("kind"))
-    return cut(found.select("kind", F.col("mark").alias("__mark"), "__chain", "probability")), evidence
+    return cut(found.select("kind", F.col("mark").alias("__mark"), "__chain", "probability")), evidence, ways
 
 
 def garbled_records(records: DataFrame, key: str, text: str, source: str) -> tuple[DataFrame, DataFrame]:
     """((key, chain, probability), evidence): the garbled records with their likeliest
     chain; the evidence is that of their distinct texts."""
     tokenized = _tokenized(records, key, text, source)
-    found, weighed = _found(tokenized)
+    found, weighed, _ = _found(tokenized)
     held = lookup(tokenized.select("id", "mark"), found.drop("kind"), "mark", "__mark", "inner")
     best = held.groupBy("id").agg(F.max(F.struct("probability", "__chain")).alias("b"))
     return best.select(F.col("id").alias(key), F.col("b.__chain").alias("chain"), "b.probability"), weighed
@@ -368,9 +370,10 @@ def repaired_records(records: DataFrame, key: str, text: str, source: str, name:
     What cannot be restored stays as it is.
     """
     tokenized = _tokenized(records, key, text, source)
-    found, weighed = _found(tokenized)
-    ways = lookup(weighed.filter("total > 0.5"), found.select(F.col("kind").alias("__kind")), "id", "__kind", "inner", skewed=False)
-    best = ways.withColumn("w", F.col("p") * F.col("g")).groupBy("id", "unit").agg(F.sum("w").alias("w"), F.max(F.struct("w", "chain", "was")).alias("b")).filter("w > 0.5")
+    found, weighed, known = _found(tokenized)
+    likely = weighed.filter("total > 0.5").withColumn("w", F.col("p") * F.col("g")).groupBy("id", "unit").agg(F.sum("w").alias("w"), F.max(F.struct("w", "chain")).alias("b")).filter("w > 0.5")
+    origin = known.groupBy("unit").agg(F.map_from_entries(F.collect_list(F.struct("chain", "was"))).alias("__was"))  # at most one a chain
+    best = lookup(likely, origin.withColumnRenamed("unit", "__u"), "unit", "__u", "inner").withColumn("b", F.struct("b.chain", F.element_at("__was", F.col("b.chain")).alias("was")))
     ways = best.groupBy(F.col("id").alias("__kind")).agg(F.collect_list(F.struct("unit", "b.chain", "b.was")).alias("ways"))  # a text's own units
     plans = cut(found.join(ways, F.col("kind") == F.col("__kind"), "left").select("__mark", "__chain", "probability", "ways"))
     base = records.select(F.col(f"`{key}`").alias("__key"), F.coalesce(F.col(f"`{source}`").cast("string"), F.lit("")).alias("__source"), F.col(f"`{text}`").cast("string").alias("__text"))

@@ -249,14 +249,17 @@ def banded_pairs(df: DataFrame, key: str, vector: str, least: float, bits: int =
 def near_search(df: DataFrame, key: str, image: str, mask: str, bits: int = 6, least: float = 0.90) -> DataFrame:
     """Near-duplicate candidates of pictures (square, as arrays) with their masks.
 
-    Pairs of different hashes within ``bits`` bits, or whose best shifted correlation is at
-    least ``least``; then, at the best shift, the Dice of the masks, and the evidence.
-    Pairs without any evidence are no candidates. The correlation has no key to join on and
-    is exhaustive over blocks; hashes are joined by bands.
+    Pairs of different pictures whose hashes are within ``bits`` bits, or whose best shifted
+    correlation is at least ``least``; then, at the best shift, the Dice of the masks, and
+    the evidence. Pairs without any evidence are no candidates. Equal pictures count once,
+    by their smallest id and its mask (see ``representatives``), so copies form no pairs.
+    The correlation has no key to join on and is exhaustive over blocks; hashes are joined
+    by bands. Rows with a null are left out.
     """
     held = df.select(F.col(key).alias("__k"), F.col(image).cast("array<double>").alias("__v"), F.col(mask).cast("array<int>").alias("__m")).filter("__k is not null and __v is not null and __m is not null")
+    held = cut(held.groupBy("__v").agg(F.min(F.struct("__k", "__m")).alias("r")).select("r.__k", "__v", "r.__m"))
     hashed = held.withColumn("__h", bits_above_median(F.col("__v")))
-    close = all_hamming_pairs(hashed, "__k", "__h", bits).filter("distance > 0").select("__k_a", "__k_b")
+    close = all_hamming_pairs(hashed, "__k", "__h", bits).select("__k_a", "__k_b")
     alike = block_pairs(held, "__k", "__v", least, how="aligned").select("__k_a", "__k_b")
     pairs = cut(close.unionByName(alike).distinct())
     for side in "ab":
@@ -283,7 +286,7 @@ def near_search(df: DataFrame, key: str, image: str, mask: str, bits: int = 6, l
     scored = slim.mapInArrow(score, "a long, b long, ha long, hb long, zero double, best double, dy int, dx int, dice double")
     distance = hamming(F.col("ha"), F.col("hb"))
     why = evidence(distance, F.col("best"), F.col("dice"), bits)
-    return scored.filter("ha <> hb").select(
+    return scored.select(
         candidate_id(F.col("a").cast("string"), F.col("b").cast("string")).alias("candidate_id"), F.col("a").alias("sample_a"), F.col("b").alias("sample_b"), distance.alias("phash_distance"), F.bround("zero", 8).alias("zero_shift_correlation"),
         F.bround("best", 8).alias("aligned_correlation"), F.col("dy").alias("alignment_dy"), F.col("dx").alias("alignment_dx"), F.bround("dice", 8).alias("registered_mask_dice"), why.alias("evidence"),
     ).filter("evidence <> ''")

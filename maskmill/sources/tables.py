@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import math
 import os
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -139,6 +140,41 @@ def write_probabilities(df: DataFrame, path: str, **provenance: str) -> None:
     df.withColumns({k: F.lit(v) for k, v in provenance.items()}).write.mode("errorifexists").parquet(path)
 
 
+def read_probabilities(spark: SparkSession, path: str, **provenance: str) -> DataFrame:
+    """A probability table whose rows all carry the provenance asked for; one that differs,
+    or an empty table, is an error."""
+    df = spark.read.parquet(path)
+    lacking = sorted(set(provenance) - set(df.columns))
+    if lacking:
+        raise ValueError(f"{path} carries no {', '.join(lacking)}")
+    if df.isEmpty():
+        raise ValueError(f"{path} is empty")
+    for name, value in provenance.items():
+        other = df.filter(~F.col(name).eqNullSafe(F.lit(value))).select(name).first()
+        if other:
+            raise ValueError(f"{path} has {name} {other[0]!r}, not {value!r}")
+    return df
+
+
+def materialize(files: DataFrame, root: str) -> None:
+    """Write (path, content) rows as files below ``root``, a folder that all executors share;
+    an existing root is refused, and every file appears whole or not at all."""
+    os.makedirs(root)
+
+    def write(rows) -> None:
+        for r in rows:
+            to = os.path.join(root, r["path"])
+            if os.path.relpath(to, root).startswith(".."):
+                raise ValueError(f"{r['path']} leaves the folder")
+            os.makedirs(os.path.dirname(to), exist_ok=True)
+            part = f"{to}.{uuid.uuid4().hex}.part"
+            with open(part, "wb") as f:
+                f.write(r["content"])
+            os.replace(part, to)
+
+    files.select("path", "content").foreachPartition(write)
+
+
 def free_name(path: str) -> str:
     """The path, or the first of path_2, path_3, .. that does not exist (local file systems)."""
     out, n = path, 2

@@ -158,3 +158,65 @@ def test_surface_distances_against_brute_force(spark):
     assert {r.id: r.hd95 for r in im.surface_table(df, "id", "h", "w", "x", "y").collect()} == {"a": 0.0, "b": None}
     masks = spark.createDataFrame([("a", 0, 0, 0), ("a", 0, 0, 255), ("a", 0, 1, 0)], "id string, y int, x int, value int")
     assert sorted(tuple(r)[1:] for r in im.union_masks(masks, "id").collect()) == [(0, 0, 1), (0, 1, 0)]
+
+
+def test_parts_by_runs_against_flood_fill():
+    rng = np.random.default_rng(1)
+    for h, w, p in ((1, 1, 0.5), (7, 9, 0.4), (30, 40, 0.3), (40, 30, 0.55), (5, 200, 0.5), (3, 3, 0.0), (4, 4, 1.0)):
+        mask = rng.random((h, w)) < p
+        want, n = np.zeros((h, w), int), 0
+        for y, x in zip(*np.nonzero(mask), strict=True):
+            if not want[y, x]:
+                n += 1
+                stack = [(y, x)]
+                want[y, x] = n
+                while stack:
+                    cy, cx = stack.pop()
+                    for dy in (-1, 0, 1):
+                        for dx in (-1, 0, 1):
+                            ny, nx = cy + dy, cx + dx
+                            if 0 <= ny < h and 0 <= nx < w and mask[ny, nx] and not want[ny, nx]:
+                                want[ny, nx] = n
+                                stack.append((ny, nx))
+        assert np.array_equal(im.components(mask), want)
+
+
+def test_fitted_masks_and_merged_masks():
+    mask = np.zeros((30, 60), np.uint8)
+    mask[10:20, 20:40] = 1
+    _, seen, place = im.fit_square(mask * 9, mask, 20)
+    assert np.array_equal(im.fit_mask(mask, 20), seen) and (place["height"], place["width"]) == (10, 20)
+    assert im.fit_mask(mask, 15, keep_aspect=False).shape == (15, 15)
+    good, other = im.encode_png(mask), im.encode_png(mask[:, 1:])
+    union, notes = im.merge_masks([good, other, b"no picture", None, im.encode_png(np.roll(mask, 5, axis=1))], (30, 60))
+    assert union.sum() == 10 * 25 and notes == ["mask_1_shape_mismatch", "mask_2_unreadable", "mask_3_unreadable"]
+
+
+def test_samples_are_read_through_the_manifest(spark, tmp_path):
+    """Files written by ``materialize`` and read back with every kind of fault."""
+    mask = np.zeros((6, 8), np.uint8)
+    mask[1:4, 2:6] = 1
+    image = im.encode_png(np.full((6, 8), 5, np.uint8))
+    files = [("images/ok.png", image), ("masks/ok.png", im.encode_png(mask * 2)), ("images/foreign.png", image), ("masks/foreign.png", im.encode_png(mask)), ("images/narrow.png", image), ("masks/narrow.png", im.encode_png(mask[:, 1:])), ("images/broken.png", b"x"), ("masks/broken.png", im.encode_png(mask)), ("images/alone.png", image), ("images/empty.png", image), ("masks/empty.png", im.encode_png(mask * 0))]
+    root = str(tmp_path / "set")
+    t.materialize(spark.createDataFrame(files, "path string, content binary").repartition(3), root)
+    with pytest.raises(FileExistsError):
+        t.materialize(spark.createDataFrame(files, "path string, content binary"), root)
+    read = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(F.substring(F.substring_index("path", "/set/", -1), 1, 100).alias("path"), "content")
+    rows = [(k, 2, f"images/{k}.png", f"masks/{k}.png") for k in ("ok", "foreign", "narrow", "broken", "alone", "empty", "gone")] + [(None, None, None, None)]
+    manifest = spark.createDataFrame(rows, "sample_id string, class_id int, image_path string, mask_path string")
+    got = {r.sample_id: (r.height, r.lesion_pixels, r.problem) for r in im.checked_samples(manifest, read).collect()}
+    assert got == {"ok": (6, 12, None), "foreign": (6, 12, "foreign_label"), "narrow": (6, None, "shape_mismatch"), "broken": (None, None, "unreadable_image"), "alone": (6, None, "missing_mask"), "empty": (6, 0, "empty_lesion"), "gone": (None, None, "missing_image"), None: (None, None, "missing_image")}
+
+
+def test_earlier_trees_and_provenance(spark, tmp_path):
+    picture = im.encode_png(np.arange(12, dtype=np.uint8).reshape(3, 4))
+    files = spark.createDataFrame([("/d/train/images/a.png", picture), ("/d/test/images/b.png", picture), ("/d/test/masks/b.png", picture), ("/d/val/images/c.png", b"no")], "path string, content binary")
+    got = sorted((r.split, r["name"]) for r in im.prior_members(files).collect())
+    assert got == [("test", "b.png"), ("train", "a.png")] and im.prior_members(files).select("digest").distinct().count() == 1
+    path = str(tmp_path / "p")
+    t.write_probabilities(spark.createDataFrame([(0.5,)], "p double"), path, model="m1", fold="2")
+    assert t.read_probabilities(spark, path, model="m1").count() == 1
+    for bad in ({"model": "m2"}, {"seed": "1"}):
+        with pytest.raises(ValueError):
+            t.read_probabilities(spark, path, **bad)

@@ -113,4 +113,27 @@ def p5_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_values, p5_found, p5_heads, p5_images, p5_components, p5_points, p5_probes, p5_levels)}
-SQL: dict[str, str] = {}
+#: Elements of a group written as a list, as one object (it has its key) or as a map of objects.
+_EACH = """list_filter(CASE json_type({v}) WHEN 'ARRAY' THEN list_transform(CAST({v} AS JSON[]), lambda e: {{'k': NULL::VARCHAR, 'o': e}})
+  WHEN 'OBJECT' THEN CASE WHEN json_exists({v}, '$.{key}') THEN [{{'k': NULL::VARCHAR, 'o': {v}}}] ELSE list_transform(json_keys({v}), lambda n: {{'k': n, 'o': json_extract({v}, '$."' || n || '"')}}) END ELSE [] END, lambda x: json_type(x.o) = 'OBJECT')"""
+_OPEN = "CASE WHEN json_type({v}) = 'VARCHAR' THEN CASE WHEN json_valid({v} ->> '$') THEN CAST({v} ->> '$' AS JSON) END ELSE {v} END"
+_LINES = f"""
+texts AS (SELECT log_id, run_id, epoch, CASE WHEN json_valid(calibration_fixed_0_50) THEN CAST(calibration_fixed_0_50 AS JSON) END AS t, CASE WHEN json_valid(fit_regime) THEN CAST(fit_regime AS JSON) END AS f FROM training),
+docs AS (SELECT log_id, run_id, epoch, {_OPEN.format(v="t")} AS t, {_OPEN.format(v="f")} AS f FROM texts),
+tops AS (SELECT log_id, run_id, epoch, unnest(CASE json_type(t) WHEN 'OBJECT' THEN [{{'h': 'p1', 'j': t -> 'p1'}}, {{'h': 'p2', 'j': t -> 'p2'}}] WHEN 'ARRAY' THEN list_transform(CAST(t AS JSON[]), lambda e: {{'h': e ->> 'head', 'j': e}}) ELSE [] END) AS x FROM docs),
+opened AS (SELECT log_id, run_id, epoch, x.h AS head, {_OPEN.format(v="x.j")} AS j, x.j IS NOT NULL AS stands FROM tops),
+heads AS (SELECT * FROM opened WHERE json_type(j) = 'OBJECT' AND head IN ('p1', 'p2') AND log_id NOT IN (SELECT log_id FROM opened WHERE stands AND j IS NULL)),
+listed AS (SELECT log_id, run_id, epoch, head, coalesce(j -> 'per_image', j -> 'details' -> 'per_image') AS v FROM heads),
+spread AS (SELECT log_id, run_id, epoch, head, {_EACH.format(v="v", key="sample_id")} AS xs FROM listed),
+images AS (SELECT log_id, run_id, epoch, head, unnest(xs) AS x, generate_subscripts(xs, 1) AS image_no FROM spread),
+parts AS (SELECT log_id, run_id, epoch, head, image_no, coalesce(x.o ->> 'sample_id', x.k) AS sample_id, x.o AS o, coalesce(x.o -> 'components', x.o -> 'prediction' -> 'components') AS v FROM images),
+inner_parts AS (SELECT * EXCLUDE (o, v), {_EACH.format(v="v", key="component")} AS xs FROM parts),
+components AS (SELECT * EXCLUDE (xs), unnest(xs).o AS o, generate_subscripts(xs, 1) AS component_no FROM inner_parts),
+fits AS (SELECT log_id, run_id, epoch, f, f -> 'probe_by_class' AS v FROM docs WHERE json_type(f) = 'OBJECT'),
+fit_parts AS (SELECT log_id, run_id, epoch, f, {_EACH.format(v="v", key="diagnosis")} AS xs FROM fits),
+probes AS (SELECT log_id, run_id, epoch, f, unnest(xs) AS x, generate_subscripts(xs, 1) AS probe_no FROM fit_parts)"""
+SQL: dict[str, str] = {
+    "p5_found": f"""WITH {_LINES} SELECT log_id, 'image' AS child, head, sample_id AS item_key, 0 AS sub_key FROM parts
+UNION ALL SELECT log_id, 'component', head, sample_id, TRY_CAST(TRY_CAST(o ->> 'component' AS DOUBLE) AS INTEGER) FROM components
+UNION ALL SELECT log_id, 'probe', 'fit', coalesce(x.o ->> 'diagnosis', x.k), 0 FROM probes""",
+}

@@ -115,6 +115,29 @@ def test_greedy_rules():
     assert Counter(folds.tolist()) == {i: 4 for i in range(5)}
 
 
+def test_greedy_kinds_against_single_groups():
+    """Kinds of groups give the choice that scoring every single group gives."""
+    import hashlib
+
+    rng = np.random.default_rng(6)
+    for n in (1, 7, 60, 200):
+        strata = rng.integers(0, 3, (n, 4)).astype(float)
+        strata[:, 0] += 1
+        sizes, keys = strata.sum(1), [f"g{i}" for i in range(n)]
+        tie = np.argsort(np.argsort([hashlib.sha256(f"3:{k}".encode()).hexdigest() for k in keys], kind="stable"))
+        want, size, have = np.zeros(n, bool), 0.0, np.zeros(4)
+        target, per = float(np.round(sizes.sum() * 0.3)), strata.sum(0) * 0.3
+        while size < target and not want.all():
+            score = np.round(((size + sizes - target) / max(target, 1)) ** 2 + (((have + strata - per) / np.maximum(per, 1)) ** 2).sum(1), 12)
+            score[want] = np.inf
+            best = np.flatnonzero(score == score.min())
+            i = best[np.argmin(tie[best])]
+            want[i] = True
+            size, have = size + sizes[i], have + strata[i]
+        assert np.array_equal(splits.greedy_select(sizes, strata, 0.3, keys, 3), want)
+    assert not len(splits.greedy_select(np.zeros(0), np.zeros((0, 2)), 0.3, [], 3))
+
+
 def test_nested_splits(spark):
     rng = random.Random(3)
     rows = []

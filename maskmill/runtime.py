@@ -142,21 +142,40 @@ def fits_broadcast(small: DataFrame) -> bool:
     return n <= BROADCAST_ROWS and (size or 0) <= BROADCAST_BYTES
 
 
-def lookup(big: DataFrame, small: DataFrame, key: str, small_key: str, how: str = "left", fits: bool | None = None, skewed: bool = True) -> DataFrame:
+#: A key that so many rows share is hot: its rows are not sent to one task.
+HOT_ROWS = 100_000
+
+
+def lookup(big: DataFrame, small: DataFrame, key: str, small_key: str, how: str = "left", fits: bool | None = None, skewed: bool = True, counts: DataFrame | None = None) -> DataFrame:
     """Join each row of ``big`` with its one row of ``small``, whatever the skew of ``key``.
 
     ``small`` is unique in ``small_key`` and shares no other column name with ``big``.
-    It is broadcast only if it was measured (``fits``, or here); beyond the bound it is
-    repeated under ``SALTS`` salts, so that a key that holds a third of ``big`` is spread
-    over as many tasks. Where no key can be hot (``skewed=False``) it is a plain join then.
+    It is broadcast only if it was measured (``fits``, or here). Beyond the bound the keys
+    of ``big`` are counted: the rows of ``small`` for hot keys, which are few, are measured
+    and broadcast, and only the others are joined by a shuffle, in which hot rows are
+    spread. Should even the hot keys be too many, ``small`` is repeated under ``SALTS``
+    salts. Where no key can be hot (``skewed=False``) it is a plain join. ``counts`` may
+    give a cheaper table with the keys of ``big``, to count them there.
     """
     if fits_broadcast(small) if fits is None else fits:
         return big.join(F.broadcast(small), F.col(key) == F.col(small_key), how)
     if not skewed:
         return big.join(small, F.col(key) == F.col(small_key), how)
-    salted = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge")
-    mixed = big.withColumn("__mix", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in big.columns]), F.lit(SALTS)).cast("int"))
-    return mixed.join(salted, (F.col(key) == F.col(small_key)) & (F.col("__mix") == F.col("__salt")), how).drop("__salt", "__mix")
+    keys = (big if counts is None else counts).groupBy(F.col(key).alias("__hot")).agg(F.count("*").alias("__n")).filter(F.col("__n") > HOT_ROWS).select("__hot")
+    hot = cut(small.join(keys, F.col(small_key) == F.col("__hot"), "left_semi"))
+    if rows_of(hot) == 0:
+        return big.join(small, F.col(key) == F.col(small_key), how)
+    mix = F.xxhash64(*[F.col(f"`{c}`") for c in big.columns])
+    if not fits_broadcast(hot):
+        salted = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge")
+        mixed = big.withColumn("__mix", F.pmod(mix, F.lit(SALTS)).cast("int"))
+        return mixed.join(salted, (F.col(key) == F.col(small_key)) & (F.col("__mix") == F.col("__salt")), how).drop("__salt", "__mix")
+    known = big.join(F.broadcast(hot.toDF(*[f"__hot_{c}" for c in small.columns])), F.col(key) == F.col(f"__hot_{small_key}"), "left")
+    known = known.withColumn("__mix", F.when(F.col(f"__hot_{small_key}").isNotNull(), 1 + F.pmod(mix, F.lit(10_000))).otherwise(0).cast("int"))
+    cold = small.withColumn("__cold", F.pmod(F.xxhash64(small_key), F.lit(1)).cast("int"))  # zero, but no constant to the planner
+    joined = known.join(cold, (F.col(key) == F.col(small_key)) & (F.col("__mix") == F.col("__cold")), "left")
+    out = joined.select(*[F.col(f"`{c}`") for c in big.columns], *[F.coalesce(F.col(f"__hot_{c}"), F.col(f"`{c}`")).alias(c) for c in small.columns])
+    return out if how == "left" else out.filter(F.col(small_key).isNotNull())
 
 
 #: Rows that one task ranks at once.

@@ -4,10 +4,12 @@ from pyspark.sql import functions as F
 from maskmill import runtime
 
 
-@pytest.mark.parametrize("most", [-1, 1000])
-def test_lookup_under_salts_and_by_broadcast(spark, monkeypatch, most):
-    """A hot key, keys without a partner and null keys give the same rows either way."""
+@pytest.mark.parametrize(("most", "hot"), [(-1, 10), (1000, 10), (5, 100), (5, 10**6)])
+def test_lookup_by_every_way(spark, monkeypatch, most, hot):
+    """A hot key, keys without a partner and null keys give the same rows under salts, by
+    broadcast, with the hot key broadcast alone, and by a plain join."""
     monkeypatch.setattr(runtime, "BROADCAST_ROWS", most)
+    monkeypatch.setattr(runtime, "HOT_ROWS", hot)
     big = spark.range(900).select("id", F.when(F.col("id") < 300, 7).when(F.col("id") < 310, None).otherwise(F.col("id") % 50).alias("k"))
     small = spark.range(40).select(F.col("id").alias("sk"), (F.col("id") * 10).alias("v"))
     left = runtime.lookup(big, small, "k", "sk").collect()

@@ -151,7 +151,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", c
         mapped = lookup(exchanged.select("x", "p"), top, "p", "name", fits=fits)
         rounds.append(cut(mapped.select("x", F.coalesce("root", "p").alias("root"))))
         pairs = apart.select("p", F.explode("ms").alias("m")).filter("p <> m")
-        pairs = lookup(lookup(pairs, top, "p", "name", fits=fits), second, "m", "__n2", fits=fits)
+        pairs = lookup(lookup(pairs, top, "p", "name", fits=fits), second, "m", "__n2", fits=fits, counts=pairs)
         current = cut(pairs.select(F.coalesce("root", "p").alias("u"), F.coalesce("__r2", "m").alias("v")).filter("u <> v").distinct())
         release(exchanged, found)
     if not rounds:

@@ -95,7 +95,7 @@ def contract(edges: DataFrame, src: str = "src", dst: str = "dst", weight: str |
         fits = fits_broadcast(mapped)
         left = mapped.select(F.col("x").alias("__x1"), F.col("root").alias("__r1"))
         right = mapped.select(F.col("x").alias("__x2"), F.col("root").alias("__r2"))
-        moved = lookup(lookup(current, left, "u", "__x1", fits=fits), right, "v", "__x2", fits=fits)
+        moved = lookup(lookup(current, left, "u", "__x1", fits=fits), right, "v", "__x2", fits=fits, counts=current)
         moved = moved.select(F.coalesce("__r1", "u").alias("a"), F.coalesce("__r2", "v").alias("b"), "w", "ou", "ov").filter("a <> b")
         lightest = moved.groupBy(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).agg(
             F.min(F.struct("w", F.xxhash64("ou", "ov").alias("tie"), "ou", "ov")).alias("k")

@@ -12,6 +12,7 @@ from maskmill.llm.group_split import contract, labels_of
 
 def test_without_broadcasts(spark, monkeypatch):
     monkeypatch.setattr(runtime, "BROADCAST_ROWS", -1)
+    monkeypatch.setattr(runtime, "HOT_ROWS", 3)
     pairs = random_pairs(random.Random(12))
     df = spark.createDataFrame(pairs, "src string, dst string")
     want = brute([p for p in pairs if p[0] != p[1]])

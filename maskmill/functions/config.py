@@ -52,3 +52,33 @@ def beside(path: str, *names: str) -> str | None:
     """First of ``names`` that exists in the folder of ``path``."""
     folder = os.path.dirname(path)
     return next((p for n in names if os.path.exists(p := os.path.join(folder, n))), None)
+
+
+IMAGENET = {"mean": (0.485, 0.456, 0.406), "std": (0.229, 0.224, 0.225)}
+XCEPTION = {"mean": (0.5, 0.5, 0.5), "std": (0.5, 0.5, 0.5)}
+#: How pictures are brought to the size a model was trained on.
+PROFILES = {
+    "legacy_256_imagenet": {"size": 256, "resize": "square_warp", **IMAGENET},
+    "xception_256": {"size": 256, "resize": "square_warp", **XCEPTION},
+    "padded_256_imagenet": {"size": 256, "resize": "aspect_pad", **IMAGENET},
+    "padded_320_imagenet": {"size": 320, "resize": "aspect_pad", **IMAGENET},
+    "padded_256_xception": {"size": 256, "resize": "aspect_pad", **XCEPTION},
+    "padded_320_xception": {"size": 320, "resize": "aspect_pad", **XCEPTION},
+}
+PROFILE_ALIASES = {
+    "legacy_imagenet": "legacy_256_imagenet",
+    "legacy": "legacy_256_imagenet",
+    "xception": "xception_256",
+    "padded_256": "padded_256_imagenet",
+    "padded_320": "padded_320_imagenet",
+}
+
+
+def picture_profile(name: str, size: int | None = None) -> dict:
+    """The profile of a name or alias, at another size if one is given; sizes are positive
+    multiples of sixteen."""
+    found = named_profile(PROFILES, name, PROFILE_ALIASES)
+    found["size"] = int(found["size"] if size is None else size)
+    if found["size"] <= 0 or found["size"] % 16:
+        raise ValueError("the size must be a positive multiple of 16")
+    return found | {"name": PROFILE_ALIASES.get(name.strip().lower(), name.strip().lower())}

@@ -30,6 +30,12 @@ def prob_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bad.groupBy("class_id").agg(F.count("*").alias("bad_pixels"), F.countDistinct("sample_id").alias("bad_samples"))
 
 
+def normalized_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean probabilities per class after those that do not sum to one were brought to it."""
+    skewed = pixels(spark, sf_dir).withColumns({f"p{k}": F.when(F.col("sample_id") % 7 == 0, F.col(f"p{k}") * (1 + 0.0005 * k)).otherwise(F.col(f"p{k}")) for k in range(3)})
+    return rounded(m.normalized(skewed).groupBy("class_id").agg(*[F.avg(f"p{k}").alias(f"p{k}") for k in range(3)], F.max(F.abs(F.col("p0") + F.col("p1") + F.col("p2") - 1)).alias("off")))
+
+
 def target_diagnosis_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Samples whose target disagrees with their class."""
     return m.inferred_classes(pixels(spark, sf_dir, every_sample=True)).filter("NOT agrees").select("sample_id", "class_id", "inferred_class")
@@ -348,6 +354,8 @@ SQL = {
     "prob_validation": f"""WITH {PIXELS_SQL}, skewed AS (SELECT sample_id, class_id, CASE WHEN sample_id % 7 = 0 THEN p0 * 1.01 ELSE p0 END AS p0, CASE WHEN sample_id % 11 = 0 THEN -p1 ELSE p1 END AS p1, p2 FROM pixels)
 SELECT class_id, count(*) AS bad_pixels, count(DISTINCT sample_id) AS bad_samples FROM skewed
 WHERE p0 < -1e-6 OR p1 < -1e-6 OR p2 < -1e-6 OR p0 > 1+1e-6 OR p1 > 1+1e-6 OR p2 > 1+1e-6 OR abs(p0 + p1 + p2 - 1) > 1e-3 GROUP BY 1""",
+    "normalized_probabilities": f"""WITH {PIXELS_SQL}, skewed AS (SELECT class_id, p0, CASE WHEN sample_id % 7 = 0 THEN p1 * 1.0005 ELSE p1 END AS p1, CASE WHEN sample_id % 7 = 0 THEN p2 * 1.001 ELSE p2 END AS p2 FROM pixels)
+SELECT class_id, round(avg(p0 / (p0 + p1 + p2)), 6) AS p0, round(avg(p1 / (p0 + p1 + p2)), 6) AS p1, round(avg(p2 / (p0 + p1 + p2)), 6) AS p2, 0.0::DOUBLE AS off FROM skewed GROUP BY 1""",
     "target_diagnosis_check": f"""WITH {ALL_PIXELS_SQL} SELECT sample_id, min(class_id) AS class_id, CAST(max(target) AS INTEGER) AS inferred_class FROM pixels GROUP BY 1 HAVING max(target) <> min(class_id)""",
     "pixel_confusion": f"WITH {PIXELS_SQL} SELECT target, {_PRED} AS prediction, count(*) AS pixels FROM pixels GROUP BY 1, 2",
     "sample_confusion": f"WITH {PIXELS_SQL} SELECT sample_id, target, {_PRED} AS prediction, count(*) AS pixels FROM pixels GROUP BY 1, 2, 3",
@@ -413,7 +421,7 @@ SELECT l_orderkey, round(sum(a/(a+b+c)), 6) AS q0, round(sum(b/(a+b+c)), 6) AS q
 }
 
 _NAMES = (
-    label_violations, prob_validation, target_diagnosis_check, pixel_confusion, sample_confusion, per_sample_overlap, predicted_diagnosis, diagnosis_accuracy, headline_scores, micro_macro_metrics, fg_fraction_p95,
+    label_violations, prob_validation, normalized_probabilities, target_diagnosis_check, pixel_confusion, sample_confusion, per_sample_overlap, predicted_diagnosis, diagnosis_accuracy, headline_scores, micro_macro_metrics, fg_fraction_p95,
     brier_scores, calibration_bins, ece_binary, ece_multiclass, quartile_metrics, class_pixel_counts, class_weights, threshold_sweep, best_threshold, listed_thresholds, winner_metrics, evaluation_report, checkpoint_selection, outer_test, deep_supervision, macro_rule_metrics, smoothed_per_class,
     batch_mean_metrics, losses, tta_average, argmax_counts, dual_head, recorded_headline,
 )

@@ -106,6 +106,21 @@ def ordered_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.in_order(chosen.join(places, F.col("sample_id") == F.col("__s")).drop("__s"), "sample_id")
 
 
+def selection_by_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many samples the runtime's reading of the splits selects: eligible by reason, and
+    calibration sets that may hold rows of the outer fold."""
+    parts = ["development", "sealed", *[(x, k) for k in range(5) for x in ("fit", "calibration", "outer")]]
+    named = {p if isinstance(p, str) else f"{p[0]}_{p[1]}": splits.in_split(*([p] if isinstance(p, str) else p), strict=False, by_reason=True) for p in parts}
+    sums = samples(spark, sf_dir).agg(*[F.count_if(c).alias(n) for n, c in named.items()])
+    return sums.select(F.explode(F.array(*[F.struct(F.lit(n).alias("selection"), F.col(n).alias("samples")) for n in named])).alias("p")).select("p.*")
+
+
+def resolved_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Image and mask of every delivered row below the data folder; absolute paths stay."""
+    rows = table(spark, sf_dir, "manifest").select("sample_id", "delivered_at", *[F.when(s.hash_part(F.col("sample_id"), 5) == 0, F.concat(F.lit("/mnt/"), c)).otherwise(F.col(c)).alias(c) for c in ("image_path", "mask_path")])
+    return rows.select("sample_id", "delivered_at", *[s.resolve_path(F.col(c), "/data/set/").alias(c) for c in ("image_path", "mask_path")])
+
+
 def first_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first fifty eligible samples in the order of their ids, as a limited prediction reads."""
     return selection.in_order(samples(spark, sf_dir).filter("eligible = 1").select("sample_id", "diagnosis"), "sample_id", limit=50)
@@ -254,6 +269,13 @@ FROM judged j LEFT JOIN cuts USING (diagnosis) LEFT JOIN grouped g ON g.sample_i
     "written_paths": f"WITH {SAMPLES_SQL} SELECT sample_id, {_PATHS.format(ok='eligible = 1', kind='images')} AS image_path, {_PATHS.format(ok='eligible = 1', kind='masks')} AS mask_path FROM samples",
     "ordered_selection": f"""WITH {SAMPLES_SQL}, f AS (SELECT *, {_FOLDS} AS folds FROM samples)
 SELECT sample_id, class_id, row_number() OVER (ORDER BY sample_id) - 1 AS position FROM f WHERE eligible = 1 AND partition = 'development' AND fold <> 1 AND NOT list_contains(folds, 1)""",
+    "selection_by_reason": f"WITH {SAMPLES_SQL}, f AS (SELECT *, {_FOLDS} AS folds FROM samples WHERE coalesce(exclusion_reason, '') = '') "
+    + " UNION ALL ".join(
+        f"SELECT '{n}' AS selection, count(*) FILTER (partition = '{part}'{more}) AS samples FROM f"
+        for n, part, more in [("development", "development", ""), ("sealed", "sealed", "")]
+        + [(f"{x}_{k}", "development", c.format(k=k)) for k in range(5) for x, c in (("fit", " AND fold <> {k} AND NOT list_contains(folds, {k})"), ("calibration", " AND list_contains(folds, {k})"), ("outer", " AND fold = {k}"))]
+    ),
+    "resolved_paths": "SELECT sample_id, delivered_at, " + ", ".join(f"CASE WHEN ('0x' || substr(sha256(sample_id), 1, 8))::BIGINT % 5 = 0 THEN '/mnt/' || {c} ELSE '/data/set/' || {c} END AS {c}" for c in ("image_path", "mask_path")) + " FROM manifest",
     "first_predictions": f"WITH {SAMPLES_SQL} SELECT sample_id, diagnosis FROM samples WHERE eligible = 1 ORDER BY sample_id LIMIT 50",
     "first_paths": f"WITH {_EPOCHS}, n AS (SELECT phase, run_id, count(*) AS epochs FROM epochs GROUP BY 1, 2) SELECT phase, run_id, epochs, CAST(row_number() OVER (PARTITION BY phase ORDER BY epochs DESC, run_id) AS INTEGER) AS place FROM n QUALIFY place <= 3",
     "candidate_order": "SELECT candidate_id, row_number() OVER (ORDER BY candidate_id) - 1 AS position FROM (SELECT DISTINCT candidate_id FROM near_duplicate_candidates)",
@@ -282,6 +304,6 @@ k AS (SELECT draw, CASE WHEN c < 0.25 THEN 0 WHEN c < 0.75 THEN 1 ELSE 2 END AS
 SELECT draw, sample_id, class_id FROM k JOIN sizes USING (class_id) JOIN ok o USING (class_id) WHERE o.rank = CAST(floor(r * sizes.n) AS BIGINT) + 1""",
 }
 _NAMES = (
-    curation, contract_checks, prior_test_guard, written_paths, ordered_selection, first_predictions, first_paths, candidate_order, saved_order, lesion_splits, atrous_rates, typed_cells, log_repaired, log_orphans, weighted_draws,
+    curation, contract_checks, prior_test_guard, written_paths, ordered_selection, selection_by_reason, resolved_paths, first_predictions, first_paths, candidate_order, saved_order, lesion_splits, atrous_rates, typed_cells, log_repaired, log_orphans, weighted_draws,
 )
 QUERIES = {f.__name__: f for f in _NAMES}

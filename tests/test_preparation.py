@@ -44,6 +44,25 @@ def test_contract_digest(tmp_path):
     assert alone != both == provenance.contract_digest(paths[0], paths[1]) and len(both) == 64
 
 
+def test_picture_profiles():
+    from maskmill.functions.config import picture_profile
+
+    assert picture_profile("padded_320")["name"] == "padded_320_imagenet" and picture_profile(" Legacy ")["resize"] == "square_warp"
+    assert picture_profile("xception", 128)["size"] == 128 and picture_profile("xception_256")["size"] == 256
+    for bad in (("none", None), ("legacy", 100), ("legacy", 0)):
+        with pytest.raises((KeyError, ValueError)):
+            picture_profile(*bad)
+
+
+def test_selection_by_reason(spark):
+    from maskmill.operators import splits
+
+    df = spark.createDataFrame([("a", 1, "", "development", 0, "0"), ("b", 0, None, "development", 1, "0;2"), ("c", 1, "broken", "development", 2, "")], "id string, eligible int, exclusion_reason string, partition string, fold int, calibration_for_folds string")
+    of = lambda *x, **k: [r.id for r in df.filter(splits.in_split(*x, **k)).orderBy("id").collect()]
+    assert of("development") == ["a", "c"] and of("development", by_reason=True) == ["a", "b"]
+    assert of("calibration", 0) == [] and of("calibration", 0, strict=False, by_reason=True) == ["a", "b"] and of("calibration", 0, by_reason=True) == ["b"]
+
+
 def test_cells_and_paths(spark):
     df = spark.createDataFrame([(0, " TRUE "), (1, "12"), (2, "-1.5e2"), (3, "none"), (4, "x "), (5, None), (6, "99999999999999999999")], "i int, t string")
     got = {r.i: tuple(r.c) for r in df.select("i", s.cast_cell(F.col("t")).alias("c")).collect()}

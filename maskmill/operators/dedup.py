@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from maskmill.functions.scalars import four_digits, join_sorted
-from maskmill.runtime import cut, lookup
+from maskmill.runtime import cut, lookup, shuffle_width
 
 
 #: Bits that a band must have for the band join.
@@ -170,7 +170,11 @@ def _pair_table(key: str, x: np.ndarray, y: np.ndarray, found) -> pa.Table:
     return pa.table(names | {"score": np.asarray(found[0], float), "dy": np.asarray(found[1]).astype(np.int32), "dx": np.asarray(found[2]).astype(np.int32)})
 
 
-def block_pairs(df: DataFrame, key: str, vector: str, least: float, rows_per_block: int = 2048, how: str = "cosine") -> DataFrame:
+#: Rows of a block; a shifted correlation is that of twenty-five pairs.
+BLOCK = {"cosine": 2048, "hamming": 2048, "aligned": 256}
+
+
+def block_pairs(df: DataFrame, key: str, vector: str, least: float, rows_per_block: int | None = None, how: str = "cosine") -> DataFrame:
     """Pairs whose cosine (or best shifted correlation) is at least ``least``, or whose
     64-bit hashes differ in at most ``least`` bits, exactly.
 
@@ -180,7 +184,7 @@ def block_pairs(df: DataFrame, key: str, vector: str, least: float, rows_per_blo
     table. Vectors must have equal lengths; null vectors match nothing.
     """
     held = df.filter(F.col(vector).isNotNull() & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("k"), F.col(vector).cast("long" if how == "hamming" else "array<double>").alias("v"))
-    n = max(1, -(-held.count() // rows_per_block))
+    n = max(1, -(-held.count() // (rows_per_block or BLOCK[how])))
     block = F.pmod(F.xxhash64(F.lit(3), "k"), F.lit(n)).cast("int")
     spread = held.withColumn("b", block).withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).select("k", "v", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b")
     schema = f"{key}_a long, {key}_b long, score double, dy int, dx int"
@@ -194,7 +198,8 @@ def block_pairs(df: DataFrame, key: str, vector: str, least: float, rows_per_blo
         keep = (x < y) if pair[0].as_py() == pair[1].as_py() else np.ones(len(x), bool)
         return _pair_table(key, x[keep], y[keep], [f[keep] for f in found])
 
-    return spread.groupBy("i", "j").applyInArrow(compare, schema)
+    placed = spread.repartition(min(n * (n + 1) // 2, shuffle_width(df.sparkSession)), "i", "j")  # much work in few bytes
+    return placed.groupBy("i", "j").applyInArrow(compare, schema)
 
 
 #: Random hyperplanes: bits of a band, and bands. A pair of cosine 0.9 meets in a band
@@ -242,6 +247,7 @@ def banded_pairs(df: DataFrame, key: str, vector: str, least: float, bits: int =
             keep &= x < y
         return _pair_table(key, x[keep], y[keep], [f[keep] for f in found])
 
+    spread = spread.repartition(shuffle_width(df.sparkSession), "band", "side", "i", "j")
     found = spread.groupBy("band", "side", "i", "j").applyInArrow(compare, f"{key}_a long, {key}_b long, score double, dy int, dx int")
     return found.select(f"{key}_a", f"{key}_b", "score")
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from maskmill.operators import images as im
 from maskmill.plans.evaluation import rounded
 from maskmill.plans.views import SAMPLES_SQL, samples
+from maskmill.runtime import shuffle_width
 from maskmill.sources.tables import annotations, tag_text
 from maskmill.functions.scalars import hash_part, keyword_class
 
@@ -46,6 +47,7 @@ def _per_mask(spark: SparkSession, sf_dir: str, work: Callable, results: str, ty
     """``work(mask, *extra)`` on every drawn mask: masks are drawn where they are used and
     never leave the task."""
     slim = _boxes(spark, sf_dir).select("sample_id", "original_height", "original_width", "x", "y", "w", "h", *extra)
+    slim = slim.repartition(shuffle_width(spark))  # rows are small and their work is not: tasks must not be put together
     names = [f.split()[0] for f in results.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

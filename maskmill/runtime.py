@@ -37,6 +37,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def shuffle_width(spark: SparkSession) -> int:
+    """Partitions of a shuffle, where tasks shall not be put together by their bytes."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 _FOLDERS: dict[str, str] = {}
 _NUMBERS = itertools.count()
 

@@ -5,20 +5,21 @@ Expectation-maximization with a latent encoding chain per record:
 * *Units.* A text is seen through its tokens with non-ASCII characters (digits become
   ``#``, outer ASCII punctuation is dropped). A token without ASCII letters is seen
   again after the token before it and before the one after it, because a lone sign such as ``×`` is sound or not only in
-  its place. Units are counted over the distinct texts of each source, one per text, so
+  its place, and so are the signs around an ASCII word (``“word”``). Units are counted over the distinct texts of each source, one per text, so
   copies of a text, however many, change nothing but how often its result is given.
 * *Candidates.* For every chain of ``charsets`` that a unit can have come out of, the
   unit it came from; it must be plausible and attested in the corpus, or, for words that
   decode as UTF-8 (which sound writing hardly does by chance), earn a fixed bonus.
   Characters that were lost (U+FFFD, dropped controls) are matched by the unit's ASCII
-  skeleton, or by what a sound unit would have become; that is the chain ``lost``.
+  skeleton, or by what a sound unit would have become; that is the chain ``lost``. One
+  that stands between letters or digits earns a bonus even if nothing matches.
 * *E-step.* A text under chain ``c`` has each of its units garbled with probability
   ``RHO``; the likelihood ratio of a unit is (count of what it came from) / (its own
   count as sound writing in other texts). A word that decodes as UTF-8 has a ratio of at
   least ``UTF8_LEAST``, however common it is: where a whole source is garbled, its words
   are. A chain is weighed in a text only where at least one unit speaks for it (ratio
-  above one): without, its posterior is below its prior, and counts as none. The
-  posterior of each chain follows, with priors per source.
+  above one, in this round or an earlier one): without, its posterior is below its prior,
+  and counts as none. The posterior of each chain follows, with priors per source.
 * *M-step.* Priors per source and chain are re-estimated, drawn to those of the whole
   corpus where a source is small; the count of a unit as sound writing loses what the
   posteriors explain as garbled. So records with strong evidence teach what weak
@@ -39,7 +40,8 @@ garbled so throughout is found only while its words are rarer than the sound one
 Scale: every text is tokenized once, and its units are written and counted; what follows
 reads units, never texts. A round scans the units for those that speak for a chain, and
 weighs all evidence only of the texts that hold one. Joins to tables of units are
-broadcast after these were measured, or salted.
+broadcast after these were measured, or split by hot keys. Texts are scanned anew only in
+rounds in which more units speak for a chain.
 """
 
 from __future__ import annotations
@@ -60,6 +62,8 @@ RHO = 0.8
 ALPHA = 0.1
 #: Log-odds for a word that decodes as UTF-8 though the result is nowhere attested.
 UTF8_BONUS = 4.0
+#: Log-odds for a character that was lost (U+FFFD, a control) between letters or digits.
+LOSS_BONUS = 8.0
 #: Likelihood ratio that such a word has at least, at any count.
 UTF8_LEAST = 5.0
 #: Pseudo-texts that draw a source's priors to the corpus'.
@@ -67,13 +71,17 @@ POOL = 200.0
 FIRST_PRIOR = 0.0005
 #: Rounds at most; they end earlier when nothing moves any more.
 MOST_ROUNDS = 25
+#: Distinct units that one task tries the chains on.
+UNITS_PER_TASK = 20_000
 #: Share of the sum of posteriors that may still move in the last round.
-STILL = 0.005
+STILL = 0.001
 #: Characters that a sign becomes at most: four bytes, each three characters when read
 #: wrong twice.
 SIGN = 12
 LOST = "lost"
 SEP = "\x1f"
+#: Stands for the ASCII inside of a token that one sign opens and another closes.
+EDGE = "\x1e"
 _TOKEN = re.compile(r"[^ \t\n\r\f\v]+")
 _DIGITS = re.compile(r"[0-9]+")
 _OTHER = re.compile(r"[^\x00-\x7f]+")
@@ -81,6 +89,7 @@ _LETTER = re.compile(r"[A-Za-z]")
 _OUTER = string.punctuation.replace("#", "")
 _DAMAGED = re.compile(r"[�\x80-\x9f]|[ÃÂ][^\x00-\x7f]")
 _LOSS = re.compile("[\ufffd\x80-\x9f]")
+_INSIDE = re.compile("[A-Za-z#][\ufffd\x80-\x9f]+[A-Za-z#]")
 _CONTROLS = re.compile("[\x80-\x9f]")
 _LONE = re.compile(r"[�\x80-\x9fÃÂâ]+")
 _CHAINS = chains()
@@ -100,6 +109,14 @@ def _is_sign(token: str) -> bool:
     return not _LETTER.search(token) and sum(c > "\x7f" for c in token) <= SIGN
 
 
+def _edges(token: str) -> str | None:
+    """The signs around an ASCII word, such as ``“word”``, as a unit of their own; what opens
+    is another sign than what closes."""
+    if len(token) > 2 and token[0] > "\x7f" < token[-1] != token[0] and token[1:-1].isascii() and _LETTER.search(token):
+        return f"{token[0]}{EDGE}{token[-1]}"
+    return None
+
+
 def units_of(text: str | None) -> set[str]:
     """The units of a whole text."""
     if not text or text.isascii():
@@ -112,6 +129,8 @@ def units_of(text: str | None) -> set[str]:
             continue
         token = normal(raw)
         out.add(token)
+        if edges := _edges(token):
+            out.add(edges)
         if _is_sign(token):
             before = skeleton(normal(tokens[i - 1])) if i else ""
             after = skeleton(normal(tokens[i + 1])) if i < last else ""
@@ -126,14 +145,14 @@ def _lone(token: str) -> bool:
 
 
 def candidates_of(unit: str) -> list[tuple[str, str, str, float]]:
-    """(chain, key kind, key, bonus) of a unit; kinds are ``exact`` and ``skeleton`` (see
-    ``stripped`` for the third, ``forward``)."""
+    """(chain, key kind, key, bonus) of a unit; kinds are ``exact``, ``skeleton``, ``unknown``
+    (lost for good) and, of sound units, ``forward`` (see ``stripped``)."""
     before, mark, rest = unit.partition(SEP)
     token, _, after = rest.partition(SEP) if mark else (unit, "", "")
     out = []
     for chain in possible_chains(token):
         was = undo(token, chain)
-        if was is None or _lone(was) != bool(mark) or not plausible(was):
+        if was is None or (_lone(was) and EDGE not in was) != bool(mark) or not plausible(was.replace(EDGE, "a")):
             continue
         bonus = UTF8_BONUS if chain.startswith("utf-8") and not mark and any(c.isalpha() for c in was) else 0.0
         out.append((chain, "exact", f"{before}{SEP}{was}{SEP}{after}" if mark else was, bonus))
@@ -142,6 +161,8 @@ def candidates_of(unit: str) -> list[tuple[str, str, str, float]]:
             out.append((LOST, "skeleton", skeleton(unit), 0.0))
     elif _LOSS.search(token) and re.search("[A-Za-z#]", token) or _DAMAGED.search(token) and len(_LETTER.findall(token)) >= 2:
         out.append((LOST, "skeleton", skeleton(unit), 0.0))
+        if _INSIDE.search(token):  # whether or not it is known what was lost
+            out.append((LOST, "unknown", unit, LOSS_BONUS))
     return out
 
 
@@ -173,7 +194,8 @@ def candidates(known: DataFrame) -> DataFrame:
     ``known`` has every unit with the number ``n`` of texts that hold it; ``m`` is that of
     the one it came from.
     """
-    possible = cut(known.mapInArrow(_candidate_rows, "unit string, n long, chain string, kind string, key string, bonus double"))
+    tasks = max(1, -(-rows_of(known) // UNITS_PER_TASK))
+    possible = cut(known.repartition(tasks).mapInArrow(_candidate_rows, "unit string, n long, chain string, kind string, key string, bonus double"))
     # a unit is what few others can have come from, at most one per chain and unit of its length
     exact = possible.filter("kind = 'exact'").join(known.select(F.col("unit").alias("was"), F.col("n").alias("m")), F.col("key") == F.col("was"), "left")
     exact = exact.select("unit", "n", "chain", "key", F.coalesce("m", F.lit(0)).alias("m"), "bonus")
@@ -187,7 +209,8 @@ def candidates(known: DataFrame) -> DataFrame:
     became = cut(became.select("__as", F.col("__b.was").alias("__was"), F.col("__b.m").alias("__m")))
     forward = lookup(known, became, "unit", "__as", "inner", skewed=False)
     forward = forward.select("unit", "n", F.lit(LOST).alias("chain"), F.col("__was").alias("key"), F.col("__m").alias("m"), F.lit(0.0).alias("bonus"))
-    lost = lost.unionByName(forward).groupBy("unit", "n", "chain").agg(F.max_by("key", "m").alias("key"), F.max("m").alias("m"), F.max("bonus").alias("bonus"))
+    unknown = possible.filter("kind = 'unknown'").select("unit", "n", "chain", "key", F.lit(0).cast("long").alias("m"), "bonus")
+    lost = lost.unionByName(forward).unionByName(unknown).groupBy("unit", "n", "chain").agg(F.max_by("key", "m").alias("key"), F.max("m").alias("m"), F.max("bonus").alias("bonus"))
     both = exact.unionByName(lost).withColumnRenamed("key", "was")
     out = cut(both.filter((F.col("m") > 0) | (F.col("bonus") > 0)))
     release(possible, best, became)
@@ -214,8 +237,10 @@ def _mark(source: str, text: str) -> Column:
     return F.unhex(F.sha2(F.concat_ws(SEP, source, text), 256))
 
 
-def _scores(ways: DataFrame, explained: DataFrame | None) -> DataFrame:
-    """(unit, ways, chains that it speaks for) under the counts as sound writing."""
+def _scores(ways: DataFrame, explained: DataFrame | None, before: DataFrame | None) -> DataFrame:
+    """(unit, ways, chains that it speaks for) under the counts as sound writing. A unit that
+    spoke for a chain in the round ``before`` still does; how many more pairs speak now is
+    the metric ``fresh``."""
     if explained is None:
         now, clean = ways, F.col("n") - 1.0
     else:
@@ -228,20 +253,33 @@ def _scores(ways: DataFrame, explained: DataFrame | None) -> DataFrame:
     # at most one way a chain
     out = scored.groupBy("unit").agg(F.collect_list(way).alias("ways"), F.collect_list(F.when(F.col("ratio") > 1, F.col("chain"))).alias("hot"))
     size = F.aggregate("ways", F.octet_length("unit"), lambda a, w: a + F.octet_length(w["was"]) + 100)
-    return cut(out, bytes=F.sum(size))
+    if before is None:
+        return cut(out, bytes=F.sum(size), fresh=F.sum(F.size("hot")))
+    last = before.select(F.col("unit").alias("__b"), F.col("hot").alias("__last"))
+    out = out.join(last, F.col("unit") == F.col("__b"), "left").select("unit", "ways", F.array_union("hot", F.coalesce("__last", F.array().cast("array<string>"))).alias("hot"), F.size(F.array_except("hot", "__last")).alias("more"))
+    return cut(out, bytes=F.sum(size), fresh=F.sum("more"))
 
 
-def _weighed(texts: DataFrame, scores: DataFrame, prior: DataFrame | None) -> DataFrame:
-    """(id, source, unit, chain, g, p, part, total) of the evidence: ``p`` is the posterior of
-    the chain in the text, ``part`` this unit's part of it, ``total`` the posterior of all
-    chains."""
+def _near(texts: DataFrame, scores: DataFrame) -> DataFrame:
+    """(id, source, unit, chains) of all units of the texts in which some unit speaks for a
+    chain, with these chains."""
     fits = fits_broadcast(scores)
     hot = scores.filter(F.size("hot") > 0).select(F.col("unit").alias("__u"), "hot")
     speaking = lookup(texts.select("id", F.explode("units").alias("unit")), hot, "unit", "__u", "inner", fits=fits).select("id", F.explode("hot").alias("chain"))
     active = speaking.groupBy(F.col("id").alias("__id")).agg(F.collect_set("chain").alias("__chains"))
     active = cut(active, bytes=F.sum(F.size("__chains") * 40 + 32))
-    near = lookup(texts, active, "id", "__id", "inner", skewed=False).select("id", "source", "__chains", F.explode("units").alias("unit"))
-    mine = lookup(near, scores.select(F.col("unit").alias("__v"), "ways"), "unit", "__v", "inner", fits=fits)
+    out = lookup(texts, active, "id", "__id", "inner", skewed=False).select("id", "source", "__chains", F.explode("units").alias("unit"))
+    known = scores.select(F.col("unit").alias("__v"))
+    out = cut(lookup(out, known, "unit", "__v", "inner", fits=fits).drop("__v"))
+    release(active)
+    return out
+
+
+def _weighed(near: DataFrame, scores: DataFrame, prior: DataFrame | None) -> DataFrame:
+    """(id, source, unit, chain, g, p, part, total) of the evidence: ``p`` is the posterior of
+    the chain in the text, ``part`` this unit's part of it, ``total`` the posterior of all
+    chains."""
+    mine = lookup(near, scores.select(F.col("unit").alias("__v"), "ways"), "unit", "__v", "inner", fits=fits_broadcast(scores))
     rows = mine.select("id", "source", "unit", "__chains", F.inline("ways")).filter(F.array_contains("__chains", F.col("chain"))).drop("__chains", "was")
     if prior is None:
         rows = rows.withColumns({"prior": F.lit(FIRST_PRIOR), "sound": F.lit(1 - FIRST_PRIOR * (len(_CHAINS) + 1))})
@@ -255,9 +293,7 @@ def _weighed(texts: DataFrame, scores: DataFrame, prior: DataFrame | None) -> Da
     whole = F.col("all") + F.exp(F.log("sound") - F.col("top"))
     p = F.col("share") / whole
     out = rows.select("id", "source", "unit", "chain", "g", p.alias("p"), (p / F.col("parts")).alias("part"), (F.col("all") / whole).alias("total"))
-    out = cut(out, mass=F.sum("part"), found=F.sum(F.when(F.col("total") > 0.5, F.col("part") / F.col("total"))))
-    release(active)
-    return out
+    return cut(out, mass=F.sum("part"), found=F.sum(F.when(F.col("total") > 0.5, F.col("part") / F.col("total"))))
 
 
 def _assessed(tokenized: DataFrame, most_rounds: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -269,12 +305,15 @@ def _assessed(tokenized: DataFrame, most_rounds: int) -> tuple[DataFrame, DataFr
     size = texts.groupBy("source").agg(F.count("*").alias("size"))
     size = cut(size.select("source", "size", F.explode(F.array(*[F.lit(c) for c in (*_CHAINS, LOST)])).alias("chain")).withColumn("__pk", F.concat_ws(SEP, "source", "chain")))
     every = max(1, rows_of(texts))
-    prior = explained = evidence = before = None
+    prior = explained = evidence = before = scores = near = None
     for _ in range(most_rounds):
-        scores = _scores(ways, explained)
-        old, evidence = evidence, _weighed(texts, scores, prior)
+        last, scores = scores, _scores(ways, explained, scores)
+        if near is None or seen(scores, "fresh"):
+            release(*[x for x in (near,) if x is not None])
+            near = _near(texts, scores)
+        old, evidence = evidence, _weighed(near, scores, prior)
         now = (round(seen(evidence, "found") or 0), seen(evidence, "mass") or 0.0)
-        release(scores, *[x for x in (old, prior) if x is not None])
+        release(*[x for x in (last, old, prior) if x is not None])
         if before is not None and now[0] == before[0] and abs(now[1] - before[1]) <= STILL * (1 + now[1]):
             break
         before = now
@@ -287,7 +326,7 @@ def _assessed(tokenized: DataFrame, most_rounds: int) -> tuple[DataFrame, DataFr
         per = pooled.select("__pk", "source", F.greatest(value, F.lit(1e-9)).alias("prior"))
         sound = F.greatest(1 - F.sum("prior").over(Window.partitionBy("source")), F.lit(0.05))  # one row a chain
         prior = cut(per.select("__pk", "prior", sound.alias("sound")))
-    release(known, size)
+    release(known, size, near, scores)
     return texts.select("id", "mark"), evidence, ways
 
 
@@ -337,7 +376,7 @@ def restore(text: str, ways: dict[str, tuple[str, str]], main: str) -> tuple[str
         raw = t.group()
         if raw.isascii():
             continue
-        way = ways.get(names[i])
+        way = ways.get(names[i]) or ways.get(_edges(names[i]) or "")
         if way is None and _is_sign(names[i]):
             before = skeleton(names[i - 1]) if i else ""
             after = skeleton(names[i + 1]) if i + 1 < len(names) else ""

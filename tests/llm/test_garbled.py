@@ -63,6 +63,19 @@ def test_dropped_controls(spark):
     assert [(r.doc_id, r.repaired) for r in out] == [(100, "The reader’s note 7 – fine.")]
 
 
+def test_signs_around_a_word_and_characters_lost_for_good(spark):
+    """Quotes of another code page around a word that is nowhere else quoted; a replacement
+    character between digits, where no sound unit tells what it was."""
+    assert units_of("ÒscarÓ") == {"ÒscarÓ", "Ò\x1eÓ"} and units_of("“a”") == {"“a”", "“\x1e”"} and units_of("été") == {"été"}
+    words = ["edge", "rim", "shadow", "border", "cyst", "halo", "spot"]
+    rows = [(i, f"The brush slipped over the “{words[i % 7]}” in image {i} – twice.", "s") for i in range(140)]
+    rows += [(1000 + i, f"The brush slipped over the Ò{w}Ó in image {i}.", "s") for i, w in enumerate(("scar", "vessel", "node"))]
+    rows += [(2000 + i, f"The rate falls from {i}\ufffd10 to nearly zero.", "s") for i in range(3)] + [(3000, "Search for the character \ufffd before blaming the font.", "s")]
+    out = {r.doc_id: r.repaired for r in repaired_records(spark.createDataFrame(rows, "doc_id long, text string, source string"), "doc_id", "text", "source").collect()}
+    assert set(out) == {1000, 1001, 1002, 2000, 2001, 2002}
+    assert out[1000] == "The brush slipped over the “scar” in image 0." and out[2001] == "The rate falls from 1\ufffd10 to nearly zero."
+
+
 def test_restore():
     text, n = restore("aprÃ¨s 12 Ã— 3,\n(pr�s)  fin", {"aprÃ¨s": ("utf-8>cp1252", "après"), "#\x1fÃ—\x1f": ("utf-8>cp1252", "#\x1f×\x1f"), "pr�s": ("lost", "près")}, "utf-8>cp1252")
     assert text == "après 12 × 3,\n(près)  fin" and n == 3

@@ -26,15 +26,29 @@ def latest_lines(df: DataFrame, received: str, *keys: str) -> DataFrame:
     return last.select(*keys, f"r.{received}", *[f"r.{c}" for c in rest])
 
 
-def _before(*keys: str):
-    return Window.partitionBy(*keys).orderBy("epoch").rowsBetween(Window.unboundedPreceding, -1)
+#: Epochs of a run that one task orders where a window can be split.
+BLOCK = 10_000
 
 
-def running_best(df: DataFrame, score: str, *keys: str) -> DataFrame:
+def _carried(df: DataFrame, keys: tuple, figure: Column, carry: Callable[[str], Column], block: int) -> tuple[DataFrame, Window]:
+    """Rows with ``__block`` and ``__carried``, a figure carried over all earlier blocks of
+    epochs of the run, and the window of the rows before within a block. So the epochs of a
+    hot run are ordered by many tasks."""
+    blocked = df.withColumn("__block", F.coalesce(F.floor(F.col("epoch") / block), F.lit(-(1 << 40))).cast("long"))
+    per = blocked.groupBy(*keys, "__block").agg(figure.alias("__figure"))
+    earlier = Window.partitionBy(*keys).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = per.withColumn("__carried", carry("__figure").over(earlier)).drop("__figure")
+    on = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in (*keys, "__block")]
+    joined = blocked.alias("a").join(carried.alias("b"), on).select("a.*", "b.__carried")
+    return joined, Window.partitionBy(*keys, "__block").orderBy("epoch").rowsBetween(Window.unboundedPreceding, -1)
+
+
+def running_best(df: DataFrame, score: str, *keys: str, block: int = BLOCK) -> DataFrame:
     """Whether an epoch is strictly better than all before it, and the best so far."""
-    top = F.max(score).over(_before(*keys))
+    rows, before = _carried(df, keys, F.max(score), F.max, block)
+    top = F.greatest(F.max(score).over(before), F.col("__carried"))
     better = F.coalesce(F.col(score) > top, F.col(score).isNotNull())
-    return df.withColumns({"is_best": better, "best_so_far": F.greatest(F.col(score), top)})
+    return rows.withColumns({"is_best": better, "best_so_far": F.greatest(F.col(score), top)}).drop("__block", "__carried")
 
 
 def top_three(df: DataFrame, score: str, *keys: str) -> DataFrame:
@@ -164,10 +178,11 @@ def cosine_rate(epoch: Column, total: int, base: float, least: float = 0.0, warm
     return F.when(epoch <= warmup, base * epoch / float(max(1, warmup))).otherwise(down) if warmup else down
 
 
-def epoch_gaps(df: DataFrame, *keys: str) -> DataFrame:
+def epoch_gaps(df: DataFrame, *keys: str, block: int = BLOCK) -> DataFrame:
     """Epochs whose number is not their place: the log is not 1..n."""
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy("epoch"))
-    return df.withColumn("place", place).filter(F.col("place") != F.col("epoch"))
+    rows, before = _carried(df, keys, F.count(F.lit(1)), F.sum, block)
+    place = (F.count(F.lit(1)).over(before) + F.coalesce("__carried", F.lit(0)) + 1).cast("int")
+    return rows.withColumn("place", place).filter(F.col("place") != F.col("epoch")).drop("__block", "__carried")
 
 
 def reconcile(log: DataFrame, checkpoint: DataFrame, *keys: str) -> DataFrame:

@@ -19,6 +19,11 @@ def of(df, column, run="a"):
 
 def test_running_best_and_top(spark):
     assert of(r.running_best(log(spark), "score", "run"), "is_best") == [True, True, True, False, False, True, False, False, False]
+    for block in (1, 2, 4):
+        assert of(r.running_best(log(spark), "score", "run", block=block), "best_so_far") == of(r.running_best(log(spark), "score", "run"), "best_so_far")
+        assert of(r.running_best(log(spark), "score", "run", block=block), "is_best") == [True, True, True, False, False, True, False, False, False]
+        gappy = log(spark).filter("epoch <> 4")
+        assert of(r.epoch_gaps(gappy, "run", block=block), "place") == of(r.epoch_gaps(gappy, "run"), "place") == [4, 5, 6, 7, 8]
     ties = log(spark, [0.5, 0.7, 0.7, 0.6, 0.5])
     assert [(x.place, x.epoch) for x in sorted(r.top_three(ties, "score", "run").filter("run = 'a'").collect(), key=lambda x: x.place)] == [(1, 2), (2, 3), (3, 4)]
     assert of(r.enters_top_three(ties, "score", "run"), "enters") == [True, True, True, True, False]

@@ -53,31 +53,26 @@ def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def hamming_pairs(df: DataFrame, key: str, value: str, most: int) -> DataFrame:
+def hamming_pairs(df: DataFrame, key: str, value: str, most: int, rows_per_block: int = 2048) -> DataFrame:
     """Pairs of different hashes within ``most`` bits, exactly.
 
     64 bits in ``most + 1`` bands: a pair that differs in at most ``most`` bits agrees in
-    one band, so an equi-join on (band, bits) finds it; a pair is taken in the first band
-    it agrees in. Where bands would be narrower than ``NARROW`` bits, which hardly
-    separate anything, hashes are compared in blocks instead. Equal hashes count once,
-    as representatives of their ids (see ``representatives``).
+    one band, so it stands in one bucket of (band, bits); it is taken in the first band it
+    agrees in. A bucket is compared in pairs of its blocks, so a band value that a third of
+    the hashes share (blank pictures) is many tasks. Where bands would be narrower than
+    ``NARROW`` bits, which hardly separate anything, all hashes are compared in blocks
+    instead. Equal hashes count once, as representatives of their ids (see
+    ``representatives``). Keys are whole numbers.
     """
     bands = most + 1
+    unique = df.filter(F.col(value).isNotNull() & F.col(key).isNotNull()).groupBy(value).agg(F.min(key).alias(key))
     if 64 // bands < NARROW:
-        unique = df.groupBy(value).agg(F.min(key).alias(key))
         pairs = block_pairs(unique, key, value, most, how="hamming")
-        return pairs.select(f"{key}_a", f"{key}_b", F.col("score").cast("int").alias("distance"))
-    edges = [round(i * 64 / bands) for i in range(bands + 1)]
-    unique = df.groupBy(value).agg(F.min(key).alias(key))
-    cut_out = [F.shiftrightunsigned(F.col(value), a).bitwiseAND(F.lit(-1 if b - a == 64 else (1 << (b - a)) - 1).cast("long")) for a, b in zip(edges, edges[1:])]
-    listed = unique.withColumn("__bands", F.array(*cut_out))
-    long = listed.select(key, value, "__bands", F.posexplode("__bands").alias("__band", "__bits"))
-    a, b = long.alias("a"), long.alias("b")
-    pairs = a.join(b, (F.col("a.__band") == F.col("b.__band")) & (F.col("a.__bits") == F.col("b.__bits")) & (F.col(f"a.{key}") < F.col(f"b.{key}")))
-    agree = F.arrays_zip(F.col("a.__bands").alias("x"), F.col("b.__bands").alias("y"))
-    first = F.array_position(F.transform(agree, lambda z: z["x"] == z["y"]), F.lit(True)) - 1
-    distance = hamming(F.col(f"a.{value}"), F.col(f"b.{value}"))
-    return pairs.filter(distance <= most).filter(first == F.col("a.__band")).select(F.col(f"a.{key}").alias(f"{key}_a"), F.col(f"b.{key}").alias(f"{key}_b"), distance.alias("distance"))
+    else:
+        edges = [round(i * 64 / bands) for i in range(bands + 1)]
+        cut_out = [F.shiftrightunsigned(F.col(value), a).bitwiseAND(F.lit(-1 if b - a == 64 else (1 << (b - a)) - 1).cast("long")) for a, b in zip(edges, edges[1:])]
+        pairs = _bucket_pairs(unique.select(F.col(key).cast("long").alias("k"), F.col(value).alias("v"), F.array(*cut_out).alias("s")), key, most, "hamming", rows_per_block)
+    return pairs.select(f"{key}_a", f"{key}_b", F.col("score").cast("int").alias("distance"))
 
 
 #: Ids of equal hashes that are joined as one part.
@@ -228,18 +223,26 @@ def banded_pairs(df: DataFrame, key: str, vector: str, least: float, bits: int =
             side = (v @ planes > 0).reshape(len(v), bands, bits) @ (1 << np.arange(bits))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(side.tolist(), pa.list_(pa.int64()))], names=["k", "v", "s"])
 
-    signed = cut(unique.select("k", "v").mapInArrow(sign, "k long, v array<double>, s array<long>"))
-    long = signed.select("k", "v", "s", F.posexplode("s").alias("band", "side"))
-    sizes = long.groupBy(F.col("band").alias("__band"), F.col("side").alias("__side")).agg(F.ceil(F.count("*") / rows_per_block).cast("int").alias("n"), F.count("*").alias("rows")).filter("rows > 1")
-    placed = long.join(F.broadcast(sizes), (F.col("band") == F.col("__band")) & (F.col("side") == F.col("__side")))  # at most bands * 2 ** bits rows
+    signed = unique.select("k", "v").mapInArrow(sign, "k long, v array<double>, s array<long>")
+    return _bucket_pairs(signed, key, least, "cosine", rows_per_block).select(f"{key}_a", f"{key}_b", "score")
+
+
+def _bucket_pairs(signed: DataFrame, key: str, least: float, how: str, rows_per_block: int) -> DataFrame:
+    """Close pairs of the rows (k, v, s) that agree in one of the bands ``s``, each once, in
+    the first band they agree in. Every bucket is compared in pairs of its hash blocks."""
+    signed = cut(signed)
+    long = signed.select("k", "v", "s", F.posexplode("s").alias("band", "side")).withColumn("__at", F.concat_ws(":", "band", "side"))
+    sizes = long.groupBy(F.col("__at").alias("__bucket")).agg(F.ceil(F.count("*") / rows_per_block).cast("int").alias("n"), F.count("*").alias("rows"))
+    placed = lookup(long, cut(sizes.filter("rows > 1").drop("rows")), "__at", "__bucket", "inner", counts=long.select("__at"))
     spread = placed.withColumn("b", F.pmod(F.xxhash64(F.lit(3), "k"), F.col("n")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     spread = spread.select("band", "side", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "k", "v", "s")
 
     def compare(bucket: tuple, t: pa.Table) -> pa.Table:
         band, _, i, j = (x.as_py() for x in bucket)
-        ids, blocks, vectors, sides = t["k"].to_numpy(), t["b"].to_numpy(), np.array(t["v"].to_pylist(), float), np.array(t["s"].to_pylist())
+        ids, blocks, sides = t["k"].to_numpy(), t["b"].to_numpy(), np.array(t["s"].to_pylist())
+        vectors = t["v"].to_numpy().view(np.uint64) if how == "hamming" else np.array(t["v"].to_pylist(), float)
         left, right = blocks == i, blocks == j
-        at, bt, found = _close(ids[left], vectors[left], ids[right], vectors[right], least, "cosine")
+        at, bt, found = _close(ids[left], vectors[left], ids[right], vectors[right], least, how)
         x, y = ids[left][at], ids[right][bt]
         agree = sides[left][at] == sides[right][bt]
         keep = agree.argmax(1) == band if len(at) else np.zeros(0, bool)  # the first band the two share
@@ -247,9 +250,8 @@ def banded_pairs(df: DataFrame, key: str, vector: str, least: float, bits: int =
             keep &= x < y
         return _pair_table(key, x[keep], y[keep], [f[keep] for f in found])
 
-    spread = spread.repartition(shuffle_width(df.sparkSession), "band", "side", "i", "j")
-    found = spread.groupBy("band", "side", "i", "j").applyInArrow(compare, f"{key}_a long, {key}_b long, score double, dy int, dx int")
-    return found.select(f"{key}_a", f"{key}_b", "score")
+    spread = spread.repartition(shuffle_width(signed.sparkSession), "band", "side", "i", "j")
+    return spread.groupBy("band", "side", "i", "j").applyInArrow(compare, f"{key}_a long, {key}_b long, score double, dy int, dx int")
 
 
 def near_search(df: DataFrame, key: str, image: str, mask: str, bits: int = 6, least: float = 0.90) -> DataFrame:

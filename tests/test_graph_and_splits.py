@@ -61,6 +61,18 @@ def test_hamming_banding_is_exact(spark, most):
     assert {tuple(r) for r in dedup.hamming_pairs(df, "id", "h", most).collect()} == want
 
 
+def test_hot_band_is_compared_in_blocks(spark):
+    """Hashes that nearly all share most bands: each pair once, whatever the blocks."""
+    rng = random.Random(1)
+    values = list({sum(1 << b for b in rng.sample(range(64), rng.randint(0, 5))) for _ in range(250)})
+    want = {(i, j) for i, a in enumerate(values) for j, b in enumerate(values) if i < j and (a ^ b).bit_count() <= 6}
+    signed = [v - (1 << 64) if v >= 1 << 63 else v for v in values]
+    df = spark.createDataFrame([*enumerate(signed), (999, None), (None, 5)], "id long, h long")
+    for rows in (16, 4096):
+        got = [(r.id_a, r.id_b) for r in dedup.hamming_pairs(df, "id", "h", 6, rows).collect()]
+        assert len(got) == len(set(got)) and set(got) - {p for p in got if 999 in p or None in p} == want
+
+
 def test_block_pairs(spark):
     rng = np.random.default_rng(4)
     v = rng.normal(size=(60, 64))

@@ -48,7 +48,7 @@ from __future__ import annotations
 
 import re
 import string
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -275,50 +275,57 @@ def _near(texts: DataFrame, scores: DataFrame) -> DataFrame:
     return out
 
 
-def _weighed(near: DataFrame, scores: DataFrame, prior: DataFrame | None) -> DataFrame:
-    """(id, source, unit, chain, g, p, part, total) of the evidence: ``p`` is the posterior of
-    the chain in the text, ``part`` this unit's part of it, ``total`` the posterior of all
-    chains."""
+def _posterior(near: DataFrame, scores: DataFrame, prior: DataFrame | None) -> DataFrame:
+    """(id, source, probs, total) of the texts: the posterior of each chain that is weighed
+    in a text, and that of all of them. Only sums per text and chain are shuffled."""
     mine = lookup(near, scores.select(F.col("unit").alias("__v"), "ways"), "unit", "__v", "inner", fits=fits_broadcast(scores))
-    rows = mine.select("id", "source", "unit", "__chains", F.inline("ways")).filter(F.array_contains("__chains", F.col("chain"))).drop("__chains", "was")
+    rows = mine.select("id", "source", "__chains", F.inline("ways")).filter(F.array_contains("__chains", F.col("chain")))
+    sums = rows.groupBy("id", "source", "chain").agg(F.sum("s").alias("s"))
     if prior is None:
-        rows = rows.withColumns({"prior": F.lit(FIRST_PRIOR), "sound": F.lit(1 - FIRST_PRIOR * (len(_CHAINS) + 1))})
+        sums = sums.withColumns({"prior": F.lit(FIRST_PRIOR), "sound": F.lit(1 - FIRST_PRIOR * (len(_CHAINS) + 1))})
     else:
-        rows = lookup(rows.withColumn("__k", F.concat_ws(SEP, "source", "chain")), prior, "__k", "__pk")
-    one, text = Window.partitionBy("id", "chain"), Window.partitionBy("id")  # the units of one text
-    rows = rows.repartition("id").withColumns({"lp": F.log("prior") + F.sum("s").over(one), "parts": F.count("*").over(one)})
-    rows = rows.withColumn("top", F.greatest(F.max("lp").over(text), F.log("sound")))
-    rows = rows.withColumn("share", F.exp(F.col("lp") - F.col("top")))
-    rows = rows.withColumn("all", F.sum(F.col("share") / F.col("parts")).over(text))
-    whole = F.col("all") + F.exp(F.log("sound") - F.col("top"))
-    p = F.col("share") / whole
-    out = rows.select("id", "source", "unit", "chain", "g", p.alias("p"), (p / F.col("parts")).alias("part"), (F.col("all") / whole).alias("total"))
-    return cut(out, mass=F.sum("part"), found=F.sum(F.when(F.col("total") > 0.5, F.col("part") / F.col("total"))))
-
-
-def _assessed(tokenized: DataFrame, most_rounds: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """((id, mark) of the distinct texts, evidence of ``_weighed`` after the last round, the
-    candidates)."""
+        sums = lookup(sums.withColumn("__k", F.concat_ws(SEP, "source", "chain")), prior, "__k", "__pk")
+    text = Window.partitionBy("id")  # at most one row a chain
+    sums = sums.withColumn("lp", F.log("prior") + F.col("s"))
+    sums = sums.withColumn("top", F.greatest(F.max("lp").over(text), F.log("sound")))
+    sums = sums.withColumn("share", F.exp(F.col("lp") - F.col("top")))
+    whole = F.sum("share").over(text) + F.exp(F.log("sound") - F.col("top"))
+    shares = sums.withColumn("p", F.col("share") / whole)
+    out = shares.groupBy("id", "source").agg(F.map_from_entries(F.collect_list(F.struct("chain", "p"))).alias("probs"), F.sum("p").alias("total"))
+    return cut(out, bytes=F.sum(F.size("probs") * 60 + F.octet_length("source") + 60), mass=F.sum("total"), found=F.count_if(F.col("total") > 0.5))
+
+
+def _weighed(near: DataFrame, scores: DataFrame, post: DataFrame) -> DataFrame:
+    """(id, unit, chain, was, w): how far each unit of a text is garbled by each chain."""
+    mine = lookup(near.select("id", "unit"), post.select(F.col("id").alias("__id"), "probs"), "id", "__id", "inner", skewed=False)
+    mine = lookup(mine, scores.select(F.col("unit").alias("__v"), "ways"), "unit", "__v", "inner", fits=fits_broadcast(scores))
+    rows = mine.select("id", "unit", "probs", F.inline("ways")).withColumn("w", F.try_element_at("probs", F.col("chain")) * F.col("g"))
+    return rows.filter("w is not null").select("id", "unit", "chain", "was", "w")
+
+
+def _assessed(tokenized: DataFrame, most_rounds: int) -> tuple[DataFrame, DataFrame, Callable[[DataFrame], DataFrame]]:
+    """((id, mark) of the distinct texts, posteriors after the last round, a function that
+    gives the weighed units of texts with their posteriors)."""
     texts = cut(tokenized.dropDuplicates(["mark"]).withColumn("id", F.monotonically_increasing_id()))
     known = cut(texts.select(F.explode("units").alias("unit")).groupBy("unit").agg(F.count("*").alias("n")))
     ways = candidates(known)
     size = texts.groupBy("source").agg(F.count("*").alias("size"))
     size = cut(size.select("source", "size", F.explode(F.array(*[F.lit(c) for c in (*_CHAINS, LOST)])).alias("chain")).withColumn("__pk", F.concat_ws(SEP, "source", "chain")))
     every = max(1, rows_of(texts))
-    prior = explained = evidence = before = scores = near = None
+    prior = explained = post = before = scores = near = None
     for _ in range(most_rounds):
         last, scores = scores, _scores(ways, explained, scores)
         if near is None or seen(scores, "fresh"):
             release(*[x for x in (near,) if x is not None])
             near = _near(texts, scores)
-        old, evidence = evidence, _weighed(near, scores, prior)
-        now = (round(seen(evidence, "found") or 0), seen(evidence, "mass") or 0.0)
+        old, post = post, _posterior(near, scores, prior)
+        now = (seen(post, "found"), seen(post, "mass") or 0.0)
         release(*[x for x in (last, old, prior) if x is not None])
         if before is not None and now[0] == before[0] and abs(now[1] - before[1]) <= STILL * (1 + now[1]):
             break
         before = now
-        explained = evidence.groupBy(F.col("unit").alias("__u")).agg(F.sum(F.col("p") * F.col("g")).alias("__e"))
-        mass = evidence.groupBy("source", "chain").agg(F.sum("part").alias("k"))
+        explained = _weighed(near, scores, post).groupBy(F.col("unit").alias("__u")).agg(F.sum("w").alias("__e"))
+        mass = post.select("source", F.explode("probs").alias("chain", "p")).groupBy("source", "chain").agg(F.sum("p").alias("k"))
         everywhere = mass.groupBy(F.col("chain").alias("__c")).agg(F.sum("k").alias("all_k"))  # one row a chain
         mass = mass.select(F.concat_ws(SEP, "source", "chain").alias("__mk"), "k")
         pooled = size.join(mass, F.col("__pk") == F.col("__mk"), "left").join(F.broadcast(everywhere), F.col("chain") == F.col("__c"), "left")
@@ -326,37 +333,33 @@ def _assessed(tokenized: DataFrame, most_rounds: int) -> tuple[DataFrame, DataFr
         per = pooled.select("__pk", "source", F.greatest(value, F.lit(1e-9)).alias("prior"))
         sound = F.greatest(1 - F.sum("prior").over(Window.partitionBy("source")), F.lit(0.05))  # one row a chain
         prior = cut(per.select("__pk", "prior", sound.alias("sound")))
-    release(known, size, near, scores)
-    return texts.select("id", "mark"), evidence, ways
-
-
-def _posts(evidence: DataFrame) -> DataFrame:
-    return evidence.select("id", "source", "chain", "p").distinct()
+    release(known, ways, size)
+    return texts.select("id", "mark"), post, lambda some: _weighed(near, scores, some)
 
 
 def posteriors(records: DataFrame, key: str, text: str, source: str, most_rounds: int = MOST_ROUNDS) -> DataFrame:
     """(id, source, chain, p): the posterior of each chain for a record after the last
     round; records in which no unit speaks for a chain are absent."""
     tokenized = _tokenized(records, key, text, source)
-    texts, evidence, _ = _assessed(tokenized, most_rounds)
-    per = _posts(evidence).groupBy(F.col("id").alias("__kind")).agg(F.collect_list(F.struct("chain", "p")).alias("__ways"))  # at most one per chain
-    ways = cut(texts.join(per, F.col("id") == F.col("__kind")).select(F.col("mark").alias("__mark"), "__ways"))
-    return lookup(tokenized.select("id", "source", "mark"), ways, "mark", "__mark", "inner").select("id", "source", F.inline("__ways"))
+    texts, post, _ = _assessed(tokenized, most_rounds)
+    ways = cut(texts.join(post.select(F.col("id").alias("__kind"), "probs"), F.col("id") == F.col("__kind")).select(F.col("mark").alias("__mark"), "probs"))
+    return lookup(tokenized.select("id", "source", "mark"), ways, "mark", "__mark", "inner").select("id", "source", F.explode("probs").alias("chain", "p"))
 
 
-def _found(tokenized: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """((kind, __mark, __chain, probability) of the garbled texts, evidence, candidates)."""
-    texts, evidence, ways = _assessed(tokenized, MOST_ROUNDS)
-    best = evidence.filter("total > 0.5").groupBy(F.col("id").alias("kind")).agg(F.max("total").alias("probability"), F.max(F.struct("p", "chain")).alias("b"))
-    found = texts.join(best.select("kind", F.col("b.chain").alias("__chain"), "probability"), F.col("id") == F.col("kind"))
-    return cut(found.select("kind", F.col("mark").alias("__mark"), "__chain", "probability")), evidence, ways
+def _found(tokenized: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((kind, __mark, __chain, probability) of the garbled texts, their weighed units)."""
+    texts, post, weighed = _assessed(tokenized, MOST_ROUNDS)
+    best = F.array_max(F.transform(F.map_entries("probs"), lambda e: F.struct(e["value"], e["key"])))
+    garbled = post.filter("total > 0.5")
+    marked = texts.join(garbled.select(F.col("id").alias("kind"), best["key"].alias("__chain"), F.col("total").alias("probability")), F.col("id") == F.col("kind"))
+    return cut(marked.select("kind", F.col("mark").alias("__mark"), "__chain", "probability")), weighed(garbled)
 
 
 def garbled_records(records: DataFrame, key: str, text: str, source: str) -> tuple[DataFrame, DataFrame]:
-    """((key, chain, probability), evidence): the garbled records with their likeliest
-    chain; the evidence is that of their distinct texts."""
+    """((key, chain, probability), weighed units): the garbled records with their likeliest
+    chain; the units are those of their distinct texts."""
     tokenized = _tokenized(records, key, text, source)
-    found, weighed, _ = _found(tokenized)
+    found, weighed = _found(tokenized)
     held = lookup(tokenized.select("id", "mark"), found.drop("kind"), "mark", "__mark", "inner")
     best = held.groupBy("id").agg(F.max(F.struct("probability", "__chain")).alias("b"))
     return best.select(F.col("id").alias(key), F.col("b.__chain").alias("chain"), "b.probability"), weighed
@@ -409,10 +412,8 @@ def repaired_records(records: DataFrame, key: str, text: str, source: str, name:
     What cannot be restored stays as it is.
     """
     tokenized = _tokenized(records, key, text, source)
-    found, weighed, known = _found(tokenized)
-    likely = weighed.filter("total > 0.5").withColumn("w", F.col("p") * F.col("g")).groupBy("id", "unit").agg(F.sum("w").alias("w"), F.max(F.struct("w", "chain")).alias("b")).filter("w > 0.5")
-    origin = known.groupBy("unit").agg(F.map_from_entries(F.collect_list(F.struct("chain", "was"))).alias("__was"))  # at most one a chain
-    best = lookup(likely, origin.withColumnRenamed("unit", "__u"), "unit", "__u", "inner").withColumn("b", F.struct("b.chain", F.element_at("__was", F.col("b.chain")).alias("was")))
+    found, weighed = _found(tokenized)
+    best = weighed.groupBy("id", "unit").agg(F.sum("w").alias("w"), F.max(F.struct("w", "chain", "was")).alias("b")).filter("w > 0.5")
     ways = best.groupBy(F.col("id").alias("__kind")).agg(F.collect_list(F.struct("unit", "b.chain", "b.was")).alias("ways"))  # a text's own units
     plans = cut(found.join(ways, F.col("kind") == F.col("__kind"), "left").select("__mark", "__chain", "probability", "ways"))
     base = records.select(F.col(f"`{key}`").alias("__key"), F.coalesce(F.col(f"`{source}`").cast("string"), F.lit("")).alias("__source"), F.col(f"`{text}`").cast("string").alias("__text"))

@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from maskmill.operators.selection import seeded_hash
 from maskmill.runtime import cut, lookup, ranked
 
 #: Categories are listed by the caller; more than this many are refused.
@@ -83,12 +84,6 @@ def sample_report(records: DataFrame, category: list[str], targets: DataFrame, t
     return report.withColumn("missed", F.col("available") < F.col("wanted")), n
 
 
-def seeded_hash(key, seed: int):
-    """Fifteen digits of ``sha256(seed:key)``, spread over all of ``bigint`` in their order."""
-    digits = F.substring(F.sha2(F.concat_ws(":", F.lit(str(seed)), key.cast("string")), 256), 1, 15)
-    return ((F.conv(digits, 16, 10).cast("long") - (1 << 59)) * 16).cast("long")
-
-
 def _as_key(category: list[str]):
     return F.to_json(F.struct(*[F.col(f"`{c}`").cast("string").alias(c) for c in category]), {"ignoreNullFields": "false"})
 
